@@ -30,8 +30,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+
+    def n(kind: int):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.as_text("base_spans"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_mixing": op5_mixing,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
