@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rotation import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import concatenate_and_cut
 
@@ -23,6 +29,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k, quantised
+
+    rows = quantised(table(spark, sf_dir, "embeddings"))
+    return exact_top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -49,9 +62,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rotation": op1_rotation,
     "op3_packing": op3_packing,
+    "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op7_minhash": op7_minhash,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_topk": """
+WITH base AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, b.vec_id,
+           CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM base q, base b
+    WHERE q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
+}
