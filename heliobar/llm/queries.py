@@ -43,6 +43,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    manifest = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(manifest, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -66,10 +73,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest,
+           CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), w AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n >= 1000) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to
+FROM w
+""",
     "op4_topk": """
 WITH base AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
