@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(docs: DataFrame, modulus: int, remainder: int):
+    """Whether crc32 of the id's text has that remainder; a null id counts as an empty text."""
+    key = F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")
+    return F.crc32(key) % modulus == remainder
+
+
 def op1_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rotation import near_vectors
 
@@ -56,6 +62,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kneser_ney
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(docs, 7, 2)
+    model = kneser_ney.fit(docs.where(~held))
+    scored = kneser_ney.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -75,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
+    "op8_lm": op8_lm,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
