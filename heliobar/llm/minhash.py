@@ -186,4 +186,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
     named = stage(final.join(least_doc, "root").select("key", "component_id"), "near-named")
     out = signed.select("doc", "n", "key").join(named, "key", "left")
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

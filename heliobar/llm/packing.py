@@ -7,7 +7,6 @@ a document that crosses a bound leaves one boundary record in each window.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import textkernel as tk
 from .common import stage
 
-#: Entries of one generation of a worker's cache of tokenised units.
-CACHE_UNITS = 250_000
-_TWO_SPACES = re.compile(r"\s\s")
+#: Units that a worker keeps from one batch to the next, and bytes of text it handles at a time.
+CACHE_UNITS = 1_000_000
+TEXT_BYTES = 24 << 20
 _STATE: dict = {}
 
 
 class UnitTokenizer:
-    """Token ids of whole texts, each blank-led unit being encoded once for as long as it stays cached.
+    """Token ids of whole texts; each distinct blank-led unit of a batch is encoded once, and kept for the next.
 
-    The byte-level pre-tokenizer always breaks before a blank that follows or precedes a non-blank, so texts
-    without two adjacent white-space characters are the concatenation of their units; others go whole to the
-    tokenizer. Two generations of the cache bound the memory.
+    The byte-level pre-tokenizer always breaks before a blank that follows a visible ASCII character or precedes
+    one, and what stands on either side doesn't change the other's tokens. So texts are cut there, and the ids of
+    a text are those of its units, one after another.
     """
 
     def __init__(self, path: str):
@@ -38,41 +38,69 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 2000):
-            part = self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)
-            out += [np.array(e.ids, self.dtype).tobytes() for e in part]
-        return out
-
-    def ids(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.dtype).tobytes()
-        out = []
-        for text in texts:
-            if not text:
-                out.append(end)
-                continue
-            if _TWO_SPACES.search(text):
-                out.append(self._encode([text])[0] + end)
-                continue
-            units = text.split(" ")
-            first, rest = units[0], units[1:]
-            young, missing = self.young, []
-            for u in set(rest).difference(young):
-                if (known := self.old.get(u)) is None:
-                    missing.append(u)
-                else:
-                    young[u] = known
-            if missing:
-                young.update(zip(missing, self._encode([" " + u for u in missing]), strict=True))
-            head = self._encode([first])[0] if first else b""
-            out.append(head + b"".join(map(young.__getitem__, rest)) + end)
-            if len(young) > CACHE_UNITS:
-                self.old, self.young = young, {}
-        return out
+        self._clear()
+
+    def _clear(self):
+        self.known = np.zeros(0, np.uint64)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [], []
+        for i in range(0, len(texts), 4000):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4000], add_special_tokens=False):
+                ids = e.ids
+                sizes.append(len(ids))
+                flat += ids
+        return np.array(sizes, np.int64), np.array(flat, self.dtype)
+
+    def ids(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and their number in each."""
+        texts = len(bounds) - 1
+        if not len(buf):
+            return np.zeros(0, self.dtype), np.zeros(texts, np.int64)
+        visible = (buf > 0x20) & (buf < 0x7F)
+        cut = np.zeros(len(buf), bool)
+        cut[1:-1] = (buf[1:-1] == 0x20) & (visible[:-2] | visible[2:])
+        cut[-1] = len(buf) > 1 and buf[-1] == 0x20 and visible[-2]
+        first = bounds[:-1][np.diff(bounds) > 0]
+        # a blank at a text's start or end has a neighbour of another text; both are cut or kept safely
+        cut[np.minimum(first, len(buf) - 1)] = True
+        last = bounds[1:][np.diff(bounds) > 0] - 1
+        cut[last] &= np.isin(last, first) | ((buf[last] == 0x20) & visible[np.maximum(last - 1, 0)])
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(buf))
+        h, where, back = np.unique(tk.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.known, h)
+        old = np.zeros(len(h), bool)
+        inside = spot < len(self.known)
+        old[inside] = self.known[spot[inside]] == h[inside]
+        raw = buf.tobytes()
+        new = np.flatnonzero(~old)
+        sizes, flat = self._encode([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        at, size = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        at[old], size[old] = self.at[spot[old]], self.size[spot[old]]
+        at[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        flat = np.concatenate([self.flat, flat])
+        length = size[back]
+        begin = np.cumsum(length) - length
+        out = flat[np.repeat(at[back] - begin, length) + np.arange(int(length.sum()))]
+        if len(self.known) + len(new) > CACHE_UNITS:
+            self._clear()
+        else:
+            known, at, size = np.concatenate([self.known, h[new]]), np.concatenate([self.at, at[new]]), np.concatenate([self.size, size[new]])
+            order = np.argsort(known)
+            self.known, self.at, self.size, self.flat = known[order], at[order], size[order], flat
+        total = np.concatenate([[0], np.cumsum(length)])
+        return out, np.diff(total[np.searchsorted(starts, bounds)])
+
+
+def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about TEXT_BYTES."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = min(max(int(np.searchsorted(bounds, bounds[i] + TEXT_BYTES, "right")) - 1, i + 1), n)
+        yield i, j
+        i = j
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -81,25 +109,25 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, keep: l
     if path not in _STATE:
         _STATE[path] = UnitTokenizer(path)
     tok: UnitTokenizer = _STATE[path]
-    part, place, seq = TaskContext.get().partitionId(), 0, 0
-    width = np.dtype(tok.dtype).itemsize
+    part, place = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts = batch.column("text")
-        for i in range(0, len(texts), 512):
-            ids = tok.ids(texts.slice(i, 512).to_pylist(), end_id)
-            n = np.array([len(x) // width for x in ids], np.int64)
-            at = place + np.concatenate([[0], np.cumsum(n)])
-            cols = [batch.column(c).slice(i, 512) for c in keep]
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(np.full(k, part, np.int64)), pa.array(at[:-1]), pa.array(n), pa.array(ids, pa.binary())],
-                names=[*keep, "_part", "_at", "_n", "_ids"],
-            )
-            place, seq = int(at[-1]), seq + k
+        buf, bounds = tk.utf8(batch.column("text"))
+        for i, j in _slices(bounds):
+            ids, n = tok.ids(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            ends = np.cumsum(n + 1)
+            full = np.empty(len(ids) + len(n), tok.dtype)
+            mask = np.ones(len(full), bool)
+            mask[ends - 1] = False
+            full[mask], full[~mask] = ids, end_id
+            offsets = np.concatenate([[0], ends]) * full.itemsize
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())
+            cols = [batch.column(c).slice(i, j - i) for c in keep]
+            at = place + ends - (n + 1)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int64)), pa.array(at), pa.array(n + 1), blobs], names=[*keep, "_part", "_at", "_n", "_ids"])
+            place += int(ends[-1])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], window: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    size = np.dtype(dtype).itemsize
     names = [*keep, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     for batch in batches:
         rows, start, length, total, seq, off, ids, held = [], [], [], [], [], [], [], 0
@@ -133,7 +161,6 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], window: int, dtype:
                     rows, start, length, total, seq, off, ids, held = [], [], [], [], [], [], [], 0
         if rows:
             yield flush()
-    del size
 
 
 def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,15 @@ def op1_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", held_out(docs, 3, 1))
+    model = language.fit(docs.where("NOT held_out"))
+    return language.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import concatenate_and_cut
 
@@ -72,6 +81,15 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("held_out", held_out(docs, 5, 0))
+    net = toxicity.fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, ["doc_id", "held_out"])
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -86,12 +104,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rotation": op1_rotation,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op8_lm": op8_lm,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {

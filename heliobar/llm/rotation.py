@@ -152,7 +152,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 7, id_c
     per = stage(per.where("copies > 1 OR links IS NOT NULL").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("component_id")), "vec-classed")
     out = rows.select("id", "key").join(per, "key", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def _near_of_length(classes: DataFrame, dimension: int, count: int, threshold: float, seed: int) -> DataFrame:
