@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,20 @@ from . import textkernel as tk
 from .common import stage
 
 #: Units that a worker keeps from one batch to the next, and bytes of text it handles at a time.
-CACHE_UNITS = 1_000_000
-TEXT_BYTES = 24 << 20
+CACHE_UNITS = 2_500_000
+TEXT_BYTES = 32 << 20
 _STATE: dict = {}
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
 class UnitTokenizer:
     """Token ids of whole texts; each distinct blank-led unit of a batch is encoded once, and kept for the next.
 
     The byte-level pre-tokenizer always breaks before a blank that follows a visible ASCII character or precedes
-    one, and what stands on either side doesn't change the other's tokens. So texts are cut there, and the ids of
-    a text are those of its units, one after another.
+    one, and between an ASCII letter and a mark after it; what stands on either side doesn't change the other's
+    tokens. So texts are cut there, and the ids of a text are those of its units, one after another.
     """
 
     def __init__(self, path: str):
@@ -63,13 +67,17 @@ class UnitTokenizer:
         cut[1:-1] = (buf[1:-1] == 0x20) & (visible[:-2] | visible[2:])
         cut[-1] = len(buf) > 1 and buf[-1] == 0x20 and visible[-2]
         first = bounds[:-1][np.diff(bounds) > 0]
+        cut[1:] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
         # a blank at a text's start or end has a neighbour of another text; both are cut or kept safely
         cut[np.minimum(first, len(buf) - 1)] = True
         last = bounds[1:][np.diff(bounds) > 0] - 1
-        cut[last] &= np.isin(last, first) | ((buf[last] == 0x20) & visible[np.maximum(last - 1, 0)])
+        before = np.maximum(last - 1, 0)
+        cut[last] &= np.isin(last, first) | ((buf[last] == 0x20) & visible[before]) | (_MARK[buf[last]] & _LETTER[buf[before]])
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
-        h, where, back = np.unique(tk.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        back, h = pd.factorize(tk.hashes(buf, starts, ends))
+        where = np.empty(len(h), np.int64)
+        where[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         spot = np.searchsorted(self.known, h)
         old = np.zeros(len(h), bool)
         inside = spot < len(self.known)
@@ -81,11 +89,17 @@ class UnitTokenizer:
         at[old], size[old] = self.at[spot[old]], self.size[spot[old]]
         at[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
         flat = np.concatenate([self.flat, flat])
-        length = size[back]
+        length = size.astype(np.int32)[back]
         begin = np.cumsum(length) - length
-        out = flat[np.repeat(at[back] - begin, length) + np.arange(int(length.sum()))]
+        narrow = np.int32 if len(flat) + int(length.sum(dtype=np.int64)) < 1 << 31 else np.int64
+        place = np.repeat((at[back] - begin).astype(narrow), length)
+        place += np.arange(len(place), dtype=narrow)
+        out = flat[place]
         if len(self.known) + len(new) > CACHE_UNITS:
-            self._clear()
+            # over the bound only this batch's units stay
+            spread = np.cumsum(size) - size
+            self.flat = flat[np.repeat(at - spread, size) + np.arange(int(size.sum()))]
+            self.known, self.at, self.size = h, spread, size
         else:
             known, at, size = np.concatenate([self.known, h[new]]), np.concatenate([self.at, at[new]]), np.concatenate([self.size, size[new]])
             order = np.argsort(known)
