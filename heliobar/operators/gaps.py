@@ -11,7 +11,8 @@ def continuous_grid(spans: DataFrame, seconds: int) -> DataFrame:
     start = F.ceil(F.unix_micros("first_ts") / (seconds * 1_000_000)) * seconds
     end = F.unix_seconds("last_ts")
     out = spans.select("symbol", start.alias("_a"), end.alias("_b")).where("_a <= _b")
-    return out.select("symbol", F.timestamp_seconds(F.explode(F.sequence("_a", "_b", F.lit(seconds).cast("long")))).alias("ts"))
+    steps = out.select("symbol", F.explode(F.sequence("_a", "_b", F.lit(seconds).cast("long"))).alias("_s"))
+    return steps.select("symbol", F.timestamp_seconds("_s").alias("ts"))
 
 
 def missing(grid: DataFrame, bars: DataFrame) -> DataFrame:

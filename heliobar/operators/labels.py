@@ -67,7 +67,7 @@ def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.0, stop: float =
     hit_down = (F.col("_sl") > 0) & ~hit_up
     touch = F.when(hit_up, F.col("_pt")).when(hit_down, F.col("_sl")).otherwise(F.size("_path"))
     rows = rows.withColumns({"touch": touch.cast("int"), "barrier": F.when(hit_up, "pt").when(hit_down, "sl").otherwise("vertical")})
-    rows = rows.withColumn("ret", div(F.element_at("_path", F.col("touch")), F.col("close")) - 1)
+    rows = rows.withColumn("ret", div(F.get("_path", F.col("touch") - 1), F.col("close")) - 1)
     if side is not None:
         rows = rows.withColumn("ret", F.col("ret") * F.col(side)).withColumn("label", F.when(F.col("ret") > 0, 1).otherwise(0))
     else:
@@ -91,7 +91,7 @@ def panel_dataset(bars: DataFrame, features: Iterable[Feature] = DEFAULT, horizo
     labelled = triple_barrier(featured, "ew_vol", profit, stop, horizon).where(F.col("event_idx") >= warmup)
     names = feature_names(features)
     ok = labelled.withColumns({x: finite(F.col(x).cast("double")) for x in names}).dropna(subset=names)
-    ok = ok.withColumns({"t1": F.element_at("_after", F.col("touch")), "y": (F.col("label") == 1).cast("int")})
+    ok = ok.withColumns({"t1": F.get("_after", F.col("touch") - 1), "y": (F.col("label") == 1).cast("int")})
     ok = ok.select("symbol", "ts", "t1", "y", "ret", "label", *names)
     numbered = global_index(ok, ["ts", "symbol"], "row_idx")
     # the last row of a time at or before t1, not before the row itself

@@ -33,7 +33,7 @@ def asof_universe(spark, d):
     return out(joins.asof(bars.select("symbol", "ts"), right, ["symbol"], "ts", ["close"]))
 
 
-@register("asof_index", f"""WITH {bars_cte(HOUR)}, e AS (SELECT event_type AS symbol, event_id, CAST(epoch(ts) AS BIGINT) AS ts FROM events), n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS row_idx FROM bars)
+@register("asof_index", f"""WITH {bars_cte(HOUR)}, e AS (SELECT event_type AS symbol, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events), n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS row_idx FROM bars)
 SELECT e.event_id, n.row_idx FROM e ASOF LEFT JOIN n ON e.symbol = n.symbol AND e.ts >= n.ts""")
 def asof_index(spark, d):
     bars = hourly(spark, d).withColumn("row_idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long"))
