@@ -249,12 +249,12 @@ def _cost(n: str, q: str, sell: str, passive: str = "false") -> str:
 
 
 @register("fill_costs", f"""WITH {_VENUES}, f AS (SELECT o_orderkey, o_totalprice AS n, o_totalprice / 100 AS q, o_orderstatus = 'F' AS sell FROM orders WHERE o_orderkey <= 20000)
-SELECT o_orderkey, venue, round({_cost('n', 'q', 'sell')}, 4) AS cost FROM f, venues""")
+SELECT o_orderkey, venue, round({_cost('n', 'q', 'sell')}, 8) AS cost FROM f, venues""")
 def fill_costs(spark, d):
     fills = prepared(spark).read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 20000")
     both = fills.join(F.broadcast(costs.venues(spark)))  # seven venues
     cost = costs.fill_cost(F.col("o_totalprice"), F.col("o_totalprice") / 100, F.col("o_orderstatus") == "F", F.lit(False))["total"]
-    return both.select("o_orderkey", "venue", F.round(cost, 4).alias("cost"))
+    return both.select("o_orderkey", "venue", F.round(cost, 8).alias("cost"))
 
 
 _RT = f"1e4 * ({_cost('500', '0', 'false')} + {_cost('500', '5', 'true')}) / 500"
@@ -575,14 +575,15 @@ def feed_delay_verdict(spark, d):
 SELECT s AS symbol, replace(s, '/', '') AS canonical, s AS with_slash FROM s""")
 def canonical_symbol(spark, d):
     names = prepared(spark).read.parquet(f"{d}/events.parquet").select(F.upper("event_type").alias("e")).distinct()
-    rows = names.select(F.concat("e", F.explode(F.array(F.lit("/USD"), F.lit("/USDT"), F.lit("/BTC")))).alias("symbol"))
+    rows = names.select("e", F.explode(F.array(F.lit("/USD"), F.lit("/USDT"), F.lit("/BTC"))).alias("q"))
+    rows = rows.select(F.concat("e", "q").alias("symbol"))
     return rows.select("symbol", joins.canonical(F.col("symbol")).alias("canonical")).withColumn("with_slash", joins.with_slash(F.col("canonical")))
 
 
 @register("boosted_trees_oof")
 def boosted_trees_oof(spark, d):
     got = labels.panel_dataset(hourly(spark, d), [ind.momentum(20), ind.realized_vol(20), ind.zscore(20)], 24, 0.3, 0.3)
-    fitted = cv.train_boosted_trees(got.persist(), ["mom_20", "vol_20", "z_20"], folds=3, rounds=10)
+    fitted = cv.train_boosted_trees(got.persist(), ["mom_20", "vol_20", "z_20"], folds=2, rounds=5)
     if fitted is None:
         return got.select("row_idx", F.lit(0).alias("fold"), "y", F.lit(0.5).alias("oof")).limit(0)
     return out(fitted, "row_idx", "fold", "y", "oof")
