@@ -102,9 +102,9 @@ def data_health(spark, d):
 _FIRST, _LAST = date(1991, 12, 1), date(2002, 1, 31)
 
 
-def _values() -> str:
+def _values(first: date = _FIRST, last: date = _LAST) -> str:
     """The calendar as literal rows: the oracle has no other source of holidays."""
-    rows = cal.calendar_rows(_FIRST, _LAST)
+    rows = cal.calendar_rows(first, last)
     body = ", ".join(f"(DATE '{day}', {str(t).lower()}, {'NULL' if m is None else m}, {o})" for day, t, m, o in rows)
     return f"cal(day, is_trading_day, close_minute, td_ordinal) AS (VALUES {body})"
 
@@ -138,14 +138,26 @@ def settlement_dates(spark, d):
 _EVENT_FIRST, _EVENT_LAST = date(2023, 1, 1), date(2026, 12, 31)
 
 
-@register("market_open_flag")
+def local_time(ts: str) -> str:
+    """New York time of a UTC timestamp by the rule of the second Sunday of March and the first of November."""
+    sunday = lambda month: f"(make_date(year({ts}), {month}, 1) + CAST((7 - dayofweek(make_date(year({ts}), {month}, 1))) % 7 AS INTEGER))"
+    summer = f"{ts} >= {sunday(3)} + INTERVAL 7 DAY + INTERVAL 7 HOUR AND {ts} < {sunday(11)} + INTERVAL 6 HOUR"
+    return f"(CASE WHEN {summer} THEN {ts} - INTERVAL 4 HOUR ELSE {ts} - INTERVAL 5 HOUR END)"
+
+
+@register("market_open_flag", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, e AS (SELECT event_id, {local_time('ts')} AS l FROM events),
+m AS (SELECT event_id, CAST(l AS DATE) AS day, hour(l) * 60 + minute(l) AS mi FROM e)
+SELECT event_id, coalesce(is_trading_day AND mi >= 570 AND mi < close_minute, false) AS is_open, coalesce(is_trading_day AND mi >= 240 AND mi < 1200, false) AS is_extended FROM m LEFT JOIN cal USING (day)""")
 def market_open_flag(spark, d):
     events = prepared(spark).read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     flagged = cal.with_market_open(events, cal.calendar(spark, _EVENT_FIRST, _EVENT_LAST))
     return flagged.select("event_id", "is_open", "is_extended")
 
 
-@register("expected_grid_sessions")
+@register("expected_grid_sessions", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, span AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events),
+u AS (SELECT CAST(a AS TIMESTAMP) + INTERVAL 1 HOUR * k AS h FROM span, range(100000) t(k) WHERE k < (date_diff('day', a, b) + 2) * 24),
+h AS (SELECT h + INTERVAL 30 MINUTE AS ts FROM u), l AS (SELECT ts, {local_time('ts')} AS l FROM h)
+SELECT CAST(epoch(ts) AS BIGINT) AS ts FROM l JOIN cal ON cal.day = CAST(l AS DATE), span WHERE is_trading_day AND cal.day BETWEEN a AND b AND hour(l) * 60 + minute(l) >= 570 AND hour(l) * 60 + minute(l) < close_minute""")
 def expected_grid_sessions(spark, d):
     spark = prepared(spark)
     span = spark.read.parquet(f"{d}/events.parquet").agg(F.min("ts"), F.max("ts")).first()

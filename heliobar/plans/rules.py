@@ -12,6 +12,7 @@ from ..functions.rolling import r6 as sr6
 from ..operators import cv, joins, labels, portfolio, ranking, risk, series, statistics as stats, strategies
 from ..operators import calendar as cal
 from .common import BASE, DAY, HOUR, PANEL, WEEK, bars_cte, daily, hourly, lines_cte, out, over, panel_base, prepared, rolled, weekly_lines
+from .lake import _EVENT_FIRST, _EVENT_LAST, _values, local_time
 from .registry import register
 
 _R = rolled
@@ -285,7 +286,10 @@ def holding_policy_checks(spark, d):
 _WEEKDAYS = "days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)"
 
 
-@register("day_trades_5d")
+@register("day_trades_5d", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, f AS (SELECT user_id AS account, CAST({local_time('ts')} AS DATE) AS day, json_extract_string(props, '$.k') AS symbol, event_type = 'purchase' AS buy FROM events),
+p AS (SELECT account, day, symbol, CAST(bool_or(buy) AND bool_or(NOT buy) AS INTEGER) AS r, count(*) AS n FROM f GROUP BY 1, 2, 3),
+g AS (SELECT account, day, sum(r) AS r, sum(n) AS n FROM p GROUP BY 1, 2), o AS (SELECT g.*, td_ordinal FROM g JOIN cal USING (day))
+SELECT account, strftime(day, '%Y-%m-%d') AS day, CAST(r AS BIGINT) AS day_trades, CAST(n AS BIGINT) AS fills, CAST(sum(r) OVER w AS BIGINT) AS day_trades_5d, CAST(sum(n) OVER w AS BIGINT) AS fills_5d FROM o WINDOW w AS (PARTITION BY account ORDER BY td_ordinal RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def day_trades_5d(spark, d):
     events = prepared(spark).read.parquet(f"{d}/events.parquet")
     day, _ = cal.market_minute(F.col("ts").cast("timestamp"))
