@@ -22,8 +22,9 @@ from .common import scratch_path, stage
 from .shared import map_array, save_array
 
 BOS, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: Tokens counted or scored at a time in a task.
+#: Tokens counted, and tokens scored, at a time in a task.
 TOKENS = 3_000_000
+SCORED_TOKENS = 1_200_000
 #: Arrays that a worker keeps mapped.
 MAPPED = 512
 _OPEN: OrderedDict = OrderedDict()
@@ -57,12 +58,12 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Texts a few at a time: about TOKENS bytes times six, or one long text."""
+def _pieces(column: pa.Array, some: int = TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Texts a few at a time: about six bytes for each of ``some`` tokens, or one long text."""
     buf, bounds = tk.utf8(column)
     i, n = 0, len(bounds) - 1
     while i < n:
-        j = min(max(int(np.searchsorted(bounds, bounds[i] + 6 * TOKENS, "right")) - 1, i + 1), n)
+        j = min(max(int(np.searchsorted(bounds, bounds[i] + 6 * some, "right")) - 1, i + 1), n)
         yield buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], i, j
         i = j
 
@@ -273,7 +274,7 @@ def _tokens_scored(model: dict, token: np.ndarray, before: np.ndarray) -> tuple[
 def _score(batches: Iterator[pa.RecordBatch], model: dict, keep: list[str]) -> Iterator[pa.RecordBatch]:
     n_all, v = model["tokens"], model["words"]
     for batch in batches:
-        for buf, bounds, i, j in _pieces(batch.column("text")):
+        for buf, bounds, i, j in _pieces(batch.column("text"), SCORED_TOKENS):
             token, before, at = tokens(buf, bounds)
             score, count = _tokens_scored(model, token, before)
             base = np.log10((count + 1) / (n_all + v + 1))
