@@ -123,7 +123,8 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     Spans are in code points, ends exclusive. A null text is scanned as an empty one; repeated rows give the same
     spans each time. A run that touches a rule's span adds nothing.
     """
-    table = F.array(*[F.lit(round(x, 6)) for x in model])
+    # one literal, folded once: thousands of column objects would take the driver seconds
+    table = F.split(F.lit(",".join(repr(round(x, 6)) for x in model)), ",").cast("array<double>")
     based = with_base(docs.withColumn("_t", F.coalesce("text", F.lit(""))))
     based = based.withColumn("_runs", F.regexp_extract_all("_t", F.lit(RUN), F.lit(0)))
     based = based.withColumn("_score", F.transform("_runs", lambda r: _ratio(r, table) >= threshold))
