@@ -25,7 +25,7 @@ VOCABULARY = 20_000
 #: A word of fewer documents of the sample has no embedding of its own.
 RARE = 5
 #: Labelled documents of either class that the network learns from, about; longer ones don't teach.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 800
 SAMPLE_CHARS = 100_000
 #: Windows of a document in training, rounds over them, windows in a step.
 WINDOWS_PER_DOCUMENT, ROUNDS, BATCH = 8, 3, 128
