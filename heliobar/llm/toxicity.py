@@ -201,10 +201,13 @@ def windows(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", label_col: str = "toxic") -> Network:
     """Learns from ``docs`` with a 0 or 1 in ``labels``; a hash of the id picks ``sample`` of either class, about."""
     y = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
-    ids = docs.select(F.col(id_col).alias("_id"), "text").join(y, "_id").where(F.length("text") <= SAMPLE_CHARS)
     counts = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
-    share = F.when(F.col("_y") == 1, int(min(1.0, sample / max(counts.get(1, 0), 1)) * (1 << 30))).otherwise(int(min(1.0, 2 * sample / max(counts.get(0, 0), 1)) * (1 << 30)))
-    got = ids.where(F.pmod(F.xxhash64(F.lit(43), F.col("_id")), F.lit(1 << 30)) < share).select("_id", "text", "_y").orderBy("_id", "text").toArrow()
+    bound = [int(min(1.0, n * sample / max(counts.get(k, 0), 1)) * (1 << 30)) for k, n in ((0, 2), (1, 1))]
+    place = F.pmod(F.xxhash64(F.lit(43), F.col("_id")), F.lit(1 << 30))
+    # both sides are drawn before they meet, so that only the sample's texts are shuffled
+    drawn = y.where(place < F.when(F.col("_y") == 1, bound[1]).otherwise(bound[0]))
+    texts = docs.select(F.col(id_col).alias("_id"), "text").where(place < max(bound)).where(F.length("text") <= SAMPLE_CHARS)
+    got = texts.join(drawn, "_id").select("_id", "text", "_y").orderBy("_id", "text").toArrow()
     return learn(got["text"], np.array(got["_y"].to_pylist(), np.float32))
 
 
