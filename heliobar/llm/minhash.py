@@ -3,8 +3,9 @@
 Each permutation gives two signature values, the least and the greatest hash of the set, so that half as many
 hash functions do. Documents with equal sets form one class and are joined once. In every band bucket the other
 classes are compared with one hub; components of the confirmed links follow; only then do members of one bucket
-that are still in different components meet each other, by their signatures first. So no bucket gives all pairs,
-and every two classes that share a bucket are either connected or compared.
+that are still in different components meet each other inside a task, by their signatures first, and only edges
+that join components leave it. So no bucket gives all pairs, and every two classes that share a bucket are either
+connected or compared.
 """
 
 from __future__ import annotations
@@ -101,6 +102,14 @@ def _only_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(_keys(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["key", "set"])
 
 
+def _binary_sets(t: pa.Table) -> pa.Table:
+    """The sets as bytes: one copy less than lists of Python numbers."""
+    col = t["set"].combine_chunks()
+    at, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    blobs = [flat[a:b].astype("<i8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return t.set_column(t.column_names.index("set"), "set", pa.array(blobs, pa.binary()))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (u, v, both with their class's document) whose full sets are similar enough."""
     ends = pairs.select(F.col("ud").alias("doc")).unionByName(pairs.select(F.col("vd").alias("doc"))).distinct()
@@ -114,24 +123,51 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFr
     return kept
 
 
-def _compare(t: pa.Table, least: float) -> pa.Table:
-    """Pairs of one block pair, of different components, whose signatures agree in ``least`` of the values."""
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(t.num_rows, -1)
-    comp = t["root"].to_pandas().astype("category").cat.codes.to_numpy()
-    n, side = t["n"].to_numpy().astype(float), t["side"].to_numpy()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    us, vs = [], []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= 0.8 * np.maximum(n[right], n[i]))]
+def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
+    """Edges that join components of one block pair.
+
+    Pairs of different components whose signatures agree in ``least`` of the values are met, the likeliest first,
+    each in the first band that they share, and compared by full sets unless an earlier link has joined them.
+    """
+    n = t.num_rows
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(n, -1)
+    bands = np.array(t["bands"].to_pylist(), np.int64).reshape(n, -1)
+    sets = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
+    roots = t["root"].combine_chunks().dictionary_encode()
+    comp = roots.indices.to_numpy()
+    size, side, band = np.array([len(x) for x in sets]), t["side"].to_numpy(), int(t["band"][0].as_py())
+    right = np.flatnonzero(side != 0)
+    parent = list(range(len(roots.dictionary)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    pairs = []
+    for i in np.flatnonzero(side != 1):
+        other = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
         if side[i] == 2:
             other = other[other > i]
+        if len(other) and band:
+            other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
         if len(other):
-            hit = other[(sig[other] == sig[i]).mean(axis=1) >= least]
-            us += [i] * len(hit)
-            vs += hit.tolist()
-    key, doc = t["key"].combine_chunks(), t["doc"].combine_chunks()
-    u, v = pa.array(us, pa.int64()), pa.array(vs, pa.int64())
-    return pa.table({"u": key.take(u), "v": key.take(v), "ud": doc.take(u), "vd": doc.take(v)})
+            like = (sig[other] == sig[i]).mean(axis=1)
+            ok = like >= least
+            pairs += zip(like[ok].tolist(), [int(i)] * int(ok.sum()), other[ok].tolist(), strict=True)
+    pairs.sort(key=lambda x: -x[0])
+    edges = []
+    for _, i, j in pairs:
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a == b:
+            continue
+        same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+            parent[max(a, b)] = min(a, b)
+            edges.append((int(comp[i]), int(comp[j])))
+    take = lambda k: roots.dictionary.take(pa.array([e[k] for e in edges], pa.int64()))
+    return pa.table({"u": take(0), "v": take(1)})
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, permutations_in_band: int = PERMUTATIONS_IN_BAND, id_col: str = "doc_id") -> DataFrame:
@@ -163,8 +199,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
     here = stage(here.select("band", "bucket", "key", "doc", "n", "root", "rows"), "near-here")
     split = here.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
     left = here.join(split, ["band", "bucket"], "left_semi")
-    sigs = signed.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig"))
-    left = left.join(sigs, "key")
+    wanted = left.select("doc").distinct()
+    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
+    sets = sets.where("key IS NOT NULL").dropDuplicates(["key"])
+    sigs = signed.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    full = stage(sigs.join(sets, "key"), "near-full", "lz4")
+    left = left.join(full, "key")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     left = left.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -172,12 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
     left = left.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (2 * bands * permutations_in_band)) ** 0.5
-    met = left.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(t, least), "u binary, v binary, ud long, vd long")
-    second = _confirm(stage(met.distinct(), "near-met"), texts, percent, k)
-    root_of = roots.select(F.col("node").alias("x"), "root")
-    over = second.join(root_of.select(F.col("x").alias("u"), F.col("root").alias("ru")), "u", "left").join(root_of.select(F.col("x").alias("v"), F.col("root").alias("rv")), "v", "left")
-    over = over.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-    top = connected_components(over)
+    second = left.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u binary, v binary")
+    top = connected_components(second)
     final = classes.select("key", "doc", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left")
     final = final.withColumn("root", F.coalesce("root", "key"))
     final = final.join(top.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
