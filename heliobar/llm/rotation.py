@@ -9,6 +9,8 @@ inside a bucket the estimates and their bounds decide which pairs need the exact
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,13 @@ BUCKET_ROWS = 16
 BITS = (8, 24)
 #: Share of the links exactly at the threshold that may be missed.
 MISS = 0.002
-#: Rows of one side of a comparison inside a bucket.
+#: Rows of one side of a comparison inside a bucket, rows that a task takes at once, pairs compared at a time.
 BLOCK = 2048
+CELL_ROWS = 4096
+PAIRS = 1 << 17
 
 
+@lru_cache(maxsize=64)
 def rotation(dimension: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, dimension)))
     return q * np.sign(np.diag(r))
@@ -72,18 +77,40 @@ def _unit(batches, names):
         yield pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in names), pa.array(out, pa.binary())], names=[*names, "x"])
 
 
+def _pairs(bucket: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal buckets, or of the two sides of a block pair, a bounded number at a time."""
+    if side[0] != 2:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        step = max(1, PAIRS // max(len(right), 1))
+        for i in range(0, len(left), step):
+            some = left[i : i + step]
+            yield np.repeat(some, len(right)), np.tile(right, len(some))
+        return
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], bucket[order], "right")
+    count = ends - np.arange(len(order)) - 1
+    total = np.cumsum(count)
+    i = 0
+    while i < len(order):
+        j = max(int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")), i + 1)
+        rows = np.repeat(np.arange(i, j), count[i:j])
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j])
+        yield order[rows], order[rows + 1 + inside]
+        i = j
+
+
 def _meet(t: pa.Table, dimension: int, turn_seed: int, threshold: float) -> pa.Table:
-    """Links within one block pair of a bucket: how many each class has, and edges that span them."""
+    """Links within some buckets of a table: how many each class has, and edges that span them."""
     n = t.num_rows
     x = np.frombuffer(b"".join(t["x"].to_pylist()), "<f8").reshape(n, dimension)
-    keys = np.array(t["keys"].to_pylist(), np.int64).reshape(n, -1)
+    keys = t["keys"].combine_chunks().values.to_numpy().reshape(n, -1)
     factor, side, copies = t["factor"].to_numpy(), t["side"].to_numpy(), t["copies"].to_numpy()
     ids, now = t["class"].to_numpy(), int(t["table"][0].as_py())
     bits = np.unpackbits(np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(n, -1), axis=1)[:, :dimension]
     code = (bits.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dimension))
     turned = (x @ rotation(dimension, turn_seed)).astype(np.float32)
     spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * EPSILON / math.sqrt(max(dimension - 1, 1))
-    links, parent = np.zeros(n, np.int64), np.arange(n)
+    links, parent, edges = np.zeros(n, np.int64), list(range(n)), []
 
     def root(i):
         while parent[i] != i:
@@ -91,20 +118,13 @@ def _meet(t: pa.Table, dimension: int, turn_seed: int, threshold: float) -> pa.T
             i = parent[i]
         return i
 
-    edges = []
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        guess = (turned[rows] @ code[right].T) / factor[right].astype(np.float32)
-        maybe = guess + spread[right].astype(np.float32) >= threshold
-        maybe &= ids[rows][:, None] != ids[right][None, :]
-        if side[rows[0]] == 2:
-            maybe &= right[None, :] > rows[:, None]
-        a, b = np.nonzero(maybe)
-        a, b = rows[a], right[b]
+    for a, b in _pairs(t["bucket"].to_numpy(), side):
+        guess = np.einsum("ij,ij->i", turned[a], code[b]) / factor[b]
+        maybe = (guess + spread[b] >= threshold) & (ids[a] != ids[b])
+        a, b = a[maybe], b[maybe]
         exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
         a, b = a[exact], b[exact]
-        if now:  # the first table in which two rows meet counts their link
+        if now and len(a):  # the first table in which two rows meet counts their link
             new = ~(keys[a, :now] == keys[b, :now]).any(axis=1)
             a, b = a[new], b[new]
         np.add.at(links, a, copies[b])
@@ -115,8 +135,8 @@ def _meet(t: pa.Table, dimension: int, turn_seed: int, threshold: float) -> pa.T
                 parent[max(ri, rj)] = min(ri, rj)
                 edges.append((i, j))
     some = np.flatnonzero(links)
-    u = np.concatenate([ids[some], ids[[i for i, _ in edges]]]) if edges else ids[some]
-    v = np.concatenate([np.full(len(some), -1), ids[[j for _, j in edges]]]) if edges else np.full(len(some), -1)
+    u = np.concatenate([ids[some], ids[np.array([i for i, _ in edges], np.int64)]])
+    v = np.concatenate([np.full(len(some), -1, np.int64), ids[np.array([j for _, j in edges], np.int64)]])
     count = np.concatenate([links[some], np.zeros(len(edges), np.int64)])
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "edge": pa.array(np.arange(len(u)) >= len(some)), "n": pa.array(count, pa.int64())})
 
@@ -166,5 +186,8 @@ def _near_of_length(classes: DataFrame, dimension: int, count: int, threshold: f
     here = here.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     here = here.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other")})
     here = here.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
-    full = here.select("class", "table", "bucket", "lo", "hi", "side").join(coded, "class")
-    return full.groupBy("table", "bucket", "lo", "hi").applyInArrow(lambda t: _meet(t, dimension, seed, threshold), "u long, v long, edge boolean, n long")
+    # small buckets go together, some thousand rows to a task's group; a bucket of several blocks goes by block pairs
+    cells = max(1, count // CELL_ROWS)
+    here = here.withColumn("cell", F.when(F.col("_blocks") == 1, F.pmod("bucket", F.lit(cells))).otherwise(-1 - F.col("bucket")))
+    full = here.select("class", "table", "bucket", "cell", "lo", "hi", "side").join(coded, "class")
+    return full.groupBy("table", "cell", "lo", "hi").applyInArrow(lambda t: _meet(t, dimension, seed, threshold), "u long, v long, edge boolean, n long")
