@@ -9,6 +9,9 @@ from heliobar.llm import kneser_ney as _  # noqa: F401  the subpackage has to be
 from heliobar.llm import minhash, mixing, packing, queries, secrets, toxicity
 from heliobar.llm.common import stage, table
 
+#: Least similarity, in percent, of sets of five-word shingles at which the near-duplicate stage removes a document.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on labelled rows outside the held-out fold, doesn't reject."""
@@ -17,8 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows that repeat an id count as one document."""
-    found = stage(minhash.near_duplicates(docs).select("doc_id", "kept"), "pipeline-kept")
+    """One document of each group: the one with the smallest id; rows that repeat an id count as one document.
+
+    Texts are linked from a similarity of ``NEAR_PERCENT`` on, lower than that of op7_minhash.
+    """
+    found = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "pipeline-kept")
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
