@@ -2,7 +2,7 @@
 
 Targets share the total by weight; a source is clamped at ``cap`` times its size and its excess is shared anew
 by weight until none is above. A source's target is then met by whole repetitions of all its documents and one
-more of a seeded part of them, taken in hash order.
+more of a seeded part of them, taken in hash order; what is larger than the room left is skipped, until nothing fits.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql.window import Window
 from .common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of the seeded order; only the bucket on the threshold is ever sorted.
+#: Buckets of the seeded order; only the buckets on a threshold are ever sorted.
 BUCKETS = 1 << 16
-#: Single rows added to a source's partial repetition to come nearer to its target.
-FILL_ROUNDS = 4
+PART = "struct<bucket:int,key:long,room:double>"
 
 
 def water_fill(sizes: list[float], weights: list[float], cap: float, total: float | None = None) -> list[float]:
@@ -51,16 +50,25 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, seed
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     slim = stage(base.select("source", size.alias("size"), key.alias("_key")), "mix-sizes")
-    plan = thresholds(slim, weights, cap, max_sources)
-    return apply_plan(base.withColumn("size", size).withColumn("_key", key), plan)
-
-
-def thresholds(slim: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, max_sources: int = 200_000) -> DataFrame:
-    """A row for each source: its size, target, whole repetitions and the last key of the partial one."""
-    spark = slim.sparkSession
-    keyed = slim.withColumn("_bucket", F.pmod("_key", F.lit(BUCKETS)).cast("int"))
-    table = stage(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "mix-buckets")
-    found = table.groupBy("source").agg(F.sum("_words").alias("n")).limit(max_sources + 1).collect()
+    units = stage(slim.groupBy("source", "_key").agg(F.sum("size").alias("size"), F.count("*").alias("_rows")), "mix-units")
+    plan = thresholds(units, weights, cap, max_sources)
+    sized = base.withColumn("size", size).withColumn("_key", key)
+    shared = units.where("_rows > 1 AND size > 0").select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("size").alias("_unit"))
+    if shared.isEmpty():
+        return apply_plan(sized.withColumn("_unit", F.col("size")), plan)
+    sized = sized.join(shared, sized["source"].eqNullSafe(shared["_s"]) & (sized["_key"] == shared["_k"]), "left").drop("_s", "_k")
+    return apply_plan(sized.withColumn("_unit", F.coalesce("_unit", "size")), plan)
+
+
+def thresholds(units: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, max_sources: int = 200_000) -> DataFrame:
+    """A row for each source: its size, target, whole repetitions and the parts of the partial one.
+
+    ``units`` has a row for each source and _key with its words. A part ends at a place of the hash order and
+    takes the units up to there that are not larger than its room. Rooms shrink from part to part, so a unit is
+    taken if any part that ends at or behind it has room for it.
+    """
+    spark = units.sparkSession
+    found = units.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
@@ -69,52 +77,52 @@ def thresholds(slim: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, max_s
     for r, t in zip(found, targets, strict=True):
         whole = int(t // r["n"]) if r["n"] else 0
         rows.append((r["source"], int(r["n"]), float(t), whole, float(t - whole * r["n"])))
-    plan = spark.createDataFrame(rows, "_source string, source_size long, target double, _whole long, _rest double")
-    order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    below = table.withColumn("_below", F.coalesce(F.sum("_words").over(order), F.lit(0)))
-    edge = (
-        below.join(F.broadcast(plan), below["source"].eqNullSafe(plan["_source"]))
-        .where("_below <= _rest AND _below + _words > _rest")
-        .select("_source", "_rest", "_below", F.col("_bucket").alias("_edge"))
-    )
-    # of a source's rows only those of the bucket on the threshold are sorted: 1 / BUCKETS of them
-    inner = Window.partitionBy("source").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    last = (
-        keyed.join(F.broadcast(edge), keyed["source"].eqNullSafe(edge["_source"]) & (F.col("_bucket") == F.col("_edge")))
-        .withColumn("_upto", F.col("_below") + F.sum("size").over(inner))
-        .groupBy("_source", "_edge", "_below", "_rest")
-        .agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.struct("_key", "_upto"))).alias("e"))
-    )
-    ends = {}
-    for r in last.collect():  # a row a source
-        key, upto = r["e"] or (None, r["_below"])
-        ends[r["_source"]] = [r["_edge"], key, [], r["_rest"] - upto]
-    schema = "_source string, _edge int, _last long, _more array<long>, _left double"
-    for _ in range(FILL_ROUNDS):  # the largest row beyond the threshold that still fits, so that long texts leave no gap
-        now = spark.createDataFrame([(k, *v) for k, v in ends.items()], schema)
-        free = keyed.join(F.broadcast(now), keyed["source"].eqNullSafe(now["_source"]))
-        free = free.where(~_taken_once()).where("size > 0 AND size <= _left")
-        best = free.groupBy("_source").agg(F.max(F.struct("size", "_key")).alias("b")).collect()
-        for r in best:
-            end = ends[r["_source"]]
-            end[2].append(r["b"]["_key"])
-            end[3] -= r["b"]["size"]
-        if not best:
-            break
-    rows = [(*r, *ends.get(r[0], (-1, None, [], 0.0))[:3]) for r in rows]
-    return spark.createDataFrame(rows, "_source string, source_size long, target double, _whole long, _rest double, _edge int, _last long, _more array<long>")
+    keyed = units.where("size > 0").withColumn("_bucket", _bucket())
+    parts = {r[0]: [] for r in rows}
+    now = [(r[0], -1, 0, r[4]) for r in rows if r[4] >= 1]
+    while now:  # a source's room gets smaller each time that it takes anything; one that takes nothing leaves
+        after = []
+        left = {r[0]: r[3] for r in now}
+        for r in _next_parts(keyed, spark.createDataFrame(now, "_source string, _b int, _k long, _room double")).collect():
+            source, end = r["_source"], r["e"]
+            parts[source].append((end["_bucket"], end["_key"], left[source]))
+            if left[source] - end["_upto"] >= 1:
+                after.append((source, end["_bucket"], end["_key"], left[source] - end["_upto"]))
+        now = after
+    rows = [(*r, parts[r[0]]) for r in rows]
+    return spark.createDataFrame(rows, f"_source string, source_size long, target double, _whole long, _rest double, _parts array<{PART}>")
+
+
+def _bucket():
+    return F.pmod("_key", F.lit(BUCKETS)).cast("int")
+
+
+def _next_parts(keyed: DataFrame, now: DataFrame) -> DataFrame:
+    """For each source of ``now``: the end of the longest run behind (_b, _k) of units that fit, and its words."""
+    free = keyed.join(F.broadcast(now), keyed["source"].eqNullSafe(now["_source"]))
+    free = free.where("size <= _room AND (_bucket > _b OR _bucket = _b AND _key > _k)")
+    order = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = free.groupBy("_source", "_room", "_bucket").agg(F.sum("size").alias("_words"), F.max("_key").alias("_key"))
+    sums = sums.withColumn("_upto", F.sum("_words").over(order))
+    whole = sums.where("_upto <= _room").select("_source", F.struct("_bucket", "_key", "_upto").alias("e"))
+    edge = sums.where("_upto > _room AND _upto - _words <= _room").select(F.col("_source").alias("_at"), F.col("_bucket").alias("_edge"), (F.col("_upto") - F.col("_words")).alias("_below"))
+    # of a source's units only those of the bucket on the threshold are sorted: 1 / BUCKETS of them
+    inner = Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    split = free.join(F.broadcast(edge), free["_source"].eqNullSafe(edge["_at"]) & (F.col("_bucket") == F.col("_edge")))
+    split = split.withColumn("_upto", F.col("_below") + F.sum("size").over(inner)).where("_upto <= _room")
+    ends = whole.unionByName(split.select("_source", F.struct("_bucket", "_key", "_upto").alias("e")))
+    return ends.groupBy("_source").agg(F.max("e").alias("e"))
 
 
 def _taken_once():
     """Whether a row has a place in its source's partial repetition."""
-    bucket = F.pmod("_key", F.lit(BUCKETS))
-    upto = (bucket == F.col("_edge")) & F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False))
-    return (bucket < F.col("_edge")) | upto | F.array_contains("_more", F.col("_key"))
+    place = F.struct(_bucket().alias("bucket"), F.col("_key").alias("key"))
+    return F.exists("_parts", lambda p: (place <= F.struct(p["bucket"].alias("bucket"), p["key"].alias("key"))) & (F.col("_unit") <= p["room"]))
 
 
 def apply_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """``sized`` has source, size and _key; the plan, a row a source and at most max_sources, is broadcast."""
+    """``sized`` has source, size, _key and _unit, the words of all rows of the key; the plan, a row a source and at most max_sources, is broadcast."""
     met = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["_source"]), "left")
     repeats = F.when(F.col("size") > 0, F.col("_whole") + _taken_once().cast("long")).otherwise(F.lit(0)).cast("long")
     out = met.withColumn("repeats", repeats).withColumn("taken", F.col("size") * F.col("repeats"))
-    return out.drop("_key", "_source", "_whole", "_rest", "_edge", "_last", "_more")
+    return out.drop("_key", "_unit", "_source", "_whole", "_rest", "_parts")
