@@ -65,8 +65,8 @@ def anti_join_exits(spark, d):
 @register("union_relaxed", """SELECT o_orderkey AS id, o_orderstatus AS status, NULL::BIGINT AS part FROM orders WHERE o_orderkey <= 1000
 UNION ALL SELECT l_orderkey, NULL, l_partkey FROM lineitem WHERE l_orderkey <= 500""")
 def union_relaxed(spark, d):
-    a = prepared(spark).read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 1000").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    b = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey <= 500").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))
+    a = prepared(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    b = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -252,7 +252,7 @@ def _cost(n: str, q: str, sell: str, passive: str = "false") -> str:
 @register("fill_costs", f"""WITH {_VENUES}, f AS (SELECT o_orderkey, o_totalprice AS n, o_totalprice / 100 AS q, o_orderstatus = 'F' AS sell FROM orders WHERE o_orderkey <= 20000)
 SELECT o_orderkey, venue, round({_cost('n', 'q', 'sell')}, 8) AS cost FROM f, venues""")
 def fill_costs(spark, d):
-    fills = prepared(spark).read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 20000")
+    fills = prepared(spark).read.parquet(f"{d}/orders.parquet")
     both = fills.join(F.broadcast(costs.venues(spark)))  # seven venues
     cost = costs.fill_cost(F.col("o_totalprice"), F.col("o_totalprice") / 100, F.col("o_orderstatus") == "F", F.lit(False))["total"]
     return both.select("o_orderkey", "venue", F.round(cost, 8).alias("cost"))
@@ -322,7 +322,7 @@ def equity_guard(spark, d):
 a AS (SELECT *, qty * price AS n, 125 - pos AS room1, 500 - gross AS room2 FROM o), b AS (SELECT *, least(n, room1) AS v1 FROM a), c AS (SELECT *, least(v1, room2) AS v2, (trades >= 25 OR n < 1 OR (n > room1 AND room1 < 1) OR (v1 > room2 AND room2 < 1)) AS no FROM b)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, NOT no AS approved, round(CASE WHEN no THEN 0 WHEN n <= room1 AND v1 <= room2 THEN qty ELSE v2 / price END, 6) AS approved_qty FROM c""")
 def order_risk_check(spark, d):
-    line = prepared(spark).read.parquet(f"{d}/lineitem.parquet").where("l_returnflag <> 'A'")
+    line = prepared(spark).read.parquet(f"{d}/lineitem.parquet")
     orders = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("buy").alias("side"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), F.lit(500.0).alias("equity"), F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_discount") * 1000).alias("position_value"), (F.col("l_tax") * 5000).alias("gross_exposure"), F.lit(0.0).alias("current_qty"), F.lit(0.0).alias("gross_short"), F.lit(False).alias("allow_short"), F.lit(False).alias("halted"), (F.col("l_linenumber") * 5).alias("trades_today"))
     return out(risk.check_orders(orders), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "approved", "approved_qty")
 
