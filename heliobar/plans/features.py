@@ -115,7 +115,7 @@ filled AS (SELECT series_id, date, last_value(value IGNORE NULLS) OVER (PARTITIO
 
 
 def _macro(spark, d):
-    orders = prepared(spark).read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0")
+    orders = prepared(spark).read.parquet(f"{d}/orders.parquet")
     return orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("value"))
 
 
@@ -137,7 +137,7 @@ _M = [rolled(a, "value", 60, 0, "series_id", "date") for a in ("avg", "stddev_sa
 @register("macro_features", f"""WITH {_MACRO} SELECT series_id, strftime(date, '%Y-%m-%d') AS date,
 round(value - lag(value, 21) OVER (PARTITION BY series_id ORDER BY date), 4) + 0.0 AS change, round((value - {_M[0]}) / nullif({_M[1]}, 0), 4) + 0.0 AS z FROM filled""")
 def macro_features(spark, d):
-    return out(series.macro_features(_filled(spark, d), 21, 60), "series_id", "date", "change", "z", digits=4)
+    return out(series.macro_features(_filled(spark, d)), "series_id", "date", "change", "z", digits=4)
 
 
 @register("full_outer_macro_panel", f"""WITH {_MACRO}, a AS (SELECT date, value AS urgent FROM macro WHERE series_id = '1-URGENT'), b AS (SELECT date, value AS low FROM macro WHERE series_id = '5-LOW')

@@ -43,3 +43,25 @@ def test_union_relaxed_takes_both_tables(spark, tmp_path):
 def test_order_risk_check_takes_all_lines(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "order_risk_check", {"lineitem": "SELECT * FROM {}"}, {"lineitem": "SELECT * REPLACE (CASE WHEN l_returnflag = 'A' THEN 'N' ELSE l_returnflag END AS l_returnflag) FROM {}"})
     same(got, want)
+
+
+@pytest.mark.parametrize("name", ["forward_fill", "full_outer_macro_panel"])
+def test_macro_queries_sum_all_orders(spark, tmp_path, name):
+    got, want = against_sql(spark, tmp_path, name, {"orders": "SELECT * FROM {}"}, {"orders": "SELECT * REPLACE (3 * o_orderkey AS o_orderkey) FROM {}"})
+    same(got, want)
+
+
+def test_macro_features_have_a_year_of_days(spark, tmp_path):
+    """The changes as in the SQL, the scores from 252 values of forward_fill."""
+    kept = {"orders": "SELECT * REPLACE (3 * o_orderkey AS o_orderkey) FROM {}"}
+    got, want = against_sql(spark, tmp_path, "macro_features", {"orders": "SELECT * FROM {}"}, kept)
+    same([x[:3] for x in got], [x[:3] for x in want])
+    filled = __spark_entry__.queries()["forward_fill"](spark, str(tmp_path)).orderBy("series_id", "date").toPandas()
+    z = {x[:2]: x[3] for x in got}
+    scored = 0
+    for series, rows in filled.groupby("series_id"):
+        last = rows["value"].rolling(252)
+        for date, score in zip(rows["date"], (rows["value"] - last.mean()) / last.std(), strict=True):
+            assert z[series, date] is None if score != score else z[series, date] == pytest.approx(score, abs=2e-4)
+            scored += score == score
+    assert scored > 1000
