@@ -19,9 +19,9 @@ from ..shipping import ship
 from . import textkernel as tk
 from .common import stage
 
-#: Units that a worker keeps from one batch to the next, and bytes of text it handles at a time.
-CACHE_UNITS = 2_500_000
-TEXT_BYTES = 32 << 20
+#: Units that a task keeps from one slice of texts to the next, and bytes of text it handles at a time.
+CACHE_UNITS = 250_000
+TEXT_BYTES = 4 << 20
 _STATE: dict = {}
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -42,11 +42,13 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
+        """Forgets all units: a worker outlives its tasks, and other operators need its memory."""
         self.known = np.zeros(0, np.uint64)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.byte_at, self.bytes, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
@@ -82,6 +84,8 @@ class UnitTokenizer:
         old = np.zeros(len(h), bool)
         inside = spot < len(self.known)
         old[inside] = self.known[spot[inside]] == h[inside]
+        if not (_alike(buf, starts, ends, buf, starts[where[back]], (ends - starts)[where[back]]) and _alike(buf, starts[where[old]], ends[where[old]], self.raw, self.byte_at[spot[old]], self.bytes[spot[old]])):
+            return self._one_by_one(buf, starts, ends, bounds)
         raw = buf.tobytes()
         new = np.flatnonzero(~old)
         sizes, flat = self._encode([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
@@ -90,22 +94,41 @@ class UnitTokenizer:
         at[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
         flat = np.concatenate([self.flat, flat])
         length = size.astype(np.int32)[back]
-        begin = np.cumsum(length) - length
-        narrow = np.int32 if len(flat) + int(length.sum(dtype=np.int64)) < 1 << 31 else np.int64
-        place = np.repeat((at[back] - begin).astype(narrow), length)
-        place += np.arange(len(place), dtype=narrow)
-        out = flat[place]
+        out = flat[_places(at[back], length)]
         if len(self.known) + len(new) > CACHE_UNITS:
-            # over the bound only this batch's units stay
-            spread = np.cumsum(size) - size
-            self.flat = flat[np.repeat(at - spread, size) + np.arange(int(size.sum()))]
-            self.known, self.at, self.size = h, spread, size
-        else:
-            known, at, size = np.concatenate([self.known, h[new]]), np.concatenate([self.at, at[new]]), np.concatenate([self.size, size[new]])
-            order = np.argsort(known)
-            self.known, self.at, self.size, self.flat = known[order], at[order], size[order], flat
-        total = np.concatenate([[0], np.cumsum(length)])
-        return out, np.diff(total[np.searchsorted(starts, bounds)])
+            self.clear()  # over the bound only this slice's units stay
+            new, flat, at = np.arange(len(h)), flat[_places(at, size)], np.cumsum(size) - size
+        first, n = starts[where[new]], (ends - starts)[where[new]]
+        byte_at = np.concatenate([self.byte_at, len(self.raw) + np.cumsum(n) - n])
+        known, at, size, n_all = np.concatenate([self.known, h[new]]), np.concatenate([self.at, at[new]]), np.concatenate([self.size, size[new]]), np.concatenate([self.bytes, n])
+        order = np.argsort(known)
+        self.known, self.at, self.size, self.byte_at, self.bytes = known[order], at[order], size[order], byte_at[order], n_all[order]
+        self.flat, self.raw = flat, np.concatenate([self.raw, buf[_places(first, n)]])
+        return out, _per_text(length, starts, bounds)
+
+    def _one_by_one(self, buf, starts, ends, bounds) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a slice in which two units share a hash: every unit is encoded where it stands."""
+        raw = buf.tobytes()
+        sizes, flat = self._encode([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return flat, _per_text(sizes, starts, bounds)
+
+
+def _places(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places at..at + size of each run, one after another."""
+    begin = np.cumsum(size, dtype=np.int64) - size
+    return np.repeat(at - begin, size) + np.arange(int(size.sum(dtype=np.int64)))
+
+
+def _per_text(length: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    return np.diff(total[np.searchsorted(starts, bounds)])
+
+
+def _alike(buf, starts, ends, other, at, size) -> bool:
+    """Whether all spans have the bytes of the spans that stand for them: equal hashes alone don't say so."""
+    if not np.array_equal(ends - starts, size):
+        return False
+    return bool(np.array_equal(buf[_places(starts, size)], other[_places(at, size)]))
 
 
 def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -124,21 +147,24 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, keep: l
         _STATE[path] = UnitTokenizer(path)
     tok: UnitTokenizer = _STATE[path]
     part, place = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        buf, bounds = tk.utf8(batch.column("text"))
-        for i, j in _slices(bounds):
-            ids, n = tok.ids(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            ends = np.cumsum(n + 1)
-            full = np.empty(len(ids) + len(n), tok.dtype)
-            mask = np.ones(len(full), bool)
-            mask[ends - 1] = False
-            full[mask], full[~mask] = ids, end_id
-            offsets = np.concatenate([[0], ends]) * full.itemsize
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())
-            cols = [batch.column(c).slice(i, j - i) for c in keep]
-            at = place + ends - (n + 1)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int64)), pa.array(at), pa.array(n + 1), blobs], names=[*keep, "_part", "_at", "_n", "_ids"])
-            place += int(ends[-1])
+    try:
+        for batch in batches:
+            buf, bounds = tk.utf8(batch.column("text"))
+            for i, j in _slices(bounds):
+                ids, n = tok.ids(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                ends = np.cumsum(n + 1)
+                full = np.empty(len(ids) + len(n), tok.dtype)
+                mask = np.ones(len(full), bool)
+                mask[ends - 1] = False
+                full[mask], full[~mask] = ids, end_id
+                offsets = np.concatenate([[0], ends]) * full.itemsize
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())
+                cols = [batch.column(c).slice(i, j - i) for c in keep]
+                at = place + ends - (n + 1)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int64)), pa.array(at), pa.array(n + 1), blobs], names=[*keep, "_part", "_at", "_n", "_ids"])
+                place += int(ends[-1])
+    finally:
+        tok.clear()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], window: int, dtype: str) -> Iterator[pa.RecordBatch]:
