@@ -37,6 +37,14 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column has it; Spark tells columns apart without regard to case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of ``edges`` (u, v), root being the smallest node reachable.
 
     Alternates large-star and small-star steps; each is a map-side combined minimum per node and a join
@@ -65,7 +73,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
     nodes = None
-    for _ in range(max_rounds):
+    while True:
         # large star: each larger neighbour, and the node itself, points to the smallest of the neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -88,7 +96,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cur = new
         if tuple(a) == tuple(b):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -87,8 +87,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, per: int) -> It
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(b.ravel()))
             short = (sig >> np.uint64(32)).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(n), pa.array(_keys(sets), pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["doc", "n", "key", "bands", "sig"],
+                [*(batch.column(c) for c in ("row", "doc", "hash")), pa.array(n), pa.array(_keys(sets), pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["row", "doc", "hash", "n", "key", "bands", "sig"],
             )
 
 
@@ -110,11 +110,18 @@ def _binary_sets(t: pa.Table) -> pa.Table:
     return t.set_column(t.column_names.index("set"), "set", pa.array(blobs, pa.binary()))
 
 
+def _full_sets(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(key, set) of the classes' first rows (doc, hash), found by id and text, whatever ids repeat or are null."""
+    wanted = classes.select(F.col("doc").alias("_d"), F.col("hash").alias("_h")).distinct()
+    found = texts.join(wanted, (texts["hash"] == wanted["_h"]) & texts["doc"].eqNullSafe(wanted["_d"]), "left_semi")
+    sets = found.select("text").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
+    return sets.where("key IS NOT NULL").dropDuplicates(["key"])
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (u, v, both with their class's document) whose full sets are similar enough."""
-    ends = pairs.select(F.col("ud").alias("doc")).unionByName(pairs.select(F.col("vd").alias("doc"))).distinct()
-    sets = texts.join(ends, "doc", "left_semi").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
-    sets = stage(sets.where("key IS NOT NULL").dropDuplicates(["key"]), "near-sets", "lz4")
+    """The pairs (u, v, both with their class's first row) whose full sets are similar enough."""
+    ends = pairs.select("ud.doc", "ud.hash").unionByName(pairs.select("vd.doc", "vd.hash"))
+    sets = stage(_full_sets(texts, ends, k), "near-sets", "lz4")
     a, b = sets.select(F.col("key").alias("v"), F.col("set").alias("sv")), sets.select(F.col("key").alias("u"), F.col("set").alias("su"))
     both = pairs.select("u", "v").join(a, "v").join(b, "u")
     same = F.size(F.array_intersect("su", "sv"))
@@ -145,7 +152,7 @@ def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
             i = parent[i]
         return i
 
-    pairs = []
+    found = []
     for i in np.flatnonzero(side != 1):
         other = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
         if side[i] == 2:
@@ -153,55 +160,67 @@ def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
         if len(other) and band:
             other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
         if len(other):
-            like = (sig[other] == sig[i]).mean(axis=1)
+            like = (sig[other] == sig[i]).mean(axis=1, dtype=np.float32)
             ok = like >= least
-            pairs += zip(like[ok].tolist(), [int(i)] * int(ok.sum()), other[ok].tolist(), strict=True)
-    pairs.sort(key=lambda x: -x[0])
+            found.append((like[ok], np.full(int(ok.sum()), i, np.int32), other[ok].astype(np.int32)))
+    like, left, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
+    order = np.argsort(-like, kind="stable")
     edges = []
-    for _, i, j in pairs:
-        a, b = root(int(comp[i])), root(int(comp[j]))
-        if a == b:
-            continue
-        same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(comp[i]), int(comp[j])))
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        now = np.array([root(c) for c in range(len(parent))])  # pairs that earlier links have joined are passed over
+        some = some[now[comp[left[some]]] != now[comp[other[some]]]]
+        for i, j in zip(left[some].tolist(), other[some].tolist(), strict=True):
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a == b:
+                continue
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                parent[max(a, b)] = min(a, b)
+                edges.append((int(comp[i]), int(comp[j])))
     take = lambda k: roots.dictionary.take(pa.array([e[k] for e in edges], pa.int64()))
     return pa.table({"u": take(0), "v": take(1)})
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int = BANDS, permutations_in_band: int = PERMUTATIONS_IN_BAND, id_col: str = "doc_id") -> DataFrame:
-    """A row for each of ``docs``: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, permutations_in_band: int = PERMUTATIONS_IN_BAND, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """A row for each of ``docs``: id, n_shingles, component_id, kept; with ``row_col`` also that column and chosen.
 
-    Sets are the distinct ``k``-word shingles of the whole text; with fewer words the sequence of all is the one
-    shingle; a text without words, or null, has an empty set, links with nothing and is kept. Two sets are linked
-    if 100 * intersection >= ``percent`` * union. Repeated rows are returned as often as they stand. ``percent``
-    is to be 80 or more.
+    Sets are the distinct ``k``-word shingles of the whole text, however long; with fewer words the sequence of all
+    is the one shingle; a text without words, or null, has an empty set, links with nothing and is kept. Two sets
+    are linked if 100 * intersection >= ``percent`` * union. ``percent`` is to be 80 or more.
+
+    Rows with equal sets are one class, which all joins go by, so ids may repeat or be null: a row that repeats an
+    id is linked by its own text; a null id is larger than all others, and component_id is null where all of a
+    component's are. Repeated rows are returned as often as they stand, an empty table gives no rows, and columns
+    that aren't named here are neither read nor returned, whatever their names. ``row_col`` names a column that is
+    different for every row and stays the same when ``docs`` is read again; chosen is then true for one row of each
+    component, that of the smallest id and, among rows of that id, the smallest ``row_col``.
     """
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), "text")
-    signed = stage(texts.mapInArrow(lambda it: _sign(it, k, bands, permutations_in_band), "doc long, n long, key binary, bands array<long>, sig binary"), "near-signed")
-    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
+    row = F.col(row_col) if row_col else F.lit(None)
+    texts = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    signed = stage(texts.mapInArrow(lambda it: _sign(it, k, bands, permutations_in_band), "row long, doc long, hash long, n long, key binary, bands array<long>, sig binary"), "near-signed")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "hash"))
+    classes = signed.where("key IS NOT NULL").groupBy("key").agg(first.alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
     classes = stage(classes, "near-classes")
-    spread = classes.select("key", "doc", "n", F.posexplode("bands").alias("band", "bucket"))
-    hubs = spread.groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "key", "n")).alias("hub")).where("rows > 1")
+    spread = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    hubs = spread.groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.min(F.struct("rep", "key", "n")).alias("hub")).where("rows > 1")
     members = stage(spread.join(hubs, ["band", "bucket"]), "near-members")
     # a pair whose sizes differ more than the threshold allows can't be linked
     fits = F.least("n", "hub.n") * 100 >= percent * F.greatest("n", "hub.n")
-    star = members.where(F.col("key") != F.col("hub.key")).where(fits).select(F.col("hub.key").alias("u"), F.col("key").alias("v"), F.col("hub.doc").alias("ud"), F.col("doc").alias("vd")).distinct()
-    first = _confirm(stage(star, "near-star"), texts, percent, k)
-    roots = stage(connected_components(first), "near-roots")
+    star = members.where(F.col("key") != F.col("hub.key")).where(fits).select(F.col("hub.key").alias("u"), F.col("key").alias("v"), F.col("hub.rep").alias("ud"), F.col("rep").alias("vd")).distinct()
+    star = stage(star, "near-star")
+    links = _confirm(star, texts, percent, k)
+    roots = stage(connected_components(links), "near-roots")
     # second pass: buckets with several components left
     here = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    here = stage(here.select("band", "bucket", "key", "doc", "n", "root", "rows"), "near-here")
+    here = stage(here.select("band", "bucket", "key", "rep", "root", "rows"), "near-here")
     split = here.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
     left = here.join(split, ["band", "bucket"], "left_semi")
-    wanted = left.select("doc").distinct()
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
-    sets = sets.where("key IS NOT NULL").dropDuplicates(["key"])
+    sets = _full_sets(texts, left.select("rep.doc", "rep.hash"), k)
     sigs = signed.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"))
     full = stage(sigs.join(sets, "key"), "near-full", "lz4")
     left = left.join(full, "key")
@@ -210,16 +229,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, bands: int =
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     left = left.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other")})
     left = left.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
+    left = left.select("band", "bucket", "lo", "hi", "side", "root", "sig", "bands", "set")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (2 * bands * permutations_in_band)) ** 0.5
     second = left.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u binary, v binary")
     top = connected_components(second)
-    final = classes.select("key", "doc", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    final = classes.select("key", "rep", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left")
     final = final.withColumn("root", F.coalesce("root", "key"))
     final = final.join(top.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
     final = final.withColumn("root", F.coalesce("upper", "root"))
-    least_doc = final.groupBy("root").agg(F.min("doc").alias("component_id"), F.sum("copies").alias("docs")).where("docs > 1").drop("docs")
-    named = stage(final.join(least_doc, "root").select("key", "component_id"), "near-named")
-    out = signed.select("doc", "n", "key").join(named, "key", "left")
-    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    least_doc = final.groupBy("root").agg(F.min("rep").alias("top"), F.sum("copies").alias("docs")).where("docs > 1").drop("docs")
+    named = stage(final.join(least_doc, "root").select("key", F.col("top.doc").alias("component_id"), F.col("top.row").alias("first_row"), F.lit(True).alias("grouped")), "near-named")
+    # rows without a set would all meet under one null key
+    out = signed.where("key IS NOT NULL").select("row", "doc", "n", "key").join(named, "key", "left").drop("key")
+    empty = signed.where("key IS NULL").select("row", "doc", "n")
+    out = out.unionByName(empty, allowMissingColumns=True)
+    component = F.when(F.coalesce("grouped", F.lit(False)), F.col("component_id")).otherwise(F.col("doc"))
+    chosen = [F.col("row").alias(row_col), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("chosen")] if row_col else []
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), *chosen)
+    for done in (members, star, links, roots, here, full, classes):
+        drop_stage(done)
+    return out

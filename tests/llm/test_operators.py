@@ -91,6 +91,27 @@ def test_packing_round_trip(spark):
     assert packing.concatenate_and_cut(docs(spark, ["a"]).limit(0), path).count() == 0
 
 
+def test_units_that_share_a_hash_are_encoded_apart(monkeypatch):
+    path = queries.tokenizer_path()
+    texts = [*corpus(10), "plain words, and marks; (some)", ""]
+    tok = packing.UnitTokenizer(path)
+    buf, bounds = tk.utf8(pa.array(texts))
+    want = tok.ids(buf, bounds)
+    assert all(np.array_equal(a, b) for a, b in zip(tok.ids(buf, bounds), want, strict=True))  # all from memory
+    monkeypatch.setattr(packing.tk, "hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    got = packing.UnitTokenizer(path).ids(buf, bounds)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    monkeypatch.setattr(packing.tk, "hashes", lambda buf, starts, ends: np.full(len(starts), tok.known[0], np.uint64))
+    assert all(np.array_equal(a, b) for a, b in zip(tok.ids(buf, bounds), want, strict=True))
+
+
+def test_packing_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (None, "d", "x"), (None, None, "x")], "doc_id long, text string, start string")
+    got = packing.concatenate_and_cut(df, queries.tokenizer_path(), window=4).collect()
+    assert sum(r["length"] for r in got) == 4 + 4 + 2 + 1
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == [("1", 4), ("1", 4), ("None", 1), ("None", 2)]
+
+
 def test_water_filling():
     assert mixing.water_fill([10, 10], [1, 3], 3) == [5, 15]
     assert mixing.water_fill([1, 99], [3, 1], 3) == [3, 97]
@@ -111,7 +132,8 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert mixing.mix_sources(docs(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_minhash_against_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_against_brute_force(spark, percent):
     r = random.Random(4)
     texts = [*ODD, *corpus(30, 9)]
     base = corpus(4, 11)
@@ -127,15 +149,30 @@ def test_minhash_against_brute_force(spark):
     for t in texts:
         w = words(t)
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = components(len(sets), links)
-    got = minhash.near_duplicates(docs(spark, texts)).collect()
+    got = minhash.near_duplicates(docs(spark, texts), percent).collect()
     assert len(got) == len(texts)
     for x in got:
         assert (x["n_shingles"], x["component_id"], x["kept"]) == (len(sets[x["doc_id"]]), want[x["doc_id"]], want[x["doc_id"]] == x["doc_id"])
     assert minhash.near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_minhash_with_repeated_and_null_ids(spark):
+    """Rows are linked by their own texts; the chosen row of a component is the first by id, then by row."""
+    w = [f"w{i}" for i in range(200)]
+    near = " ".join([*w[:100], "other", *w[101:]])
+    base, apart = " ".join(w), " ".join(w[::-1])
+    rows = [(0, 7, base), (1, None, near), (2, 7, apart), (3, None, base), (4, None, "alone of its kind"), (5, None, ""), (6, 7, base), (7, None, None), (8, 3, apart), (9, None, "z y x"), (10, None, "z y x")]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "r long, doc_id long, text string, key string")
+    got = {x["r"]: (x["doc_id"], x["component_id"], x["kept"], x["chosen"]) for x in minhash.near_duplicates(df, row_col="r").collect()}
+    assert got == {
+        0: (7, 7, True, True), 1: (None, 7, False, False), 2: (7, 3, False, False), 3: (None, 7, False, False), 4: (None, None, True, True),
+        5: (None, None, True, True), 6: (7, 7, True, False), 7: (None, None, True, True), 8: (3, 3, True, True),
+        9: (None, None, True, True), 10: (None, None, True, False),
+    }
+
+
 def test_members_of_a_bucket_meet_once_their_hub_fails():
     """Signatures agree, the hub is far from both: the two others are joined by their sets."""
     sets = [np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64) + 500, np.arange(13, 113, dtype=np.uint64) + 500]
