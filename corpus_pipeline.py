@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from heliobar.llm import kneser_ney as _  # noqa: F401  the subpackage has to be there as a whole
 from heliobar.llm import minhash, mixing, packing, queries, secrets, toxicity
-from heliobar.llm.common import stage, table
-
-#: Least similarity, in percent, of sets of five-word shingles at which the near-duplicate stage removes a document.
-NEAR_PERCENT = 80
-
+from heliobar.llm.common import free_name, stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on labelled rows outside the held-out fold, doesn't reject."""
@@ -20,17 +16,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows that repeat an id count as one document.
+    """One row of each group of near copies (similarity 0.8 or more), that of the smallest id.
 
-    Texts are linked from a similarity of ``NEAR_PERCENT`` on, lower than that of op7_minhash.
+    Rows are told apart by a number that a written table fixes, not by their ids: unrelated texts that share an id
+    all stay, exact repeats of a row are a group, texts without words all stay, null ids come last.
     """
-    found = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "pipeline-kept")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left.select(docs.columns)
+    key = free_name(docs.columns, "row_number")
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, row_col=key)
+    gone = stage(found.where("NOT chosen").select(key), "pipeline-gone")
+    return rows.join(gone, key, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
