@@ -2,59 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns it reread: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_name(taken: list[str], name: str) -> str:
-    """``name``, made longer until no column has it; Spark tells columns apart without regard to case."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Deletes what ``stage`` wrote, once nothing reads it any more."""
-    for f in df.inputFiles()[:1]:
-        drop_path(df.sparkSession, f.rsplit("/", 1)[0])
+from ..staging import drop_path, drop_stage, free_name, numbered, scratch_path, scratch_root, stage  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -33,27 +34,46 @@ def write_file(uri: str, write) -> int:
     return size
 
 
-def save_array(uri: str, array: np.ndarray) -> None:
+def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays in one file: a header that says what stands where, then their bytes at multiples of 64."""
+    layout, at = {}, 0
+    for name, a in arrays.items():
+        layout[name] = [a.dtype.str, list(a.shape), at]
+        at += -(-a.nbytes // 64) * 64
+    head = json.dumps(layout).encode()
+    head = len(head).to_bytes(8, "little") + head
+    head += b" " * (-len(head) % 64)
+
     def write(out):
-        np.lib.format.write_array_header_1_0(out, np.lib.format.header_data_from_array_1_0(array))
-        out.write(np.ascontiguousarray(array).data.cast("B") if array.size else b"")
+        out.write(head)
+        for a in arrays.values():
+            if a.size:
+                out.write(np.ascontiguousarray(a).reshape(-1).view(np.uint8).data)
+                out.write(b"\0" * (-a.nbytes % 64))
 
     write_file(uri, write)
 
 
-def map_array(uri: str) -> np.ndarray:
-    """The array, memory-mapped. From a store that isn't local the file is first fetched, and unlinked once mapped."""
+def map_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of one file, all views of one memory map."""
+    raw = _local(uri, lambda path: np.memmap(path, np.uint8, "r"))
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    base = -(-(8 + size) // 64) * 64
+    out = {}
+    for name, (kind, shape, at) in json.loads(raw[8 : 8 + size].tobytes()).items():
+        n = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[name] = raw[base + at : base + at + n].view(kind).reshape(shape)
+    return out
+
+
+def _local(uri: str, map_file):
+    """The mapped file. From a store that isn't local it is first fetched, and unlinked once mapped."""
     files, path = open_fs(uri)
     if type(files).__name__ == "LocalFileSystem":
-        return _mapped(path)
+        return map_file(path)
     with tempfile.NamedTemporaryFile() as copy:
         with files.open_input_stream(path) as src:
             while block := src.read(8 << 20):
                 copy.write(block)
         copy.flush()
-        return _mapped(copy.name)
-
-
-def _mapped(path: str) -> np.ndarray:
-    array = np.load(path, mmap_mode="r", allow_pickle=False) if os.path.getsize(path) else None
-    return np.zeros(0) if array is None else array
+        return map_file(copy.name)
