@@ -47,8 +47,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k, quantised
 
-    rows = quantised(table(spark, sf_dir, "embeddings"))
-    return exact_top_k(rows, rows.where("vec_id % 100 = 0"))
+    return exact_top_k(quantised(table(spark, sf_dir, "embeddings")), "vec_id % 100 = 0")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,29 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation over integer vectors.
 
-Queries go in blocks of a fixed size, each broadcast after its size is checked. A task turns a block of candidate
-rows into postings by component; every non-zero component of a query scatters its weighted postings into a dense
-array of scores. The task keeps the best k of each query, and a partial-to-final selection merges the tasks'.
+Queries are written in files of a bounded size. A task turns a block of candidate rows into postings by component
+and takes the queries file by file; every non-zero component of a query scatters its weighted postings into a dense
+array of scores. It keeps the best k of each query, and a partial-to-final selection merges the blocks'. So one plan
+serves any number of queries, nothing is broadcast, and a task holds a block of either side at most.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import stage
+from .common import scratch_path, stage
+from .shared import open_fs
 
-#: Queries of one pass; with QUERY_BYTES the bound of what is broadcast.
+#: Queries of one file at most, candidate rows scored at a time at most, and bytes of either.
 QUERY_BLOCK = 4096
-QUERY_BYTES = 64 << 20
-#: Candidate rows scored at a time.
-ROWS = 8192
+ROWS = 1 << 16
+BLOCK_BYTES = 32 << 20
 
 
 def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,69 +47,96 @@ def _postings(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(places[a]): (rows[a:b], values[a:b]) for a, b in zip(at, ends, strict=True)}
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
+def _best(scores: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id, null ids last."""
     if len(scores) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         pick = np.flatnonzero(scores >= floor)
     else:
         pick = np.arange(len(scores))
-    return pick[np.lexsort((ids[pick], -scores[pick]))[:k]]
-
-
-def _search(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
-    q_ids, q_terms = pickle.loads(queries.value)
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-    for whole in batches:
-        for i in range(0, whole.num_rows, ROWS):
-            part = whole.slice(i, ROWS)
-            ids, postings = part.column("id").to_numpy(), _postings(part.column("v"))
-            for q, (qid, terms) in enumerate(zip(q_ids, q_terms, strict=True)):
+    return pick[np.lexsort((ids[pick], none[pick], -scores[pick]))[:k]]
+
+
+def _queries(files: list[str]) -> Iterator[tuple[np.ndarray, pa.Array, list]]:
+    """Rows, ids and non-zero components of the queries of each file."""
+    import pyarrow.parquet as pq
+
+    for uri in files:
+        fs, path = open_fs(uri)
+        t = pq.read_table(path, columns=["row", "id", "v"], filesystem=fs, partitioning=None)
+        v = t["v"].combine_chunks()
+        at, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+        terms = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        if terms:
+            yield t["row"].to_numpy(), t["id"].combine_chunks(), terms
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together, or cut, to ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            held.append(part)
+            n += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _search(batches: Iterator[pa.RecordBatch], files: list[str], rows: int, k: int) -> Iterator[pa.RecordBatch]:
+    names = ["query_row", "query_id", "vec_id", "score"]
+    for part in _blocks(batches, rows):
+        numbers, null = part["row"].to_numpy(), part["id"].is_null().to_numpy()
+        ids, postings = part["id"].fill_null(0).to_numpy(), _postings(part["v"].combine_chunks())
+        for q_rows, q_ids, terms in _queries(files):
+            found = []
+            for q, values in enumerate(terms):
                 scores = np.zeros(len(ids), np.int64)
-                for place, weight in terms:
+                for place in np.flatnonzero(values).tolist():
                     if place in postings:
-                        rows, values = postings[place]
-                        if len(rows) == len(scores):
-                            scores += values * weight
+                        at, weights = postings[place]
+                        if len(at) == len(scores):
+                            scores += weights * values[place]
                         else:
-                            scores[rows] += values * weight
-                other = ids != qid
-                s, n = scores[other], ids[other]
-                pick = _best(s, n, k)
-                s, n = np.concatenate([best[q][0], s[pick]]), np.concatenate([best[q][1], n[pick]])
-                pick = _best(s, n, k)
-                best[q] = (s[pick], n[pick])
-    sizes = [len(s) for s, _ in best]
-    if sum(sizes):
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, np.int64), sizes)), pa.array(np.concatenate([n for _, n in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "vec_id", "score"])
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query, without its own id.
-
-    Both tables hold arrays of whole numbers; rows that are null or hold nulls take no part. Components missing
-    from a shorter vector count as zero; scores must fit 64 bits. Ties go to the smaller id; rows that repeat an
-    id are candidates each, and a query that repeats is answered once for each of its rows' ids.
+                            scores[at] += weights * values[place]
+                own = np.flatnonzero(numbers == q_rows[q])  # the query's own row, if it is among these
+                pick = _best(scores, ids, null, k + len(own))
+                found.append((pick[~np.isin(pick, own)][:k], scores))
+            sizes = [len(p) for p, _ in found]
+            pick = np.concatenate([p for p, _ in found])
+            score = np.concatenate([s[p] for p, s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_rows, sizes)), q_ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(ids[pick], mask=null[pick]), pa.array(score)], names=names)
+
+
+def exact_top_k(vectors: DataFrame, asked: str | Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query with all other rows.
+
+    The rows of ``vectors`` that ``asked`` holds for are the queries; each is compared with every row but itself.
+    Vectors are arrays of whole numbers; those that are null or hold nulls take no part. Components missing from a
+    shorter vector count as zero; scores must fit 64 bits. Ties go to the smaller id, null ids last. Ids may repeat:
+    each row is a candidate of its own, also of a query with the same id, and each query row has its own answer.
+    Rows with a null id are candidates, and queries if ``asked`` holds. An empty table, or no query, gives no rows.
+    Other columns aren't read, whatever their names.
     """
     spark = vectors.sparkSession
     ship(spark)
-    whole = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<bigint>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
-    candidates = stage(whole(vectors), "topk-rows", "lz4")
-    asked = whole(queries).dropDuplicates(["id"])
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    numbered = stage(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "topk-queries")
-    parts = None
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).select("id", "v").orderBy("id").toArrow()  # about QUERY_BLOCK rows
-        if rows.nbytes > QUERY_BYTES:
-            raise ValueError(f"a block of queries takes {rows.nbytes} bytes; make QUERY_BLOCK smaller")
-        terms = [[(j, x) for j, x in enumerate(v) if x] for v in rows["v"].to_pylist()]
-        held = spark.sparkContext.broadcast(pickle.dumps((rows["id"].to_pylist(), terms)))
-        found = candidates.mapInArrow(lambda it, held=held: _search(it, held, k), "query_id long, vec_id long, score long")
-        parts = found if parts is None else parts.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    condition = F.expr(asked) if isinstance(asked, str) else asked
+    v = F.col(vec_col).cast("array<bigint>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(condition, F.lit(False)).alias("asked"))
+    rows = rows.where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)").withColumn("row", F.monotonically_increasing_id())
+    rows = stage(rows, "topk-rows", "lz4")  # numbers are fixed from here on
+    widest = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    room = max(1, BLOCK_BYTES // (8 * widest))
+    path = scratch_path(spark, "topk-queries")
+    rows.where("asked").select("row", "id", "v").write.option("maxRecordsPerFile", min(room, QUERY_BLOCK)).parquet(path)
+    files = sorted(spark.read.schema("row long, id long, v array<bigint>").parquet(path).inputFiles())  # a name for thousands of queries
+    found = rows.select("row", "id", "v").mapInArrow(lambda it: _search(it, files, min(room, ROWS), k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
