@@ -1,32 +1,78 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from heliobar.llm import mixing
 
+SCHEMA = "doc_id long, source string, text string"
 
-def in_hash_order(spark, ids):
-    key = F.xxhash64(F.lit(17), "doc_id")
-    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.pmod(key, F.lit(mixing.BUCKETS)), key)
-    return [r["doc_id"] for r in rows.collect()]
-
-
-@pytest.mark.parametrize("copies", [1, 2])
-def test_a_long_text_at_the_threshold_leaves_no_gap(spark, copies):
-    """Half of a source is taken; a text of half its words stands where the half is nearly full."""
-    rows = []
-    for k, source in enumerate(("a", "b")):
-        order = in_hash_order(spark, range(1000 * k, 1000 * k + 400))
-        for n, i in enumerate(order):
-            rows += [(i, source, "w " * (3000 if n == 190 else 5 + n % 11))] * copies
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
-    got = mixing.mix_sources(docs, weights=(1.0, 3.0)).collect()
-    assert len(got) == 800 * copies
-    taken, target, fates = defaultdict(int), {}, defaultdict(set)
-    for r in got:
-        taken[r["source"]] += r["taken"]
-        target[r["source"]] = r["target"]
-        fates[r["doc_id"]].add(r["repeats"])
-    assert all(0 <= target[s] - taken[s] < 5 * copies for s in target)
-    assert all(len(x) == 1 for x in fates.values())
+
+def brute_force(keys, weights, cap=3.0):
+    """Times that each unit's copies are taken, by the rule: hash order, what doesn't fit is passed over."""
+    sizes = defaultdict(int)
+    for source, _, size in keys:
+        sizes[source] += size
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    target = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], cap), strict=True))
+    out = Counter()
+    for s in names:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        room = target[s] - whole * sizes[s]
+        for k, size in sorted(((k, n) for x, k, n in keys if x == s and n), key=lambda x: (x[0] % mixing.BUCKETS, *x)):
+            fits = size <= room
+            room -= size * fits
+            out[s, k, size, whole + fits] += 1
+        for k, size in ((k, n) for x, k, n in keys if x == s and not n):
+            out[s, k, size, 0] += 1
+    return target, out
+
+
+def check(spark, rows, weights):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    keys = [(r["source"], r["key"], r["size"]) for r in mixing.keyed(docs, 17).collect()]
+    target, want = brute_force(keys, weights)
+    mixed = mixing._mixed(docs, weights, 3.0, 17, "doc_id").collect()
+    key = {(*r["row"],): r["key"] for r in mixing.keyed(docs, 17).collect()}
+    got = Counter((r["row"]["source"], key[(*r["row"],)], r["size"], r["repeats"]) for r in mixed)
+    assert got == want
+    assert all(r["target"] == pytest.approx(target[r["row"]["source"]]) for r in mixed)
+    return target, mixed
+
+
+def test_a_long_text_at_the_threshold_leaves_no_gap(spark):
+    """A text of half of what is taken stands in the order; the rows behind it fill the target all the same."""
+    rows = [(i, "ab"[i % 2], "w " * (1500 if i % 90 == 0 else 5 + i % 11)) for i in range(800)]
+    target, mixed = check(spark, rows, (1.0, 3.0))
+    for s in "ab":
+        assert 0 <= target[s] - sum(r["size"] * r["repeats"] for r in mixed if r["row"]["source"] == s) < 5
+
+
+def test_copies_of_a_row_are_taken_one_by_one(spark):
+    rows = [(1, "a", "one two three four five")] * 40 + [(2, "b", "x " * 1000)] + [(None, None, "z y")] * 7 + [(3, "c", ""), (3, "c", None)]
+    target, mixed = check(spark, rows, (1.0, 20.0))
+    taken = Counter()
+    for r in mixed:
+        taken[r["row"]["source"]] += r["size"] * r["repeats"]
+    assert len(mixed) == len(rows) and 0 <= target["a"] - taken["a"] < 5
+
+
+def test_rows_that_share_an_id_have_their_own_fates(spark):
+    rows = [(i % 5, "s", f"w{i} " * (3 + i % 4)) for i in range(200)] + [(0, "t", "u " * 900)]
+    check(spark, rows, (1.0, 5.0))
+
+
+def test_more_sources_than_a_list_holds(spark):
+    rows = [(i, f"s{i:04d}", "w " * (1 + i % 50)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["source"]: r["target"] for r in mixing.mix_sources(docs).collect()}
+    want = mixing.water_fill([1 + i % 50 for i in range(1500)], [1.0 + i % 3 for i in range(1500)], 3.0)
+    assert [got[f"s{i:04d}"] for i in range(1500)] == pytest.approx(want)
+
+
+def test_columns_that_clash_stay(spark):
+    names = ["_key", "_source", "key", "row", "bucket", "parts", "whole", "n", "block", "size", "taken"]
+    docs = spark.createDataFrame([(1, "a", "b c", *names)], f"{SCHEMA}, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix_sources(docs).first().asDict()
+    assert all(got[n] == n for n in names if n not in mixing.MEASURES)
+    assert (got["size"], got["taken"], got["source_size"]) == (2, 2, 2)
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
