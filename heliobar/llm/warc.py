@@ -14,19 +14,22 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import scratch_path, stage
-from .shared import open_fs, write_file
+from .common import drop_stage, scratch_path, stage
+from .shared import map_arrays, open_fs, save_arrays, write_file
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/"
 #: Bytes of one archive, about, and of one range of the reader.
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+#: Repeated digests in one shard of their index.
+SHARD_DIGESTS = 2_000_000
 #: A payload shorter than this is always stored.
 REVISIT_BYTES = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,7 +51,10 @@ def record(page_id, url, payload: bytes, size: int, sha1_hex: str, refers_to) ->
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%-._~"))
+        uri = quote(url, safe=":/?#[]@!$&'()*+,;=%-._~")
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:  # what a header can't hold comes back as it was given
+            head.append("X-Given-URI: " + base64.b64encode(url.encode()).decode())
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -56,7 +62,36 @@ def record(page_id, url, payload: bytes, size: int, sha1_hex: str, refers_to) ->
     return z.compress(raw) + z.flush()
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int) -> Iterator[pa.RecordBatch]:
+def _store(t: pa.Table, folder: str) -> pa.Table:
+    """One shard of repeated digests: stores them sorted, with the page that holds the payload."""
+    shard = int(t["shard"][0].as_py())
+    digest = np.frombuffer(b"".join(bytes.fromhex(x) for x in t["digest"].to_pylist()), "S20")
+    order = np.argsort(digest)
+    save_arrays(f"{folder}/{shard}", {"digest": digest[order], "first": t["first"].to_numpy()[order]})
+    return pa.table({"shard": pa.array([shard], pa.int64())})
+
+
+class Repeated:
+    """Looks digests up in the stored shards, memory-mapped."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards, self.open = folder, shards, {}
+
+    def first(self, digest: str):
+        raw = bytes.fromhex(digest)
+        shard = int(digest[:8], 16) % self.shards
+        if shard not in self.open:
+            try:
+                self.open[shard] = map_arrays(f"{self.folder}/{shard}")
+            except FileNotFoundError:
+                self.open[shard] = {"digest": np.zeros(0, "S20"), "first": np.zeros(0, np.int64)}
+        known, first = self.open[shard]["digest"], self.open[shard]["first"]
+        key = np.frombuffer(raw, "S20")[0]
+        at = int(np.searchsorted(known, key))
+        return int(first[at]) if at < len(known) and known[at] == key else None
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int, repeated: Repeated) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, number, held, size, records, done = TaskContext.get().partitionId(), 0, [], 0, 0, []
@@ -69,9 +104,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int) -> Iterato
             number, held, size, records = number + 1, [], 0, 0
 
     for batch in batches:
-        for r in batch.to_pylist():
-            data = r["payload"] or b""
-            held.append(record(r["page_id"], r["url"], data, r["size"], r["digest"], r["refers_to"]))
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            first = repeated.first(r["digest"]) if r["size"] >= REVISIT_BYTES else None
+            again = first is not None and first != r["page_id"]
+            held.append(record(r["page_id"], r["url"], b"" if again else r["payload"], r["size"], r["digest"], first if again else None))
             size += len(held[-1])
             records += 1
             if size >= most:
@@ -85,8 +122,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """Writes a record for each row and returns the manifest (path, bytes, records).
 
     Of the rows with equal payloads of at least REVISIT_BYTES, those with the largest id are responses and others
-    revisit it; a null payload is an empty one. A null id is written without one and never referred to. Rows with
-    equal ids and payloads are stored each.
+    revisit it; a null payload is an empty one, a long one is written whole. A null id is written without one and
+    never referred to. Rows with equal ids and payloads are stored each. An empty table writes nothing. Columns other
+    than the three named aren't read, whatever their names.
+
+    Payloads are never shuffled: only digests and ids are grouped, and repeated ones are looked up where rows stand.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -94,14 +134,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     base = base.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
-    # only keys and ids are dealt by digest; equal ones are counted before they are sent
+    # equal ones are counted before they are sent
     same = base.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("rows"), F.max("page_id").alias("first"))
-    same = stage(same.where("rows > 1 AND first IS NOT NULL").select(F.col("digest").alias("same"), "first"), "warc-equal")
-    joined = base.join(same, (F.col("digest") == F.col("same")) & (F.col("size") >= REVISIT_BYTES), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = joined.withColumn("refers_to", refers)
-    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
-    return stage(rows.mapInArrow(lambda it: _write(it, folder, archive_bytes), "path string, bytes long, records long"), "warc-manifest")
+    same = stage(same.where("rows > 1 AND first IS NOT NULL").select("digest", "first"), "warc-equal")
+    shards = max(1, -(-same.count() // SHARD_DIGESTS))
+    index = scratch_path(spark, "warc-index")
+    sharded = same.withColumn("shard", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % shards)
+    drop_stage(stage(sharded.groupBy("shard").applyInArrow(lambda t: _store(t, index), "shard long"), "warc-stored"))
+    drop_stage(same)
+    return stage(base.mapInArrow(lambda it: _write(it, folder, archive_bytes, Repeated(index, shards)), "path string, bytes long, records long"), "warc-manifest")
 
 
 def members(source, start: int, end: int, block: int = 1 << 16) -> Iterator[bytes]:
@@ -160,8 +201,9 @@ def parse(raw: bytes) -> dict:
         text = fields[name].strip(b"<>").rpartition(b":")[2] if name in fields else b""
         return int(text) if text else None
 
-    uri = fields.get(b"warc-target-uri")
-    return {"page_id": page(b"warc-record-id"), "url": uri and uri.decode(), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": page(b"warc-refers-to"), "payload": payload if kind == "response" else None}
+    uri, given = fields.get(b"warc-target-uri"), fields.get(b"x-given-uri")
+    url = base64.b64decode(given).decode() if given else uri and uri.decode()
+    return {"page_id": page(b"warc-record-id"), "url": url, "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": page(b"warc-refers-to"), "payload": payload if kind == "response" else None}
 
 
 _SCHEMA = {"page_id": "long", "url": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "payload": "binary"}
@@ -188,7 +230,10 @@ def _read(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.
 
 
 def read_archives(manifest: DataFrame, columns: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Records of the archives in ``manifest`` (path, bytes): a row for each, of the columns asked for."""
+    """Records of the archives in ``manifest`` (path, bytes): a row for each, of the columns asked for.
+
+    A url comes back as it was given; a revisit has no payload. An empty manifest gives no rows.
+    """
     spark = manifest.sparkSession
     ship(spark)
     columns = columns or list(_SCHEMA)
