@@ -2,7 +2,8 @@
 
 Languages are joined to families by the likeness of their mean character n-gram profiles. One linear support
 vector machine against the rest for each family picks the family; one-versus-one machines inside it vote for the
-language. Profiles are byte 2- and 4-grams of the whole text, letters only, hashed.
+language. Profiles are byte 2- and 4-grams of the whole text, letters only, hashed. They stay sparse, and every
+machine is trained in a task of its own, so that the driver holds a mean for each language and the weights.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
+from .common import stage
 
 #: Hashed profile cells of each gram length.
 CELLS = 1 << 13
-#: Labelled documents of each language that the machines learn from, about, and languages at most.
+#: Labelled documents of each language that the machines learn from, about.
 SAMPLE_PER_LANGUAGE = 500
-MAX_LANGUAGES = 64
+#: Machines whose margins are summed at a time.
+TOGETHER = 8
 SCALE = 30.0
 _BYTES = 1 << 20
 
@@ -81,20 +85,37 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "cells", "counts"])
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+def _sparse(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells and scaled shares of each profile."""
+    out = []
+    for cells, counts in zip(t["cells"].to_pylist(), t["counts"].to_pylist(), strict=True):
+        n = np.frombuffer(counts, "<u4")
+        out.append((np.frombuffer(cells, "<u2").astype(np.int64), (SCALE * n / max(n.sum(), 1)).astype(np.float32)))
+    return out
+
+
+def _mean(t: pa.Table) -> pa.Table:
+    mean = np.zeros(2 * CELLS, np.float32)
+    for cells, x in _sparse(t):
+        mean[cells] += x / t.num_rows
+    return pa.table({"lang": t["lang"].slice(0, 1), "mean": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+
+def _machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised hinge-loss machine, by dual coordinate descent; y is +1 or -1."""
     rng, n = np.random.default_rng(3), len(y)
-    norm = np.einsum("ij,ij->i", x, x) + 1.0
-    alpha, w, b = np.zeros(n), np.zeros(x.shape[1], np.float32), 0.0
+    norm = np.array([float(v @ v) + 1.0 for _, v in x])
+    alpha, w, b = np.zeros(n), np.zeros(2 * CELLS, np.float32), 0.0
     costs = np.where(y > 0, cost * n / max(2 * (y > 0).sum(), 1), cost * n / max(2 * (y < 0).sum(), 1))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (float(x[i] @ w) + b) - 1
+            cells, v = x[i]
+            g = y[i] * (float(v @ w[cells]) + b) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), costs[i])
             d = (new - alpha[i]) * y[i]
             if d:
-                w += np.float32(d) * x[i]
+                w[cells] += np.float32(d) * v
                 b += d
                 alpha[i] = new
                 moved = max(moved, abs(d))
@@ -103,6 +124,13 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 40)
     return w, b
 
 
+def _train(t: pa.Table) -> pa.Table:
+    """The machine of one group of rows (machine, side, cells, counts), whatever order they come in."""
+    t = t.take(pa.compute.sort_indices(t, [("side", "ascending"), ("cells", "ascending"), ("counts", "ascending")]))
+    w, b = _machine(_sparse(t), t["side"].to_numpy().astype(np.float64))
+    return pa.table({"machine": t["machine"].slice(0, 1), "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "b": pa.array([float(b)])})
+
+
 def families(means: np.ndarray) -> list[list[int]]:
     """Average-linkage clusters of languages, joined while they are more alike than languages are on average."""
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
@@ -119,72 +147,90 @@ def families(means: np.ndarray) -> list[list[int]]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id") -> dict:
-    """Learns from text and non-null lang of ``docs``; a hash of the id picks ``sample`` rows a language, about."""
+    """Learns from text and non-null lang of ``docs``; a hash of the id picks ``sample`` rows a language, about.
+
+    The number of languages isn't limited: machines are trained in tasks. The driver and the model hold 64 KB for
+    each language, each family and each pair of languages of one family.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(counts)
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("_share"))
+    drawn = rows.select(F.col(id_col).alias("_id"), "lang", "text").join(F.broadcast(shares), "lang")  # a row a language
+    drawn = drawn.where(F.pmod(F.xxhash64(F.lit(41), "_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    found = stage(drawn.select("lang", "text").mapInArrow(_profiles, "lang string, cells binary, counts binary"), "lang-profiles")
+    means = {r["lang"]: np.frombuffer(r["mean"], "<f4") for r in found.groupBy("lang").applyInArrow(_mean, "lang string, mean binary").collect()}
+    names = sorted(means)
     if not names:
         return {"names": [], "families": []}
-    share = F.create_map(*[F.lit(v) for k in names for v in (k, int(min(1.0, sample / counts[k]) * (1 << 30)))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(41), F.col(id_col)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
-    found = drawn.select("lang", "text").mapInArrow(_profiles, "lang string, cells binary, counts binary").collect()
-    found = sorted(found, key=lambda r: (r["lang"], r["cells"]))
-    x, y = np.zeros((len(found), 2 * CELLS), np.float32), np.array([names.index(r["lang"]) for r in found])
-    for i, r in enumerate(found):
-        n = np.frombuffer(r["counts"], "<u4")
-        x[i, np.frombuffer(r["cells"], "<u2")] = SCALE * n / max(n.sum(), 1)
-    means = np.stack([x[y == k].mean(axis=0) if (y == k).any() else np.zeros(2 * CELLS) for k in range(len(names))])
-    groups = families(means)
-    weights, biases, pairs = [], [], []
-    family = {k: f for f, g in enumerate(groups) for k in g}
-    if len(groups) > 1:
-        side = np.array([family[k] for k in y])
-        for f in range(len(groups)):
-            w, b = _machine(x, np.where(side == f, 1.0, -1.0))
-            weights.append(w)
-            biases.append(b)
-    for g in groups:
-        for i, a in enumerate(g):
-            for b_ in g[i + 1 :]:
-                rows_ = np.isin(y, (a, b_))
-                w, b = _machine(x[rows_], np.where(y[rows_] == a, 1.0, -1.0))
-                weights.append(w)
-                biases.append(b)
-                pairs.append((a, b_))
-    table = np.zeros((2 * CELLS + 1, max(len(weights), 1)), np.float32)
-    for k, w in enumerate(weights):
-        table[:-1, k] = w
-    return {"names": names, "families": groups, "pairs": pairs, "table": table, "bias": np.array(biases or [0.0])}
-
-
-def decide(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score from the margins of all machines."""
-    groups, pairs = model["families"], model["pairs"]
-    heads = len(groups) if len(groups) > 1 else 0
-    near = lambda m: 1 / (1 + np.exp(-np.clip(2 * m, -30, 30)))
-    n = len(margins)
-    family = margins[:, :heads].argmax(axis=1) if heads else np.zeros(n, int)
-    sure = near(margins[np.arange(n), family]) if heads else np.ones(n)
-    best, score = np.zeros(n, int), np.zeros(n)
-    for f, g in enumerate(groups):
-        votes, margin = np.zeros((n, len(g))), np.zeros((n, len(g)))
-        chance = np.ones((n, len(g)))
-        for k, (a, b) in enumerate(pairs):
-            if a in g:
-                m, i, j = margins[:, heads + k], g.index(a), g.index(b)
+    groups = families(np.stack([means[k] for k in names]))
+    pairs = [[(a, b) for i, a in enumerate(g) for b in g[i + 1 :]] for g in groups]
+    sides, heads = [], len(groups) if len(groups) > 1 else 0
+    for f in range(heads):
+        sides += [(name, f, 1 if k in groups[f] else -1) for k, name in enumerate(names)]
+    number = heads
+    for some in pairs:
+        for a, b in some:
+            sides += [(names[a], number, 1), (names[b], number, -1)]
+            number += 1
+    weights, biases = np.zeros((number, 2 * CELLS), np.float32), np.zeros(number)
+    if number:
+        dealt = found.join(F.broadcast(spark.createDataFrame(sides, "lang string, machine int, side int")), "lang")
+        trained = dealt.select("machine", "side", "cells", "counts").groupBy("machine").applyInArrow(_train, "machine int, w binary, b double")
+        for r in trained.collect():  # a row a machine
+            weights[r["machine"]], biases[r["machine"]] = np.frombuffer(r["w"], "<f4"), r["b"]
+    at = np.cumsum([heads, *map(len, pairs)])
+    return {
+        "names": names, "families": groups, "pairs": pairs, "heads": _blocks(weights[:heads]), "head_bias": biases[:heads],
+        "tables": [_blocks(weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)],
+        "biases": [biases[a:b] for a, b in zip(at[:-1], at[1:], strict=True)],
+    }
+
+
+def _blocks(weights: np.ndarray) -> list[np.ndarray]:
+    """Weights by cell, some machines together; the row after the last is that of no cell."""
+    padded = np.concatenate([weights, np.zeros((len(weights), 1), np.float32)], axis=1)
+    return [np.ascontiguousarray(padded[i : i + TOGETHER].T) for i in range(0, len(weights), TOGETHER)]
+
+
+def _margins(blocks: list[np.ndarray], bias: np.ndarray, two: np.ndarray, four: np.ndarray, at: np.ndarray) -> np.ndarray:
+    count = np.maximum(_sums(((two < 2 * CELLS).astype(np.int64) + (four < 2 * CELLS))[:, None], at), 1)
+    sums = [_sums(b[two] + b[four], at) for b in blocks]
+    return SCALE * np.concatenate([*sums, np.zeros((len(at) - 1, 0), np.float32)], axis=1) / count + bias
+
+
+def _near(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(2 * margin, -30, 30)))
+
+
+def decide(model: dict, two: np.ndarray, four: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text: its family's machine first, then the pairs of that family only."""
+    n = len(at) - 1
+    best, score, family = np.zeros(n, int), np.ones(n), np.zeros(n, int)
+    if len(model["families"]) > 1:
+        margins = _margins(model["heads"], model["head_bias"], two, four, at)
+        family = margins.argmax(axis=1)
+        score = _near(margins[np.arange(n), family])
+    for f, g in enumerate(model["families"]):
+        here = np.flatnonzero(family == f)
+        if len(here) and len(g) > 1:
+            size = np.diff(at)[here]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            place = np.repeat(at[here] - ends[:-1], size) + np.arange(int(ends[-1]))
+            margins = _margins(model["tables"][f], model["biases"][f], two[place], four[place], ends)
+            votes, margin, chance = (np.full((len(here), len(g)), x) for x in (0.0, 0.0, 1.0))
+            for k, (a, b) in enumerate(model["pairs"][f]):
+                m, i, j = margins[:, k], g.index(a), g.index(b)
                 votes[:, i] += m >= 0
                 votes[:, j] += m < 0
                 margin[:, i] += m
                 margin[:, j] -= m
-                chance[:, i], chance[:, j] = np.minimum(chance[:, i], near(m)), np.minimum(chance[:, j], near(-m))
-        pick = (votes + 1e-3 * np.tanh(margin)).argmax(axis=1)
-        here = family == f
-        best[here] = np.array(g)[pick[here]]
-        score[here] = (sure * chance[np.arange(n), pick])[here]
+                chance[:, i], chance[:, j] = np.minimum(chance[:, i], _near(m)), np.minimum(chance[:, j], _near(-m))
+            pick = (votes + 1e-3 * np.tanh(margin)).argmax(axis=1)
+            best[here] = np.array(g)[pick]
+            score[here] *= chance[np.arange(len(here)), pick]
+        else:
+            best[here] = g[0]
     return best, score
 
 
@@ -201,11 +247,7 @@ def _predict(batches: Iterator[pa.RecordBatch], held, keep: list[str]) -> Iterat
                 letters[k] = any(ch.isalpha() for ch in texts[int(k)].as_py() or "")
             lang, score = np.full(j - i, "und", object), np.zeros(j - i)
             if len(names):
-                two, four, at = _cells(buf, bounds)
-                table = model["table"]
-                sums = _sums(table[two] + table[four], at)
-                count = _sums(((two < 2 * CELLS).astype(np.int64) + (four < 2 * CELLS))[:, None], at)
-                best, s = decide(model, SCALE * sums / np.maximum(count, 1) + model["bias"])
+                best, s = decide(model, *_cells(buf, bounds))
                 lang[letters], score[letters] = names[best[letters]], s[letters]
             cols = [batch.column(c).slice(i, j - i) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
@@ -214,11 +256,14 @@ def _predict(batches: Iterator[pa.RecordBatch], held, keep: list[str]) -> Iterat
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """Kept columns, lang_pred and score (0 to 1) of every whole text.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is all with nothing learned. The model is
-    broadcast: its size is set by CELLS and MAX_LANGUAGES. Repeated rows are predicted each.
+    A text that is null or has no letter is ``und`` with score 0, and so is all with nothing learned. Long texts are
+    read whole; of equal votes the larger sum of margins decides, then the first language. The model is broadcast: its
+    size is set by CELLS and the languages (see ``fit``). Repeated rows are predicted each; an empty table gives no
+    rows; a kept column named lang_pred or score gives way to the operator's.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, "text").mapInArrow(lambda it: _predict(it, held, keep), f"{kept}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _predict(it, held, keep), f"{kept}, lang_pred string, score double")
