@@ -121,14 +121,14 @@ def test_water_filling():
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark):
-    texts = [t for t in ODD if len(t or "") != 36_000] + corpus(300)  # a text larger than its source's share can't be met
+    texts = [*ODD, *corpus(300)]
     rows = docs(spark, texts)
     a = mixing.mix_sources(rows).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, mixing.mix_sources(rows.repartition(5)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr)
     assert all(r["size"] == len(words(texts[r["doc_id"]])) and r["taken"] <= 3 * r["size"] for r in a)
     for s in {r["source"] for r in a}:
         mine = [r for r in a if r["source"] == s]
-        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 60
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < 60 or any(r["size"] == 18_000 for r in mine)
     assert mixing.mix_sources(docs(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -183,17 +183,24 @@ def test_members_of_a_bucket_meet_once_their_hub_fails():
     assert minhash._compare(t, 0.5, 85).to_pylist() == [{"u": b"b", "v": b"c"}]
 
 
-def test_topk_against_brute_force(spark):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_topk_against_brute_force(spark, monkeypatch, block):
+    """Rows that share an id, with equal and other vectors, are candidates and queries each; blocks of either side are small."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "ROWS", block)
     r = random.Random(5)
-    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(60)] + [(100, None), (101, [None, 1.0]), (102, [float("nan")]), (103, [0.0] * 8), (104, rows0 := [0.5] * 8), (105, rows0), (200, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    q = topk.quantised(df)
-    got = topk.exact_top_k(q, q.where("vec_id % 20 = 0"), 10).collect()
-    ints = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for i in [k for k in ints if k % 20 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), j) for j in ints if j != i)[:10]
-        assert [(x["vec_id"], x["score"]) for x in sorted((x for x in got if x["query_id"] == i), key=lambda x: x["rank"])] == [(j, -s) for s, j in scores]
-    assert topk.exact_top_k(q.limit(0), q.limit(0)).count() == 0
+    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(60)] + [(100, None), (101, [None, 1.0]), (102, [float("nan")]), (103, [0.0] * 8), (104, rows0 := [0.5] * 8), (105, rows0), (200, [1.0, 2.0]), (120, rows0), (120, rows0), (120, [-0.5] * 8), (None, rows0), (None, [2.0] * 8), (140, [])]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id long, embedding array<float>, row string").repartition(4)
+    got = topk.exact_top_k(topk.quantised(df), "vec_id % 20 = 0", 10).collect()
+    ints = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for at, (i, v) in enumerate(ints):
+        if i is not None and i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, x)), j is None, j or 0) for k, (j, x) in enumerate(ints) if k != at)[:10]
+            want += [(i, n, None if none else j, -s) for n, (s, none, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert topk.exact_top_k(topk.quantised(df.limit(0)), "vec_id % 20 = 0").count() == 0
+    assert topk.exact_top_k(topk.quantised(df), F.lit(False)).count() == 0
 
 
 def test_rotation_against_brute_force(spark):
@@ -217,6 +224,23 @@ def test_rotation_against_brute_force(spark):
     assert rotation.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rotation_with_repeated_and_null_ids(spark, monkeypatch):
+    """Blocks of a few rows, ids that repeat or are null, a length that few vectors have, columns that clash."""
+    monkeypatch.setattr(rotation, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([v + 0.02 * rng.standard_normal((30, 16)) for v in rng.standard_normal((4, 16))])
+    ids = [None if i % 5 == 4 else i // 2 for i in range(len(x))]
+    rows = [(i, v.tolist(), "clash", "clash") for i, v in zip(ids, x, strict=True)] + [(7, [1.0, 2.0], "c", "c"), (6, [2.0, 4.0], "c", "c"), (5, [-1.0], "c", "c")]
+    got = rotation.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, class string, key string")).collect()
+    want = []
+    for g in range(4):
+        mine = ids[30 * g : 30 * g + 30]
+        want += [(i, 29, min(k for k in mine if k is not None)) for i in mine]
+    want += [(7, 1, 6), (6, 1, 6), (5, 0, 5)]
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal(64), rng.standard_normal(64)
@@ -230,7 +254,7 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(found) - x @ q) < 0.02
 
 
-def test_warc_round_trip_and_ranges(spark):
+def test_warc_round_trip_and_ranges(spark, monkeypatch):
     body = "<html>ä</html>" * 100
     rows = [(1, "http://a/", body), (2, None, body), (3, "http://c/\r\nx y", body), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (7, "u", "short"), (8, "u", "\x1f\x8b\x08" * 2000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
@@ -243,16 +267,27 @@ def test_warc_round_trip_and_ranges(spark):
             again = len(p) >= 1000 and i < max(k for k, _, x in rows if x == h)
             want.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if again else "response", 3 if again else None))
         assert got == sorted(want, key=repr)
-    payloads = {r["page_id"]: r["payload"] for r in warc.read_archives(manifest).collect()}
+    back = warc.read_archives(manifest).collect()
+    payloads = {r["page_id"]: r["payload"] for r in back}
+    assert sorted((r["page_id"], str(r["url"])) for r in back) == sorted((i, str(u)) for i, u, _ in rows)
     assert bytes(payloads[3]) == body.encode() and payloads[1] is None and bytes(payloads[4]) == b""
+    monkeypatch.setattr(warc, "SHARD_DIGESTS", 1)
+    big = [(None, "u", "x" * 300_000), (5, "u", "x" * 300_000), (5, None, "x" * 300_000), (None, None, None)] + [(10 + i, "u", f"{i % 40}" * 1000) for i in range(200)]
+    df = spark.createDataFrame(big, "page_id long, url string, html string").repartition(5)
+    got = warc.read_archives(warc.write_archives(df, archive_bytes=5000), ["page_id", "payload_bytes", "record_type", "refers_to"], 999).collect()
+    last = {h: max((i for i, _, x in big if x == h and i is not None), default=None) for _, _, h in big}
+    want = [(i, len(h or ""), "response" if not h or i == last[h] else "revisit", None if not h or i == last[h] else last[h]) for i, _, h in big]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     empty = warc.write_archives(pages.limit(0))
     assert warc.read_archives(empty).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_matches_by_hand(spark):
-    texts = [*ODD, *corpus(80, 8)]
+@pytest.mark.parametrize("shards", [1, 16])
+def test_kneser_ney_is_a_distribution_and_matches_by_hand(spark, shards):
+    texts = [*ODD, *corpus(80, 8), *["the same words over and over " * 30] * 3]
     rows = docs(spark, texts)
-    model = kneser_ney.fit(rows.where("doc_id % 4 <> 1"), shards=3)
+    model = kneser_ney.fit(rows.where("doc_id % 4 <> 1"), shards=shards)
+    assert (len(model["hot"]) > 0) == (shards > 1)
     got = {r["doc_id"]: r for r in kneser_ney.score(rows, model, ["doc_id"]).collect()}
     toks = [[*words(t), "</s>"] for t in texts]
     uni, bi = {}, {}
@@ -283,6 +318,8 @@ def test_kneser_ney_is_a_distribution_and_matches_by_hand(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in uni for w in t), n)
         assert abs(r["score"] - sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t))) < 1e-6 * max(1, len(t))
         assert abs(r["base_score"] - sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in t)) < 1e-6 * max(1, len(t))
+    again = kneser_ney.score(rows.withColumn("score", F.lit("clash")).withColumn("doc_id", F.lit(None).cast("long")), model, ["doc_id", "score"]).collect()
+    assert sorted(round(r["score"], 6) for r in again) == sorted(round(r["score"], 6) for r in got.values())
     nothing = kneser_ney.fit(rows.limit(0), shards=2)
     assert kneser_ney.score(rows, nothing, ["doc_id"]).where("score <> 0 OR base_score <> 0").count() == 0
 
@@ -302,10 +339,47 @@ def test_language(spark):
     assert sum(got[i]["lang_pred"] == rows[i][2] for i in range(240) if i % 3 == 1) >= 76
     assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] in syllables
     assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert language.predict(df.limit(0), model, ["doc_id"]).count() == 0
     none = language.fit(df.limit(0))
     assert {x["lang_pred"] for x in language.predict(df, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_follows_its_machines(spark):
+    """Prediction against dense products, on repeated rows, a very long text and columns that clash."""
+    r = random.Random(11)
+    rows = [(i % 7, " ".join("".join(r.choice(x) for _ in range(4)) for _ in range(20)), x) for i, x in enumerate(["abcä", "abdä", "xyzq", "xywq", "mnop"] * 12)]
+    rows += [(1, "ab cd " * 200_000, "abcä"), (None, rows[0][1], None)]
+    df = spark.createDataFrame([(*x, 0.5, "clash") for x in rows], "doc_id long, text string, lang string, score double, lang_pred string").repartition(3)
+    model = language.fit(df)
+    got = language.predict(df, model, ["doc_id", "text", "score", "lang_pred"]).collect()
+    assert sorted(str(x["doc_id"]) for x in got) == sorted(str(x[0]) for x in rows)
+    dense = lambda blocks: np.concatenate([b[:-1].T for b in blocks]) if blocks else np.zeros((0, 2 * language.CELLS))
+    for x in got:
+        two, four, _ = language._cells(*tk.utf8(pa.array([x["text"]])))
+        p = np.bincount(np.concatenate([two, four]), minlength=2 * language.CELLS + 1)[:-1].astype(float)
+        p *= language.SCALE / max(p.sum(), 1)
+        heads = dense(model["heads"]) @ p + model["head_bias"]
+        f = int(heads.argmax()) if len(heads) else 0
+        group, votes = model["families"][f], {k: [0, 0.0] for k in model["families"][f]}
+        for m, (a, b) in zip(dense(model["tables"][f]) @ p + model["biases"][f], model["pairs"][f], strict=True):
+            votes[a if m >= 0 else b][0] += 1
+            votes[a][1] += m
+            votes[b][1] -= m
+        assert x["lang_pred"] == model["names"][max(group, key=lambda k: (votes[k][0], votes[k][1]))]
+
+
+def test_sixty_languages(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(70):
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(r.choice(own) for _ in range(30)), f"l{k:02d}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id % 3 <> 1"))
+    got = language.predict(df.where("doc_id % 3 = 1"), model, ["doc_id", "lang"]).collect()
+    assert len(model["names"]) == 70 and sum(x["lang"] == x["lang_pred"] for x in got) >= 0.95 * len(got)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = ["".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(3, 8))) for _ in range(150)]
@@ -327,6 +401,37 @@ def test_toxicity(spark):
     assert toxicity.score_texts(none, *tk.utf8(pa.array(["a b"])))[0] < 0.5
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """Scores of Spark's path are those of every window on its own; repeated and null ids, clashing columns."""
+    r = random.Random(9)
+    plain = ["".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(3, 8))) for _ in range(80)]
+    texts = [" ".join([r.choice(plain) for _ in range(r.randint(1, 90))] + ["gromp"] * (i % 3 == 0)) for i in range(120)] + [*ODD, "Gromp " * 9000]
+    df = spark.createDataFrame([(None if i % 10 == 9 else i // 2 * 2, t, 7.0, "clash") for i, t in enumerate(texts)], "doc_id long, text string, score double, predicted string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(500, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    net = toxicity.fit(df, labels)
+    got = toxicity.score(df, net, ["doc_id", "text", "score", "predicted"]).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        w = re.findall(r"(?:[A-Za-z]|[^\x00-\x7f])+", x["text"] or "")
+        n = len(w)
+        places = range(1) if n <= 32 else [*range(0, n - 32, 16), n - 32]
+        some = [" ".join(w[p : p + 32]) for p in places] if len(places) < 40 or n > 9000 else []
+        if n and some:
+            buf, bounds = tk.utf8(pa.array(some[:50]))
+            best = max(toxicity.score_texts(net, buf[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))[0] for i in range(len(some[:50])))
+            assert x["score"] == pytest.approx(best, abs=1e-4)
+        assert x["predicted"] == int(x["score"] >= 0.5) and 0 <= x["score"] <= 1
+    assert toxicity.score(df.limit(0), net, ["doc_id"]).count() == 0
+    nothing = toxicity.fit(df, labels.limit(0))
+    assert toxicity.score(df, nothing, ["doc_id"]).where("predicted = 1").count() == 0
+
+
+def test_threshold_errs_least():
+    low, high = np.array([-3.0, -2.0, -1.0, 0.5]), np.array([-1.5, 1.0, 2.0])
+    assert 0.5 < toxicity.threshold(low, high) <= 1.0
+    assert toxicity.threshold(low, np.array([-9.0])) > 0.5  # a label that nothing bears out raises no alarms
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = toxicity.Network(np.arange(1, 6, dtype=np.uint64), np.zeros(5))
