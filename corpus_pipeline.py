@@ -29,17 +29,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows the new text."""
-    found = secrets.scan(docs, secrets.fit(docs))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
-    changed = found.withColumn("_new", text).withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("_new").cast("long")))
-    return changed.withColumn("text", F.col("_new")).select(docs.columns)
+    """All rows, secrets in their texts replaced by a mark; n_chars follows the new text.
+
+    Null, empty and clean texts stay as they are, and so do all other columns.
+    """
+    base, spans = free_name(docs.columns, "base_spans"), free_name(docs.columns, "spans")
+    found = secrets.scan(docs, secrets.fit(docs), base, spans)
+    clean = F.size(F.col(spans)) == 0
+    text = F.when(clean, F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans)))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(clean, F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those without words, or left out by their source's target, go."""
-    mixed = mixing.mix_sources(docs).where("repeats > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(docs.columns)
+    """Rows as often as the mix takes them; those without words, or left out by their source's target, go."""
+    repeats = free_name(docs.columns, "repeats")
+    mixed = mixing.repeated(docs, repeats)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(repeats)))
+    return mixed.where(F.col(repeats) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias(repeats)).drop(repeats)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
