@@ -128,20 +128,6 @@ def dollar_volume(n: int) -> Feature:
     return f"dollarvol_{n}", lambda w: F.log1p(roll(F.avg, _col("volume") * _col("close"), n, w))
 
 
-def ema(n: int, x: str = "close") -> Feature:
-    """Exponential mean by its last 8 * n terms, which leave out less than 1e-6 of the weight."""
-    a = 2.0 / (n + 1)
-
-    def build(w: WindowSpec) -> Column:
-        past = F.reverse(F.collect_list(x).over(w.rowsBetween(1 - 8 * n, 0)))
-        weight = lambda i: F.pow(F.lit(1 - a), i)
-        top = F.aggregate(F.transform(past, lambda v, i: v * weight(i)), F.lit(0.0), lambda acc, v: acc + v)
-        low = F.aggregate(F.transform(past, lambda v, i: weight(i)), F.lit(0.0), lambda acc, v: acc + v)
-        return F.when(F.count(x).over(w.rowsBetween(1 - n, 0)) == n, div(top, low))
-
-    return f"ema_{n}", build
-
-
 # fixed values
 TREND = [momentum(20), momentum(60), momentum(90, 7), price_to_sma(20), price_to_sma(60), sma_ratio(10, 50), distance_from_high(60), distance_from_low(60)]
 VOLATILITY = [realized_vol(20), realized_vol(60), parkinson_vol(20), atr(14), vol_of_vol(20)]

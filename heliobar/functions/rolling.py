@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..staging import free_name
+
 EPS = 1e-12
 
 
@@ -27,6 +30,29 @@ def roll_before(agg: Callable, x: Column, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(x).over(frame) == n, agg(x).over(frame))
 
 
+def decayed_sum(df: DataFrame, x: Column, keep: float, name: str, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """Adds s = x + keep * s before it, the recurrence of exponential means, by window sums.
+
+    Sums go over blocks of rows short enough for keep ** -rows to stay finite; a block takes over the end of the one
+    before. All windows are by ``key``, so nothing is shuffled but once.
+    """
+    if not 0 < keep < 1:
+        raise ValueError("keep must be between 0 and 1")
+    size = max(2, int(250 * math.log(10) / -math.log(keep)))
+    w = by_symbol(key, order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    i, p, own, end = (free_name(df.columns, n) for n in ("_i", "_p", "_own", "_end"))
+    q = F.lit(keep)
+    out = df.withColumn(i, F.row_number().over(w) - 1)
+    out = out.withColumns({name: x, p: F.pmod(i, F.lit(size)), i: F.floor(F.col(i) / size)})
+    inside = Window.partitionBy(key, i).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn(own, F.pow(q, F.col(p)) * F.sum(F.col(name) * F.pow(q, -F.col(p))).over(inside))
+    at_end = lambda c: F.coalesce(F.last(F.when(F.col(p) == size - 1, F.col(c)), ignorenulls=True).over(before), F.lit(0.0))
+    # what a block ends with holds its own terms and those of one block before; older ones are below 1e-500 of a term
+    out = out.withColumn(end, F.col(own) + F.pow(q, F.col(p) + 1) * at_end(own))
+    return out.withColumn(name, F.col(own) + F.pow(q, F.col(p) + 1) * at_end(end)).drop(i, p, own, end)
+
+
 def div(a, b) -> Column:
     return F.try_divide(a, b)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,22 @@ BEARISH = ["loss", "decline", "investigation", "subpoena", "default", "lawsuit",
 STRIPPED = ".,!?\"'()"
 
 
+def _hits(low: Column, words: list[str]) -> Column:
+    """How many blank-separated words of a lower-case text are one of ``words`` once marks around them are stripped."""
+    some = [w for w in words if w and w == w.lower().strip(STRIPPED) and not re.search(r"\s", w)]  # no other can match
+    if not some:
+        return F.lit(0)
+    marks = "[" + re.escape(STRIPPED) + "]*"
+    return F.regexp_count(low, F.lit(rf"(?<!\S){marks}(?:{'|'.join(map(re.escape, some))}){marks}(?!\S)"))
+
+
 def polarity(text: Column, positive: list[str] = BULLISH, negative: list[str] = BEARISH) -> Column:
     """(positive - negative) / (positive + negative) over stripped lower-case words; 0 with none."""
-    words = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: F.lower(F.btrim(x, F.lit(STRIPPED))))
-    count = lambda some: F.size(F.filter(words, lambda x: x.isin(some)))
-    up, down = count(positive), count(negative)
-    return F.coalesce(div((up - down).cast("double"), F.nullif((up + down).cast("double"), F.lit(0.0))), F.lit(0.0))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    both = F.struct(_hits(low, positive).cast("double").alias("up"), _hits(low, negative).cast("double").alias("down"))
+    # a list of one value: the counts are taken once, however often they are read
+    value = F.transform(F.array(both), lambda c: F.coalesce(div(c["up"] - c["down"], F.nullif(c["up"] + c["down"], F.lit(0.0))), F.lit(0.0)))
+    return F.get(value, F.lit(0))
 
 
 def volatility_flag(vix: Column) -> Column:
@@ -34,20 +46,21 @@ def feed_verdict(articles: Column, newest: Column) -> Column:
     return F.when(articles == 0, "none").when(articles < 20, "inconclusive").when(newest <= 120, "real-time").when(newest <= 1200, "upper bound").otherwise("delayed")
 
 
-def error_status(message: Column) -> Column:
-    """The kind of a provider's error, from its message."""
-    m = F.lower(message)
-    return (
-        F.when(m.rlike("401|403|unauthorized|forbidden|invalid api|authentication|permission denied|invalid key"), "auth_failed")
-        .when(m.rlike("429|rate limit|too many requests"), "rate_limited")
-        .when(m.rlike("timeout|timed out|connection|dns|network|unreachable|ssl"), "unreachable")
-        .otherwise("error")
-    )
+def error_status(code: Column, exception: Column) -> Column:
+    """The kind of a provider's error: by its HTTP status, or, without one, by the class of the exception."""
+    name = F.lower(F.coalesce(exception, F.lit("")))
+    by_code = F.when(code.between(200, 299), "ok").when(code.isin(401, 403), "auth_failed").when(code == 429, "rate_limited")
+    by_code = by_code.when(code.isin(408, 502, 503, 504), "unreachable").otherwise("error")
+    by_class = F.when(name == "", "ok").when(name.rlike("(timeout|connect|socket|gaierror|ssl)[a-z]*$"), "unreachable").when(name.rlike("(auth|permission|credential)[a-z]*$"), "auth_failed").otherwise("error")
+    return F.when(code.isNotNull(), by_code).otherwise(by_class)
 
 
-def redacted(message: Column) -> Column:
-    """The message up to anything that looks like a credential."""
-    return F.regexp_replace(message, r"(?is)(api_key=|apikey=|token=).*$", "$1<redacted>")
+def redacted(message: Column, secrets: list[str]) -> Column:
+    """The message with each known credential, and the value of any query parameter, blotted out."""
+    out = F.regexp_replace(message, r"([?&][^=&\s]+=)[^&\s]+", "$1***")
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        out = F.replace(out, F.lit(s), F.lit("***"))
+    return out
 
 
 def fear_greed(value: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +97,19 @@ def session_grid(cal: DataFrame, seconds: int) -> DataFrame:
     opens = F.to_utc_timestamp(F.col("day").cast("timestamp") + F.expr("INTERVAL 570 MINUTES"), "America/New_York")
     steps = F.explode(F.sequence(F.lit(0), (F.col("close_minute") - 570) * 60 - 1, F.lit(seconds)))
     return days.select(F.unix_seconds(opens).alias("_open"), steps.alias("_step")).select(F.timestamp_seconds(F.col("_open") + F.col("_step")).alias("ts"))
+
+
+def session_window(start: str, end: str, zone: str, day: date, exchange: str = "America/New_York") -> tuple[str, str]:
+    """An exchange's hours (HH:MM) of a day as a clock in another zone shows them."""
+    here = lambda t: datetime.combine(day, time.fromisoformat(t), ZoneInfo(exchange)).astimezone(ZoneInfo(zone))
+    return f"{here(start):%H:%M}", f"{here(end):%H:%M}"
+
+
+def with_session_window(days: DataFrame, start_minute: int, end_minute: int, zone: str, exchange: str = "America/New_York") -> DataFrame:
+    """The same for a column ``day``: opens and closes, as HH:MM in ``zone``."""
+
+    def shown(minute: int) -> Column:
+        utc = F.to_utc_timestamp(F.timestamp_seconds(F.unix_date("day") * 86400 + minute * 60), exchange)
+        return F.date_format(F.from_utc_timestamp(utc, zone), "HH:mm")
+
+    return days.withColumns({"opens": shown(start_minute), "closes": shown(end_minute)})

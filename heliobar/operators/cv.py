@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rolling import div
+from ..staging import stage
 
 
 def fold_bounds(n: int, folds: int) -> list[tuple[int, int, int]]:
@@ -19,9 +20,9 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int, int]]:
     return [(k, cuts[k], cuts[k + 1] - 1) for k in range(folds)]
 
 
-def purged_roles(rows: DataFrame, folds: int = 5, embargo: float = 0.01) -> DataFrame:
-    """A role for each fold and row (row_idx, t1_idx): test, purged, embargo or train."""
-    n = rows.count()
+def purged_roles(rows: DataFrame, folds: int = 5, embargo: float = 0.01, n: int | None = None) -> DataFrame:
+    """A role for each fold and row (row_idx, t1_idx): test, purged, embargo or train. ``n`` saves a count of rows."""
+    n = rows.count() if n is None else n
     wait = int(n * embargo)
     table = rows.sparkSession.createDataFrame(fold_bounds(n, folds), "fold int, lo long, hi long")  # a row a fold
     i, t1 = F.col("row_idx"), F.col("t1_idx")
@@ -84,6 +85,33 @@ def train_boosted_trees(rows: DataFrame, features: list[str], folds: int = 5, em
     return out
 
 
+def signal_filter(bars: DataFrame, features: list, horizon: int = 24, least: float = 0.55, rounds: int = 300) -> DataFrame:
+    """Whether each symbol's signal is let through: by the last out-of-fold probability of boosted trees.
+
+    (symbol, allowed, confidence, reason). Symbols with fewer than 200 bars, or 100 labelled rows, or no fold to
+    learn from, are let through at 0.5. Each symbol is fitted on its own.
+    """
+    from ..functions.indicators import feature_names
+    from .labels import panel_dataset
+
+    spark = bars.sparkSession
+    sizes = bars.groupBy("symbol").count().collect()  # a row a symbol that is to be judged
+    out = []
+    for r in sorted(sizes, key=lambda r: r["symbol"]):
+        name, fitted, reason = r["symbol"], None, "too few bars"
+        if r["count"] >= 200:
+            rows = panel_dataset(bars.where(F.col("symbol") == name), features, horizon)
+            rows, reason = stage(rows, "filter-rows"), "too few rows"
+            if rows.count() >= 100:
+                fitted, reason = train_boosted_trees(rows, feature_names(features), rounds=rounds), "no fold to learn from"
+        last = fitted.agg(F.max_by("oof", "row_idx")).first()[0] if fitted is not None else None
+        if last is None:
+            out.append((name, True, 0.5, reason))
+        else:
+            out.append((name, last >= least, float(last), f"{last:.1%} against {least:.1%}"))
+    return spark.createDataFrame(out, "symbol string, allowed boolean, confidence double, reason string")
+
+
 FeatureFn = Callable[[DataFrame], DataFrame]
 
 

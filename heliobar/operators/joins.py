@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 def aligned_panel(bars: DataFrame) -> DataFrame:
     """Bars at times at which every symbol has a close; no value is carried forward."""
-    n = bars.select("symbol").distinct().count()
-    full = bars.where("close IS NOT NULL").groupBy("ts").agg(F.countDistinct("symbol").alias("_n")).where(F.col("_n") == n)
+    n = bars.select("symbol").distinct().agg(F.count("*").alias("_all"))  # one row
+    full = bars.where("close IS NOT NULL").groupBy("ts").agg(F.countDistinct("symbol").alias("_n"))
+    full = full.join(F.broadcast(n)).where("_n = _all")
     return bars.join(full.select("ts"), "ts", "left_semi")
 
 
@@ -29,6 +30,23 @@ def asof(left: DataFrame, right: DataFrame, key: list[str], on: str, values: lis
     return out.select(*left.columns, F.col(f"_hit.{on}").alias(f"asof_{on}"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def asof_buckets(left: DataFrame, right: DataFrame, on: str, values: list[str], seconds: int = 86400) -> DataFrame:
+    """``asof`` without a key: rows meet inside buckets of time, which take over the last values of those before.
+
+    A window over all rows would put them into one task; here that holds one row for each bucket.
+    """
+    at = lambda df: df.withColumn("_key", F.floor(F.unix_seconds(F.col(on).cast("timestamp")) / seconds))
+    met = asof(at(left), at(right), ["_key"], on, values)
+    ends = at(right).groupBy("_key").agg(F.max(F.struct(on, *values)).alias("_end"))
+    keys = met.select("_key").distinct().join(ends, "_key", "full")
+    before = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    carried = keys.withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+    out = met.join(carried, "_key", "left")
+    own = F.col(f"asof_{on}").isNotNull()
+    pick = lambda c, name: F.when(own, F.col(c)).otherwise(F.col(f"_end.{name}")).alias(c)
+    return out.select(*left.columns, pick(f"asof_{on}", on), *[pick(v, v) for v in values])
+
+
 def delisted(snapshots: DataFrame) -> DataFrame:
     """Symbols of the last snapshot but one that the last one lacks."""
     days = snapshots.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(2)

@@ -4,49 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.indicators import DEFAULT, Feature, compute, feature_names
-from ..functions.rolling import by_symbol, div, finite
+from ..functions.rolling import by_symbol, decayed_sum, div, finite
+from ..staging import numbered, stage
 
 
-def ew_volatility(bars: DataFrame, span: int = 100, causal_seed: bool = False, limit_rows: int = 20_000) -> DataFrame:
+def ew_volatility(bars: DataFrame, span: int = 100, causal_seed: bool = False) -> DataFrame:
     """Exponentially weighted volatility of log returns: var = a r^2 + (1 - a) var before.
 
-    The first return is 0 and the variance starts from the square of the second, unless ``causal_seed``, and zeros
-    take the first positive value, as the reference semantics have it. Symbols of up to ``limit_rows`` bars use a
-    prefix-sum form; longer ones, whose powers would overflow, a grouped recurrence.
+    The first return is 0 and the variance before it is the square of the second, unless ``causal_seed``, and zeros
+    take the first positive value, as the reference semantics have it. Prices must be positive.
     """
     a = 2.0 / (span + 1)
     w = by_symbol()
-    base = bars.withColumns({"_r": F.coalesce(F.ln(div(F.col("close"), F.lag("close").over(w))), F.lit(0.0)), "_i": F.row_number().over(w) - 1})
-    seeded = base.withColumn("_seed", F.lit(0.0) if causal_seed else F.max(F.when(F.col("_i") == 1, F.pow("_r", 2))).over(Window.partitionBy("symbol")))
-    sizes = bars.groupBy("symbol").agg(F.count("*").alias("_n"))
-    sized = seeded.join(sizes, "symbol")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    grow = F.sum(F.when(F.col("_i") > 0, a * F.pow("_r", 2) * F.pow(F.lit(1 - a), -F.col("_i")))).over(run)
-    short = sized.where(F.col("_n") <= limit_rows).withColumn("_var", F.pow(F.lit(1 - a), F.col("_i")) * (F.coalesce("_seed", F.lit(0.0)) + F.coalesce(grow, F.lit(0.0))))
-
-    def recur(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        square = (pdf["_r"] ** 2).to_numpy().copy()
-        square[0] = pdf["_seed"].iloc[0] if pd.notna(pdf["_seed"].iloc[0]) else 0.0
-        return pdf.assign(_var=pd.Series(square).ewm(alpha=a, adjust=False).mean().to_numpy())
-
-    long = sized.where(F.col("_n") > limit_rows)
-    long = long.groupBy("symbol").applyInPandas(recur, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields) + ", _var double")
-    out = short.unionByName(long).withColumn("_vol", F.sqrt("_var"))
+    price = F.when(F.col("close") <= 0, F.raise_error(F.lit("prices must be positive")).cast("double")).otherwise(F.col("close"))
+    base = bars.withColumns({"_r": F.coalesce(F.ln(div(price, F.lag("close").over(w))), F.lit(0.0)), "_row": F.row_number().over(w)})
+    seed = F.lit(0.0) if causal_seed else F.coalesce(F.pow(F.lead("_r").over(w), 2), F.lit(0.0))
+    term = F.when(F.col("_row") == 1, (1 - a) * seed + a * F.pow("_r", 2)).otherwise(a * F.pow("_r", 2))
+    out = decayed_sum(base.withColumn("_x", term), F.col("_x"), 1 - a, "_var").withColumn("_vol", F.sqrt("_var"))
     first = F.first(F.when(F.col("_vol") > 0, F.col("_vol")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    vol = F.col("_vol") if causal_seed else F.when(F.col("_vol") > 0, F.col("_vol")).otherwise(first)
+    vol = F.col("_vol") if causal_seed else F.when(F.col("_vol") > 0, F.col("_vol")).otherwise(F.coalesce(first, F.lit(0.0)))
     return out.withColumn("ew_vol", vol).select(*bars.columns, "ew_vol")
 
 
-def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.0, stop: float = 1.0, max_bars: int = 24, side: str | None = None, neutral_sign: bool = False) -> DataFrame:
+def ema(bars: DataFrame, n: int, x: str = "close", name: str | None = None) -> DataFrame:
+    """Adds the exponential mean of all values up to the row, weights adding up to 1; null before ``n`` rows."""
+    a, name = 2.0 / (n + 1), name or f"ema_{n}"
+    w = by_symbol()
+    out = decayed_sum(bars, F.col(x), 1 - a, name).withColumn("_row", F.row_number().over(w))
+    weight = (1 - F.pow(F.lit(1 - a), F.col("_row"))) / a
+    return out.withColumn(name, F.when(F.col("_row") >= n, F.col(name) / weight)).drop("_row")
+
+
+def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Adds macd_hist: the two means' difference less its own exponential mean; null before slow + signal - 1 rows."""
+    w = by_symbol()
+    both = ema(ema(bars, fast, name="_fast"), slow, name="_slow")
+    line = both.withColumn("_macd", F.coalesce(F.col("_fast") - F.col("_slow"), F.lit(0.0)))
+    # the line's mean starts with the line, at row ``slow``
+    a = 2.0 / (signal + 1)
+    meant = decayed_sum(line, F.col("_macd"), 1 - a, "_mean").withColumn("_row", F.row_number().over(w) - (slow - 1))
+    weight = (1 - F.pow(F.lit(1 - a), F.col("_row"))) / a
+    hist = F.when(F.col("_row") >= signal, F.col("_macd") - F.col("_mean") / weight)
+    return meant.withColumn("macd_hist", hist).drop("_fast", "_slow", "_macd", "_mean", "_row")
+
+
+def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.0, stop: float = 1.0, max_bars: int = 24, side: str | None = None, neutral_sign: bool = False, events: str | None = None) -> DataFrame:
     """Label, touch offset, return and barrier of every bar that has ``max_bars`` bars after it.
 
+    ``events`` names a boolean column that marks the bars to label in their place; a path then ends with the bars,
+    and a bar that has none after it returns 0.
+
     The path of closes after the bar is met by an upper and a lower barrier, multiples of its volatility; the
     first touch counts, the upper one on a tie, a multiple of 0 switches a barrier off. Without a touch the label
     is 0, or the return's sign. With ``side`` the label tells whether the signed return was positive; barriers
@@ -58,7 +70,7 @@ def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.0, stop: float =
     ahead = F.collect_list("close").over(w.rowsBetween(1, max_bars))
     n = F.count("*").over(Window.partitionBy("symbol"))
     rows = bars.withColumns({"_i": F.row_number().over(w) - 1, "_n": n, "_path": ahead})
-    rows = rows.where(F.col("_i") <= F.col("_n") - 1 - max_bars)
+    rows = rows.where(F.col(events) if events else F.col("_i") <= F.col("_n") - 1 - max_bars)
     up, down = F.col("close") * (1 + profit * F.col(vol)), F.col("close") * (1 - stop * F.col(vol))
     rows = rows.withColumns({"_up": up, "_down": down})
     at = lambda f: F.array_position(F.transform("_path", f), True)
@@ -67,7 +79,8 @@ def triple_barrier(bars: DataFrame, vol: str, profit: float = 1.0, stop: float =
     hit_down = (F.col("_sl") > 0) & ~hit_up
     touch = F.when(hit_up, F.col("_pt")).when(hit_down, F.col("_sl")).otherwise(F.size("_path"))
     rows = rows.withColumns({"touch": touch.cast("int"), "barrier": F.when(hit_up, "pt").when(hit_down, "sl").otherwise("vertical")})
-    rows = rows.withColumn("ret", div(F.get("_path", F.col("touch") - 1), F.col("close")) - 1)
+    reached = F.when(F.col("touch") > 0, F.get("_path", F.col("touch") - 1)).otherwise(F.col("close"))
+    rows = rows.withColumn("ret", div(reached, F.col("close")) - 1)
     if side is not None:
         rows = rows.withColumn("ret", F.col("ret") * F.col(side)).withColumn("label", F.when(F.col("ret") > 0, 1).otherwise(0))
     else:
@@ -93,26 +106,21 @@ def panel_dataset(bars: DataFrame, features: Iterable[Feature] = DEFAULT, horizo
     ok = labelled.withColumns({x: finite(F.col(x).cast("double")) for x in names}).dropna(subset=names)
     ok = ok.withColumns({"t1": F.get("_after", F.col("touch") - 1), "y": (F.col("label") == 1).cast("int")})
     ok = ok.select("symbol", "ts", "t1", "y", "ret", "label", *names)
-    numbered = global_index(ok, ["ts", "symbol"], "row_idx")
-    # the last row of a time at or before t1, not before the row itself
-    last = numbered.groupBy("ts").agg(F.max("row_idx").alias("last_idx"))
-    from .joins import asof
-
-    met = asof(numbered.withColumnRenamed("ts", "_own").withColumnRenamed("t1", "ts"), last, [], "ts", ["last_idx"])
-    out = met.withColumnRenamed("ts", "t1").withColumnRenamed("_own", "ts").drop("asof_ts")
+    rows = stage(global_index(ok, ["ts", "symbol"], "row_idx"), "panel-dataset")
+    # the last row of a time at or before t1, not before the row itself: times are few beside rows, and each is met
+    # by those that stand between it and the next
+    last = rows.groupBy("ts").agg(F.max("row_idx").alias("last_idx"))
+    times = rows.select(F.col("t1").alias("ts")).distinct()
+    from .joins import asof_buckets
+
+    known = asof_buckets(times, last, "ts", ["last_idx"])
+    out = rows.join(known.select(F.col("ts").alias("t1"), "last_idx"), "t1", "left")
     return out.withColumn("t1_idx", F.greatest("row_idx", F.coalesce("last_idx", F.col("row_idx")))).drop("last_idx")
 
 
 def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Row numbers from 0 in a global order: ranges by a sampled sort, then each range's offset."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sums = inside.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each range
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.withColumn("_base", before).select("_part", "_base")
-    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_part", "_in", "_base")
+    """Row numbers from 0 in a global order."""
+    return numbered(df, order, name)
 
 
 def trailing_stop(positions: DataFrame, multiple: float = 3.0, key: str = "position_id") -> DataFrame:

@@ -88,3 +88,26 @@ def vol_target_size(equity, price, vol, periods: float = 365.0, conviction=1.0,
     value = equity * cap * scale * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(conviction)))
     ok = (price > 0) & (equity > 0) & (vol > 0) & (value >= least)
     return F.coalesce(F.when(ok, div(value, price)), F.lit(0.0))
+
+
+def _counted(rows: DataFrame, by: list[str], x: str) -> DataFrame:
+    """Distinct values with the number of rows up to each, and of all: equal values are counted before they are sorted."""
+    values = rows.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    return values.withColumns({"_upto": F.sum("_c").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+
+
+def value_at_rank(rows: DataFrame, by: list[str], x: str, rank) -> DataFrame:
+    """``at``: the value at ``rank(n)``, from 0, of each group's n values in order."""
+    at = _counted(rows, by, x)
+    want = rank(F.col("_n"))
+    return at.where((F.col("_upto") > want) & (F.col("_upto") - F.col("_c") <= want)).select(*by, F.col("_x").alias("at"))
+
+
+def interpolated(rows: DataFrame, by: list[str], x: str, share: float, name: str) -> DataFrame:
+    """The percentile of each group, between the two values around it."""
+    place = (F.col("_n") - 1) * share
+    low, high = F.floor(place), F.ceil(place)
+    inside = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k)
+    ends = _counted(rows, by, x).groupBy(*by).agg(F.max(F.when(inside(low), F.col("_x"))).alias("_a"), F.max(F.when(inside(high), F.col("_x"))).alias("_b"), F.max(place - low).alias("_f"))
+    return ends.select(*by, (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias(name))

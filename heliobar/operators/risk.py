@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,27 @@ def kill_switch(marks: DataFrame, capital: float = 500.0, max_drawdown: float =
     return out.withColumn("halted", F.coalesce(F.max(breach).over(run), F.lit(False)))
 
 
+def kill_switch_with_resets(marks: DataFrame, resets: DataFrame, capital: float = 500.0, max_drawdown: float = 0.20, max_daily_loss: float = 0.05) -> DataFrame:
+    """``kill_switch`` that a person can lift: ``resets`` has account, ts and a note, which must not be blank.
+
+    A halt lasts to the first reset at or after it; limits count from the same peak and day afterwards. trades_today
+    is the running sum of ``trades``, if marks have it, from the day's start.
+    """
+    blank = F.length(F.trim(F.coalesce("note", F.lit("")))) == 0
+    noted = F.when(blank, F.raise_error(F.lit("a reset needs a note")).cast("boolean")).otherwise(F.lit(True))
+    seen = kill_switch(marks, capital, max_drawdown, max_daily_loss)
+    breach = (F.col("drawdown") <= -max_drawdown) | (F.col("daily_pnl") <= -max_daily_loss)
+    # at one time the reset comes after the mark
+    both = seen.withColumns({"_breach": breach, "_reset": F.lit(False)}).unionByName(resets.select("account", "ts", F.lit(False).alias("_breach"), noted.alias("_reset")), allowMissingColumns=True)
+    w = Window.partitionBy("account").orderBy("ts", "_reset").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_breach"), True).when(F.col("_reset"), False), ignorenulls=True).over(w)
+    out = both.withColumn("halted", F.coalesce(last, F.lit(False))).where("NOT _reset").drop("_breach", "_reset")
+    if "trades" not in marks.columns:
+        return out
+    day = Window.partitionBy("account", F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("trades_today", F.sum("trades").over(day))
+
+
 def equity_guard(marks: DataFrame, capital: float = 500.0, halve: float = 0.10, stop: float = 0.15) -> DataFrame:
     """Scale of leverage allowed by the drawdown: 1, a half, or none."""
     w = Window.partitionBy("account").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -66,6 +87,20 @@ def day_trades(fills: DataFrame, cal: DataFrame, window: int = 5) -> DataFrame:
     return placed.withColumns({"day_trades_5d": F.sum("day_trades").over(w), "fills_5d": F.sum("fills").over(w)})
 
 
+def day_trade_status(counted: DataFrame, cap: int | None) -> DataFrame:
+    """Adds whether a broker's cap of day trades is reached and how many are left; no cap restricts nobody."""
+    if cap is None:
+        return counted.withColumns({"restricted": F.lit(False), "remaining": F.lit(None).cast("long")})
+    left = F.greatest(F.lit(0), cap - F.col("day_trades_5d")).cast("long")
+    return counted.withColumns({"restricted": F.col("day_trades_5d") >= cap, "remaining": left})
+
+
+def can_short(max_position: Column):
+    """Whether one whole share fits the cap of a position, over columns shortable, easy_to_borrow and price."""
+    price = F.col("price")
+    return F.coalesce(F.col("shortable") & F.col("easy_to_borrow") & (price > 0) & (price <= max_position), F.lit(False))
+
+
 def twap_slices(orders: DataFrame, slices: int = 3, least: float = 10.0) -> DataFrame:
     """One order, or equal slices where each is large enough."""
     n = F.when(F.col("notional") < least * slices, 1).otherwise(slices)

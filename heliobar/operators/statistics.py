@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rolling import div, finite
+from ..staging import stage
 
 EULER = 0.5772156649015329
 _PHI = NormalDist()
@@ -89,38 +90,59 @@ def promotion_gate(sr: float, n: int, skew: float, kurt: float, trials: int, var
     return {"dsr": dsr, "hurdle": bar, "min_track_record": need, "passed": not why, "reasons": why}
 
 
-def pbo(matrix: DataFrame, partitions: int = 10, max_splits: int = 5000) -> DataFrame:
+def balanced_splits(partitions: int, most: int) -> list[tuple[int, ...]]:
+    """Halves of the blocks in lexicographic order; beyond ``most``, those at even steps through them."""
+    total = math.comb(partitions, partitions // 2)
+    halves = combinations(range(partitions), partitions // 2)
+    if total <= most:
+        return list(halves)
+    wanted = {k * total // most for k in range(most)}
+    return [half for k, half in enumerate(halves) if k in wanted]
+
+
+def pbo(matrix: DataFrame, partitions: int = 16, max_splits: int = 5000) -> DataFrame:
     """A row for each split of (strategy, t, ret): in-sample best, its out-of-sample rank and logit.
 
     Returns are scanned once, into sums of each block and strategy; splits combine those. t counts from 0 without
     gaps, the tail beyond whole blocks is dropped, returns are centred on the strategy's mean before squares add up.
+    Of equal in-sample bests the first by name counts. There must be two strategies or more, and two rows a block.
     """
     if partitions % 2 or partitions < 2:
         raise ValueError("an even number of partitions")
     spark = matrix.sparkSession
-    total = matrix.agg(F.max("t")).first()[0]
-    size = ((total if total is not None else -1) + 1) // partitions
-    centre = matrix.groupBy("strategy").agg(F.avg("ret").alias("_c"))
-    kept = matrix.where(F.col("t") < size * partitions).join(centre, "strategy").withColumn("_x", F.col("ret") - F.col("_c"))
-    blocks = kept.groupBy("strategy", "_c", F.floor(F.col("t") / max(size, 1)).cast("int").alias("block")).agg(F.count("*").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
-    combos = list(combinations(range(partitions), partitions // 2))
-    if len(combos) > max_splits:
-        step = len(combos) / max_splits
-        combos = [combos[int(i * step)] for i in range(max_splits)]
-    sides = spark.createDataFrame([(k, b, b in c) for k, c in enumerate(combos) for b in range(partitions)], "split int, block int, is_in boolean")
-    sums = blocks.join(F.broadcast(sides), "block").groupBy("split", "is_in", "strategy", "_c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    sr = F.coalesce(div(F.col("_c") + F.col("s") / F.col("n"), F.sqrt(F.nullif(F.when(var > 0, var), F.lit(0.0)))), F.lit(0.0))
-    rated = sums.withColumn("sr", sr).groupBy("split", "strategy").agg(F.max(F.when(F.col("is_in"), F.col("sr"))).alias("is_sr"), F.max(F.when(~F.col("is_in"), F.col("sr"))).alias("oos_sr"))
-    top = rated.groupBy("split").agg(F.max(F.struct("is_sr", "strategy", "oos_sr")).alias("b"), F.collect_list("oos_sr").alias("_all"))
-    best = top.select("split", F.col("b.strategy").alias("best"), F.col("b.is_sr").alias("is_sr"), F.col("b.oos_sr").alias("oos_sr"), "_all")
-    rank = div(F.size(F.filter("_all", lambda v: v <= F.col("oos_sr"))), F.size("_all") + 1)
-    return best.withColumn("rank", rank).withColumn("logit", F.ln(div(F.col("rank"), 1 - F.col("rank")))).drop("_all")
+    rows = stage(matrix.select("strategy", "t", "ret"), "pbo-matrix")
+    shape = rows.agg(F.max("t").alias("last"), F.countDistinct("strategy").alias("n")).first()
+    size = ((shape["last"] if shape["last"] is not None else -1) + 1) // partitions
+    if shape["n"] < 2:
+        raise ValueError("at least two strategies")
+    if size < 2:
+        raise ValueError(f"{partitions} blocks of two rows or more don't fit into the series")
+    centre = F.avg("ret").over(Window.partitionBy("strategy"))
+    kept = rows.withColumn("_c", centre).where(F.col("t") < size * partitions).withColumn("_x", F.col("ret") - F.col("_c"))
+    blocks = kept.groupBy("strategy", "_c", F.floor(F.col("t") / size).cast("int").alias("block")).agg(F.count("*").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
+    # sums of one half are those of all less those of the other, so a row for each block of the inner half does
+    whole = blocks.groupBy("strategy").agg(*[F.sum(c).alias(f"all_{c}") for c in "nsq"])
+    halves = spark.createDataFrame([(k, list(c)) for k, c in enumerate(balanced_splits(partitions, max_splits))], "split int, blocks array<int>")
+    inner = halves.select("split", F.explode("blocks").alias("block"))
+    sums = blocks.join(F.broadcast(inner), "block").groupBy("split", "strategy", "_c").agg(*[F.sum(c).alias(f"in_{c}") for c in "nsq"]).join(F.broadcast(whole) if shape["n"] <= 100_000 else whole, "strategy")
+
+    def rate(n, s, q):
+        var = (q - s * s / n) / (n - 1)
+        return F.coalesce(div(F.col("_c") + s / n, F.sqrt(F.nullif(F.when(var > 0, var), F.lit(0.0)))), F.lit(0.0))
+
+    mine, rest = [F.col(f"in_{c}") for c in "nsq"], [F.col(f"all_{c}") - F.col(f"in_{c}") for c in "nsq"]
+    rated = stage(sums.select("split", "strategy", rate(*mine).alias("is_sr"), rate(*rest).alias("oos_sr")), "pbo-rated")
+    high = rated.groupBy("split").agg(F.max("is_sr").alias("is_sr"))
+    best = rated.join(high, ["split", "is_sr"]).groupBy("split", "is_sr").agg(F.min_by(F.struct("strategy", "oos_sr"), "strategy").alias("b"))
+    best = best.select("split", "is_sr", F.col("b.strategy").alias("best"), F.col("b.oos_sr").alias("best_oos"))
+    ranks = rated.join(F.broadcast(best), "split").groupBy("split").agg(F.count_if(F.col("oos_sr") <= F.col("best_oos")).alias("_below"))
+    out = best.join(ranks, "split").withColumn("rank", F.col("_below") / F.lit(shape["n"] + 1))
+    return out.select("split", "best", "is_sr", F.col("best_oos").alias("oos_sr"), "rank", F.ln(div(F.col("rank"), 1 - F.col("rank"))).alias("logit"))
 
 
 def pbo_summary(splits: DataFrame) -> DataFrame:
     stable = splits.groupBy("best").count().agg(F.max("count").alias("_m"))
-    got = splits.agg(F.count("*").alias("splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.coalesce(F.regr_slope("oos_sr", "is_sr"), F.lit(0.0)).alias("slope"), F.avg((F.col("oos_sr") < 0).cast("double")).alias("loss_probability"), F.median("oos_sr").alias("median_oos"))
+    got = splits.agg(F.count("*").alias("splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.coalesce(F.regr_slope("oos_sr", "is_sr"), F.lit(0.0)).alias("slope"), F.avg((F.col("oos_sr") <= 0).cast("double")).alias("loss_probability"), F.median("oos_sr").alias("median_oos"))
     return got.join(F.broadcast(stable)).withColumn("stability", div(F.col("_m"), F.col("splits"))).drop("_m")
 
 
@@ -134,11 +156,14 @@ def block_size(n: int, lag1: float) -> int:
     return int(min(max(1, wide), max(2, n // 10)))
 
 
-def block_bootstrap(series: DataFrame, starts: DataFrame, length: int, n: int) -> DataFrame:
-    """Circular block bootstrap: ``starts`` (sample_id, block, start) laid over a series (t, ret) of n values."""
+def block_bootstrap(series: DataFrame, starts: DataFrame, length: int, n: int, values: int | None = None) -> DataFrame:
+    """Circular block bootstrap: ``starts`` (sample_id, block, start) laid over a series (t, ret) of n values.
+
+    A sample has ``values`` values, n if not given.
+    """
     place = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     place = place.withColumns({"i": F.col("block") * length + F.col("_j"), "t": F.pmod(F.col("start") + F.col("_j"), F.lit(n)).cast("long")})
-    return place.where(F.col("i") < n).join(series.select(F.col("t").cast("long").alias("t"), "ret"), "t").select("sample_id", "i", "t", "ret")
+    return place.where(F.col("i") < (n if values is None else values)).join(series.select(F.col("t").cast("long").alias("t"), "ret"), "t").select("sample_id", "i", "t", "ret")
 
 
 def random_starts(spark, samples: int, n: int, length: int, seed: int = 1) -> DataFrame:
@@ -147,14 +172,19 @@ def random_starts(spark, samples: int, n: int, length: int, seed: int = 1) -> Da
     return ids.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "sample_id", "block"), F.lit(n)).cast("long"))
 
 
-def null_cohort(series: DataFrame, samples: int, length: int, n: int, rho: float = 0.0, seed: int = 1) -> DataFrame:
-    """Bootstrapped, demeaned returns of strategies without skill; ``rho`` is what they share."""
-    mean = series.agg(F.avg("ret")).first()[0]
+def null_cohort(series: DataFrame, samples: int, length: int, n: int, rho: float = 0.0, seed: int = 1, starts: DataFrame | None = None) -> DataFrame:
+    """Bootstrapped, demeaned returns of strategies without skill; ``rho`` is what they share.
+
+    ``starts`` (sample_id, block, start) takes the place of drawn ones.
+    """
+    mean = series.agg(F.avg("ret").alias("_mean"))  # one row
     spark = series.sparkSession
-    own = block_bootstrap(series, random_starts(spark, samples, n, length, seed), length, n).withColumn("ret", F.col("ret") - mean)
+    centred = series.join(F.broadcast(mean)).select("t", (F.col("ret") - F.col("_mean")).alias("ret"))
+    drawn = random_starts(spark, samples, n, length, seed) if starts is None else starts
+    own = block_bootstrap(centred, drawn, length, n)
     if not rho:
         return own.select("sample_id", "i", "ret")
-    common = block_bootstrap(series, random_starts(spark, 1, n, length, seed + 1), length, n).select("i", (F.col("ret") - mean).alias("_c"))
+    common = block_bootstrap(centred, random_starts(spark, 1, n, length, seed + 1), length, n).select("i", F.col("ret").alias("_c"))
     return own.join(common, "i").select("sample_id", "i", (math.sqrt(rho) * F.col("_c") + math.sqrt(1 - rho) * F.col("ret")).alias("ret"))
 
 
@@ -188,6 +218,7 @@ def mean_pairwise_correlation(matrix: DataFrame) -> DataFrame:
 
 
 def pairwise_correlation(matrix: DataFrame) -> DataFrame:
+    """Correlation of each two strategies, over the times that both have."""
     a, b = matrix.select("t", F.col("strategy").alias("a"), F.col("ret").alias("ra")), matrix.select("t", F.col("strategy").alias("b"), F.col("ret").alias("rb"))
     return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"))
 

@@ -70,6 +70,18 @@ def regime(panel: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("regime") == "squeeze", 0.85).when(F.col("regime") == "trend", 0.90).otherwise(0.75)).drop("_row", "_any")
 
 
+def routed(panel: DataFrame, majors: list[str], pair: tuple[str, str]) -> DataFrame:
+    """The weights of the strategy that each time's regime calls for: (ts, symbol, regime, confidence, weight)."""
+    by_time = regime(panel).select("ts", "regime", "confidence")
+    squeeze = vol_squeeze(panel).select("ts", "symbol", F.lit("squeeze").alias("regime"), "weight")
+    trend = trend_vol_target(panel, majors).select("ts", "symbol", F.lit("trend").alias("regime"), "weight")
+    both = pair_spread(panel, *pair)
+    sides = F.explode(F.array(F.struct(F.lit(pair[0]).alias("symbol"), F.col("first_weight").alias("weight")), F.struct(F.lit(pair[1]).alias("symbol"), F.col("second_weight").alias("weight"))))
+    reversal = both.select("ts", sides.alias("s")).select("ts", "s.symbol", F.lit("rangebound").alias("regime"), "s.weight")
+    every = squeeze.unionByName(trend).unionByName(reversal)
+    return every.join(by_time, ["ts", "regime"]).select("ts", "symbol", "regime", "confidence", "weight")
+
+
 def quick_move(bars: DataFrame, n: int = 24, min_rvol: float = 1.3, profit: float = 0.02, stop: float = 0.012, size: float = 0.40) -> DataFrame:
     """Breakouts of the close over the highs, or under the lows, of the n - 1 bars before, with volume."""
     w = by_symbol()

@@ -87,3 +87,34 @@ PANEL = """panel AS (
 
 def panel_base() -> str:
     return PANEL + ", " + BASE.replace("FROM bars))", "FROM panel))")
+
+
+#: Good Fridays of the years that the tables' dates and their neighbours fall into.
+GOOD_FRIDAYS = ["1991-03-29", "1992-04-17", "1993-04-09", "1994-04-01", "1995-04-14", "1996-04-05", "1997-03-28", "1998-04-10", "1999-04-02", "2000-04-21", "2001-04-13", "2002-03-29", "2022-04-15", "2023-04-07", "2024-03-29", "2025-04-18", "2026-04-03"]
+
+
+def calendar_cte(first: str, last: str) -> str:
+    """The exchange calendar in SQL, by rules of its own: nothing here comes from the package's calendar."""
+    nth = lambda month, weekday, n: f"make_date(y, {month}, 1) + CAST(({weekday} - dayofweek(make_date(y, {month}, 1)) + 7) % 7 + {7 * (n - 1)} AS INTEGER)"
+    last_monday = "make_date(y, 5, 31) - CAST((dayofweek(make_date(y, 5, 31)) + 6) % 7 AS INTEGER)"
+    fixed = "(SELECT y, make_date(y, 1, 1) AS d, true AS ny FROM yrs UNION ALL SELECT y, make_date(y, 6, 19), false FROM yrs WHERE y >= 2022 UNION ALL SELECT y, make_date(y, 7, 4), false FROM yrs UNION ALL SELECT y, make_date(y, 12, 25), false FROM yrs)"
+    return f"""yrs AS (SELECT unnest(range(year(DATE '{first}') - 1, year(DATE '{last}') + 2)) AS y),
+off_days AS (
+  SELECT CASE dayofweek(d) WHEN 0 THEN d + 1 WHEN 6 THEN d - 1 ELSE d END AS day FROM {fixed} WHERE NOT (ny AND dayofweek(d) = 6)
+  UNION SELECT {nth(1, 1, 3)} FROM yrs UNION SELECT {nth(2, 1, 3)} FROM yrs UNION SELECT {last_monday} FROM yrs
+  UNION SELECT {nth(9, 1, 1)} FROM yrs UNION SELECT {nth(11, 4, 4)} FROM yrs
+  UNION SELECT CAST(unnest({GOOD_FRIDAYS}) AS DATE)),
+short_days AS (SELECT {nth(11, 4, 4)} + 1 AS day FROM yrs UNION SELECT make_date(y, 12, 24) FROM yrs UNION SELECT make_date(y, 7, 3) FROM yrs),
+span_days AS (SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS day),
+open_days AS (SELECT day, dayofweek(day) BETWEEN 1 AND 5 AND day NOT IN (SELECT day FROM off_days) AS is_trading_day FROM span_days),
+cal AS (SELECT day, is_trading_day, CASE WHEN is_trading_day THEN CASE WHEN day IN (SELECT day FROM short_days) THEN 780 ELSE 960 END END AS close_minute,
+  CAST(sum(CAST(is_trading_day AS INTEGER)) OVER (ORDER BY day) AS INTEGER) AS td_ordinal FROM open_days)"""
+
+
+def ew_cte(span: int = 100) -> str:
+    """The exponentially weighted volatility as a recursion over the rows of ``base``."""
+    a = 2 / (span + 1)
+    return f"""ew0(symbol, rn, ts, var) AS (
+  SELECT b.symbol, b.rn, b.ts, {1 - a} * coalesce((SELECT s.r * s.r FROM base s WHERE s.symbol = b.symbol AND s.rn = 2), 0) FROM base b WHERE b.rn = 1
+  UNION ALL SELECT b.symbol, b.rn, b.ts, {a} * b.r * b.r + {1 - a} * e.var FROM ew0 e JOIN base b ON b.symbol = e.symbol AND b.rn = e.rn + 1),
+ew AS (SELECT symbol, rn, ts, CASE WHEN var > 0 THEN sqrt(var) ELSE coalesce(sqrt(first_value(var) OVER (PARTITION BY symbol ORDER BY CASE WHEN var > 0 THEN 0 ELSE 1 END, rn)), 0) END AS vol FROM ew0)"""

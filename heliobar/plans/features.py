@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..operators import joins, labels, portfolio, ranking, series
-from .common import BASE, DAY, HOUR, PANEL, bars_cte, daily, hourly, out, over, panel_base, prepared, r6, rolled
+from .common import BASE, DAY, HOUR, PANEL, bars_cte, daily, ew_cte, hourly, out, over, panel_base, prepared, r6, rolled
 from .registry import register
 
 _LIN = "b2 AS (SELECT *, (high + low + close) / 3 * volume AS tpv, volume * close AS dv, ln(high / low) * ln(high / low) AS hl2, CASE WHEN close - c1 > 0 THEN close - c1 ELSE 0 END AS gain, CASE WHEN close - c1 < 0 THEN c1 - close ELSE 0 END AS loss FROM base)"
@@ -75,14 +75,7 @@ def features_default(spark, d):
     return out(ind.compute(hourly(spark, d)), "symbol", "ts", *ind.feature_names())
 
 
-_A = 2 / 101
-
-
-@register("ew_volatility", f"""WITH RECURSIVE {bars_cte(HOUR)}, {BASE},
-ew(symbol, rn, ts, var) AS (
-  SELECT b.symbol, b.rn, b.ts, (SELECT s.r * s.r FROM base s WHERE s.symbol = b.symbol AND s.rn = 2) FROM base b WHERE b.rn = 1
-  UNION ALL SELECT b.symbol, b.rn, b.ts, {_A} * b.r * b.r + {1 - _A} * e.var FROM ew e JOIN base b ON b.symbol = e.symbol AND b.rn = e.rn + 1)
-SELECT symbol, ts, round(sqrt(var), 6) AS ew_vol FROM ew""")
+@register("ew_volatility", f"WITH RECURSIVE {bars_cte(HOUR)}, {BASE}, {ew_cte()} SELECT symbol, ts, round(vol, 6) AS ew_vol FROM ew")
 def ew_volatility(spark, d):
     return out(labels.ew_volatility(hourly(spark, d)), "symbol", "ts", "ew_vol")
 
@@ -108,7 +101,7 @@ def trailing_self_excluding_z(spark, d):
     return out(series.news_score(_news(spark, d), 10), "symbol", "date", "count_z")
 
 
-_MACRO = """macro AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+_MACRO = """macro AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2),
 ids AS (SELECT DISTINCT series_id FROM macro), dates AS (SELECT DISTINCT date FROM macro),
 sparse AS (SELECT series_id, date, value FROM ids CROSS JOIN dates LEFT JOIN macro USING (series_id, date)),
 filled AS (SELECT series_id, date, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM sparse)"""
@@ -131,7 +124,7 @@ def forward_fill(spark, d):
     return out(_filled(spark, d), "series_id", "date", "value", digits=4)
 
 
-_M = [rolled(a, "value", 60, 0, "series_id", "date") for a in ("avg", "stddev_samp")]
+_M = [rolled(a, "value", 252, 0, "series_id", "date") for a in ("avg", "stddev_samp")]
 
 
 @register("macro_features", f"""WITH {_MACRO} SELECT series_id, strftime(date, '%Y-%m-%d') AS date,
@@ -149,6 +142,11 @@ def full_outer_macro_panel(spark, d):
     return out(series.outer_panel(a, b), "date", "urgent", "low", digits=4)
 
 
+@register("ew_volatility_short", f"WITH RECURSIVE {bars_cte(HOUR)}, {BASE}, {ew_cte(5)} SELECT symbol, ts, round(vol, 6) AS ew_vol FROM ew")
+def ew_volatility_short(spark, d):
+    return out(labels.ew_volatility(hourly(spark, d), 5), "symbol", "ts", "ew_vol")
+
+
 @register("drawdown_curve", f"""WITH {bars_cte(DAY)}, p AS (SELECT symbol, ts, close, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c1 FROM bars)
 SELECT symbol, ts, round(peak, 6) AS peak, round((close - peak) / peak, 6) + 0.0 AS drawdown, round((close - c1) / c1, 6) + 0.0 AS ret FROM p""")
 def drawdown_curve(spark, d):

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import gaps
-from ..sources.bars import coverage, keep_last, with_min_bars
-from .common import DAY, HOUR, WEEK, bars_cte, daily, hourly, lines_cte, out, prepared, r6, weekly_lines
+from ..sources.bars import BarLake, coverage, keep_last, with_min_bars
+from ..sources.drops import backfill, ingest, refresh
+from ..sources.stores import SelectedUniverse
+from ..staging import scratch_path
+from .common import calendar_cte, DAY, HOUR, WEEK, bars_cte, daily, hourly, lines_cte, out, prepared, r6, weekly_lines
 from .registry import register
 
 _BAR_SQL = ", ".join(r6(c, c) for c in ("open", "high", "low", "close", "volume"))
@@ -100,14 +103,7 @@ def data_health(spark, d):
 
 
 _FIRST, _LAST = date(1991, 12, 1), date(2002, 1, 31)
-
-
-def _values(first: date = _FIRST, last: date = _LAST) -> str:
-    """The calendar as literal rows: the oracle has no other source of holidays."""
-    rows = cal.calendar_rows(first, last)
-    body = ", ".join(f"(DATE '{day}', {str(t).lower()}, {'NULL' if m is None else m}, {o})" for day, t, m, o in rows)
-    return f"cal(day, is_trading_day, close_minute, td_ordinal) AS (VALUES {body})"
-
+_CAL = calendar_cte(str(_FIRST), str(_LAST))
 
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)"
 
@@ -116,19 +112,19 @@ def _order_days(spark, d):
     return prepared(spark).read.parquet(f"{d}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct()
 
 
-@register("trading_calendar", f"WITH {_values()}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day, is_trading_day, close_minute FROM days JOIN cal USING (day)")
+@register("trading_calendar", f"WITH {_CAL}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day, is_trading_day, close_minute FROM days JOIN cal USING (day)")
 def trading_calendar(spark, d):
     return out(_order_days(spark, d).join(F.broadcast(cal.calendar(spark, _FIRST, _LAST)), "day"), "day", "is_trading_day", "close_minute")
 
 
-@register("next_prev_trading_day", f"""WITH {_values()}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day,
+@register("next_prev_trading_day", f"""WITH {_CAL}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day,
 strftime((SELECT min(c.day) FROM cal c WHERE c.is_trading_day AND c.day > days.day), '%Y-%m-%d') AS next_day,
 strftime((SELECT max(c.day) FROM cal c WHERE c.is_trading_day AND c.day < days.day), '%Y-%m-%d') AS previous_day FROM days""")
 def next_prev_trading_day(spark, d):
     return out(cal.with_next_previous(_order_days(spark, d), cal.calendar(spark, _FIRST, _LAST)), "day", "next_day", "previous_day")
 
 
-@register("settlement_dates", f"""WITH {_values()}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day,
+@register("settlement_dates", f"""WITH {_CAL}, {_DAYS} SELECT strftime(day, '%Y-%m-%d') AS day,
 strftime((SELECT min(c.day) FROM cal c WHERE c.is_trading_day AND c.day > days.day), '%Y-%m-%d') AS settles FROM days""")
 def settlement_dates(spark, d):
     met = cal.with_next_previous(_order_days(spark, d), cal.calendar(spark, _FIRST, _LAST))
@@ -136,6 +132,7 @@ def settlement_dates(spark, d):
 
 
 _EVENT_FIRST, _EVENT_LAST = date(2023, 1, 1), date(2026, 12, 31)
+EVENT_CAL = calendar_cte(str(_EVENT_FIRST), str(_EVENT_LAST))
 
 
 def local_time(ts: str) -> str:
@@ -145,7 +142,7 @@ def local_time(ts: str) -> str:
     return f"(CASE WHEN {summer} THEN {ts} - INTERVAL 4 HOUR ELSE {ts} - INTERVAL 5 HOUR END)"
 
 
-@register("market_open_flag", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, e AS (SELECT event_id, {local_time('ts')} AS l FROM events),
+@register("market_open_flag", f"""WITH {EVENT_CAL}, e AS (SELECT event_id, {local_time('ts')} AS l FROM events),
 m AS (SELECT event_id, CAST(l AS DATE) AS day, hour(l) * 60 + minute(l) AS mi FROM e)
 SELECT event_id, coalesce(is_trading_day AND mi >= 570 AND mi < close_minute, false) AS is_open, coalesce(is_trading_day AND mi >= 240 AND mi < 1200, false) AS is_extended FROM m LEFT JOIN cal USING (day)""")
 def market_open_flag(spark, d):
@@ -154,7 +151,7 @@ def market_open_flag(spark, d):
     return flagged.select("event_id", "is_open", "is_extended")
 
 
-@register("expected_grid_sessions", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, span AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events),
+@register("expected_grid_sessions", f"""WITH {EVENT_CAL}, span AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events),
 u AS (SELECT CAST(a AS TIMESTAMP) + INTERVAL 1 HOUR * k AS h FROM span, range(100000) t(k) WHERE k < (date_diff('day', a, b) + 2) * 24),
 h AS (SELECT h + INTERVAL 30 MINUTE AS ts FROM u), l AS (SELECT ts, {local_time('ts')} AS l FROM h)
 SELECT CAST(epoch(ts) AS BIGINT) AS ts FROM l JOIN cal ON cal.day = CAST(l AS DATE), span WHERE is_trading_day AND cal.day BETWEEN a AND b AND hour(l) * 60 + minute(l) >= 570 AND hour(l) * 60 + minute(l) < close_minute""")
@@ -163,3 +160,77 @@ def expected_grid_sessions(spark, d):
     span = spark.read.parquet(f"{d}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
     first, last = (x.date() if isinstance(x, datetime) else _EVENT_FIRST for x in span)
     return out(cal.session_grid(cal.calendar(spark, first, last), HOUR))
+
+
+# --- sources as file drops ----------------------------------------------------------------------------------------
+
+
+def _lake(spark):
+    return BarLake(prepared(spark), scratch_path(spark, "lake"))
+
+
+@register("lake_backfill", f"""WITH {_GRID} SELECT g.symbol, count(*) AS expected, count(b.ts) AS present, round(sum(b.close), 4) AS closes
+FROM grid g LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts = b.ts GROUP BY 1""")
+def lake_backfill(spark, d):
+    """A lake that lacks every third bar is filled up from the source; then the grid is held against it."""
+    lake, bars = _lake(spark), hourly(spark, d)
+    lake.write(bars.where(F.pmod(F.unix_seconds("ts"), F.lit(3 * HOUR)) != 0), "1h", "crypto")
+    span = coverage(bars).agg(F.min("first_ts"), F.max("last_ts")).first()
+    if span[0] is not None:
+        backfill(lake, bars, bars.select("symbol"), "1h", span[0], span[1], "crypto")
+    stored = lake.stored("crypto", "1h")
+    grid = gaps.continuous_grid(coverage(stored), HOUR)
+    met = grid.join(stored.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
+    return out(met.groupBy("symbol").agg(F.count("*").alias("expected"), F.count("close").alias("present"), F.sum("close").alias("closes")), digits=4)
+
+
+@register("lake_refresh", f"""WITH {bars_cte(DAY)}, old AS (SELECT symbol, max(ts) AS last_ts FROM bars WHERE ts < 1705536000 AND symbol <> 'view' GROUP BY 1),
+new AS (SELECT b.* FROM bars b LEFT JOIN old USING (symbol) WHERE b.ts <= 1706054400 AND (last_ts IS NULL OR b.ts >= last_ts - 3 * {DAY}))
+SELECT symbol, count(*) AS bars, max(ts) AS last_ts, round(sum(volume), 4) AS volume FROM (SELECT symbol, ts, volume FROM bars WHERE ts < 1705536000 AND symbol <> 'view' UNION SELECT symbol, ts, volume FROM new) GROUP BY 1""")
+def lake_refresh(spark, d):
+    """Bars of the first weeks, one symbol left out, refreshed to a later day."""
+    lake, bars = _lake(spark), daily(spark, d)
+    lake.write(bars.where("unix_seconds(ts) < 1705536000 AND symbol <> 'view'"), "1d", "crypto")
+    refresh(lake, bars, bars.select("symbol"), "1d", datetime(2024, 1, 24))
+    got = lake.stored("crypto", "1d").groupBy("symbol").agg(F.count("*").alias("bars"), F.max("ts").alias("last_ts"), F.sum("volume").alias("volume"))
+    return out(got, digits=4)
+
+
+@register("ingest_failures", f"""WITH {bars_cte(DAY)}, j AS (SELECT symbol, count(*) FILTER (close > 2 * open) AS bad FROM bars GROUP BY 1)
+SELECT symbol, CASE WHEN bad > 0 THEN bad || ' unusable bars' END AS reason FROM j UNION ALL SELECT 'nothing', 'no bars'""")
+def ingest_failures(spark, d):
+    """Bars of which some have a high below their low; one symbol has none at all."""
+    bars = daily(spark, d).withColumn("high", F.when(F.col("close") > 2 * F.col("open"), F.col("low") - 1).otherwise(F.col("high")))
+    names = bars.select("symbol").distinct()
+    failed = ingest(_lake(spark), bars, names.unionByName(spark.createDataFrame([("nothing",)], "symbol string")), "1d")["failed"]
+    return names.join(failed, "symbol", "full").select("symbol", "reason")
+
+
+@register("health_report", f"""WITH {bars_cte(DAY)}, g AS (SELECT symbol, 1706745600 - {DAY} * k AS ts FROM (SELECT DISTINCT symbol FROM bars), range(121) t(k)),
+c AS (SELECT g.symbol, count(b.ts) / count(*) AS completeness FROM g LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts = b.ts GROUP BY 1),
+l AS (SELECT symbol, (1706745600 - max(ts)) / 86400.0 AS stale_days FROM bars GROUP BY 1)
+SELECT symbol, round(completeness, 6) AS completeness, round(CAST(stale_days AS DOUBLE), 6) AS stale_days, (completeness < 0.95 OR stale_days > 3) AS warn, round((SELECT avg(completeness) FROM c), 6) AS mean_completeness FROM c JOIN l USING (symbol)""")
+def health_report(spark, d):
+    return out(gaps.health_report(daily(spark, d), datetime(2024, 2, 1)), "symbol", "completeness", "stale_days", "warn", "mean_completeness")
+
+
+@register("session_window", f"""WITH {_CAL}, {_DAYS}, t AS (SELECT day, CAST(day AS TIMESTAMP) + INTERVAL 570 MINUTE AS a, CAST(day AS TIMESTAMP) + INTERVAL 960 MINUTE AS b FROM days)
+SELECT strftime(day, '%Y-%m-%d') AS day, strftime((a AT TIME ZONE 'America/New_York') AT TIME ZONE 'Asia/Tokyo', '%H:%M') AS opens, strftime((b AT TIME ZONE 'America/New_York') AT TIME ZONE 'Asia/Tokyo', '%H:%M') AS closes FROM t""")
+def session_window(spark, d):
+    return out(cal.with_session_window(_order_days(spark, d), 570, 960, "Asia/Tokyo"), "day", "opens", "closes")
+
+
+@register("selected_universe_asof", """WITH e AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, avg(value) AS price, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-04' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1, 2),
+s AS (SELECT * FROM e WHERE day IN (DATE '2024-01-01', DATE '2024-01-03')), q AS (SELECT CAST(unnest(['2024-01-01', '2024-01-02', '2024-01-03', '2024-01-09']) AS DATE) AS d)
+SELECT strftime(q.d, '%Y-%m-%d') AS as_of, symbol, round(price, 6) AS price FROM q JOIN s ON s.day = (SELECT max(s2.day) FROM s s2 WHERE s2.day <= q.d)""")
+def selected_universe_asof(spark, d):
+    events = prepared(spark).read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    store = SelectedUniverse(spark, scratch_path(spark, "universe"))
+    for day in (date(2024, 1, 1), date(2024, 1, 3)):
+        per = events.where(F.col("day") == F.lit(day)).groupBy(F.col("event_type").alias("symbol")).agg(F.avg("value").alias("price"))
+        store.save(per.selectExpr("symbol", "price", "price AS dollar_volume", "true AS shortable", "true AS easy_to_borrow", "true AS fractionable"), day)
+    got = None
+    for day in (date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 3), date(2024, 1, 9)):
+        part = store.asof(day).select(F.lit(str(day)).alias("as_of"), "symbol", "price")
+        got = part if got is None else got.unionByName(part)
+    return out(got)

@@ -11,8 +11,9 @@ from ..functions import costs, indicators as ind, text
 from ..functions.rolling import r6 as sr6
 from ..operators import cv, joins, labels, portfolio, ranking, risk, series, statistics as stats, strategies
 from ..operators import calendar as cal
-from .common import BASE, DAY, HOUR, PANEL, WEEK, bars_cte, daily, hourly, lines_cte, out, over, panel_base, prepared, rolled, weekly_lines
-from .lake import _EVENT_FIRST, _EVENT_LAST, _values, local_time
+from ..staging import stage
+from .common import BASE, DAY, HOUR, PANEL, WEEK, bars_cte, daily, ew_cte, hourly, lines_cte, out, over, panel_base, prepared, rolled, weekly_lines
+from .lake import EVENT_CAL, local_time
 from .registry import register
 
 _R = rolled
@@ -62,8 +63,8 @@ def anti_join_exits(spark, d):
     return joins.exits(held, orders.where("o_orderpriority = '5-LOW'").select("symbol"))
 
 
-@register("union_relaxed", """SELECT o_orderkey AS id, o_orderstatus AS status, NULL::BIGINT AS part FROM orders WHERE o_orderkey <= 1000
-UNION ALL SELECT l_orderkey, NULL, l_partkey FROM lineitem WHERE l_orderkey <= 500""")
+@register("union_relaxed", """SELECT o_orderkey AS id, o_orderstatus AS status, NULL::BIGINT AS part FROM orders
+UNION ALL SELECT l_orderkey, NULL, l_partkey FROM lineitem""")
 def union_relaxed(spark, d):
     a = prepared(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     b = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))
@@ -122,16 +123,15 @@ def group_flags(spark, d):
 @register("upper_median", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(value, 6) AS median FROM r WHERE k = n // 2 + 1""")
 def upper_median(spark, d):
-    w = Window.partitionBy("event_type")
     rows = prepared(spark).read.parquet(f"{d}/events.parquet").select("event_type", "value")
-    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy("value")), "_n": F.count("*").over(w)})
-    return out(ranked.where(F.expr("_k = _n div 2 + 1")).select("event_type", F.col("value").alias("median")))
+    return out(ranking.value_at_rank(rows, ["event_type"], "value", lambda n: F.floor(n / 2)).select("event_type", F.col("at").alias("median")))
 
 
 @register("interp_percentiles", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(median(value), 6) AS median FROM events GROUP BY 1")
 def interp_percentiles(spark, d):
-    got = prepared(spark).read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p95"), F.median("value").alias("median"))
-    return out(got)
+    rows = prepared(spark).read.parquet(f"{d}/events.parquet").select("event_type", "value")
+    p95 = ranking.interpolated(rows, ["event_type"], "value", 0.95, "p95")
+    return out(p95.join(ranking.interpolated(rows, ["event_type"], "value", 0.5, "median"), "event_type"))
 
 
 @register("ols_slope", f"WITH {bars_cte(DAY)} SELECT symbol, round(coalesce(regr_slope(close, open), 0), 6) + 0.0 AS slope FROM bars GROUP BY 1")
@@ -194,7 +194,13 @@ def meta_labels(spark, d):
     return out(got, "symbol", "ts", "ret", "label")
 
 
-@register("panel_dataset")
+@register("panel_dataset", f"""WITH RECURSIVE {bars_cte(HOUR)}, {BASE}, {ew_cte()}, v AS (SELECT base.*, ew.vol AS ev, count(*) OVER (PARTITION BY symbol) AS n FROM base JOIN ew USING (symbol, rn)),
+p AS (SELECT *, close / lag(close, 20) OVER {over()} - 1 AS mom, {_R('stddev_samp', 'r', 20)} AS vol20, (close - {_R('avg', 'close', 20)}) / nullif({_R('stddev_samp', 'close', 20)}, 0) AS z,
+ list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS path, list(ts) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS times FROM v WHERE n >= 124),
+t AS (SELECT *, coalesce(list_position(list_transform(path, lambda x: x >= close * (1 + 0.3 * ev)), true), 0) AS pt, coalesce(list_position(list_transform(path, lambda x: x <= close * (1 - 0.3 * ev)), true), 0) AS sl FROM p WHERE rn - 1 BETWEEN 90 AND n - 25 AND mom IS NOT NULL AND vol20 IS NOT NULL AND z IS NOT NULL),
+l AS (SELECT *, pt > 0 AND (sl = 0 OR pt <= sl) AS up FROM t), k AS (SELECT *, CASE WHEN up THEN pt WHEN sl > 0 THEN sl ELSE 24 END AS touch FROM l),
+i AS (SELECT *, times[touch] AS t1, row_number() OVER (ORDER BY ts, symbol) - 1 AS row_idx FROM k), e AS (SELECT ts, max(row_idx) AS last_idx FROM i GROUP BY 1)
+SELECT i.row_idx, greatest(i.row_idx, coalesce(e.last_idx, i.row_idx)) AS t1_idx, symbol, i.ts, CAST(up AS INTEGER) AS y, round(path[touch] / close - 1, 6) + 0.0 AS ret, round(mom, 6) + 0.0 AS mom_20, round(vol20, 6) AS vol_20, round(z, 6) + 0.0 AS z_20 FROM i ASOF LEFT JOIN e ON i.t1 >= e.ts""")
 def panel_dataset(spark, d):
     got = labels.panel_dataset(hourly(spark, d), [ind.momentum(20), ind.realized_vol(20), ind.zscore(20)], 24, 0.3, 0.3)
     return out(got, "row_idx", "t1_idx", "symbol", "ts", "y", "ret", "mom_20", "vol_20", "z_20")
@@ -207,9 +213,9 @@ roles AS (SELECT fold, row_idx, t1_idx, CASE WHEN row_idx BETWEEN lo AND hi THEN
 
 
 def _roles(spark, d):
-    rows = labels.global_index(hourly(spark, d).select("ts", "symbol"), ["ts", "symbol"], "row_idx")
+    rows = stage(labels.global_index(hourly(spark, d).select("ts", "symbol"), ["ts", "symbol"], "row_idx").select("row_idx"), "roles-index")
     n = rows.count()
-    return cv.purged_roles(rows.withColumn("t1_idx", F.least(F.col("row_idx") + 24, F.lit(n - 1))))
+    return cv.purged_roles(rows.withColumn("t1_idx", F.least(F.col("row_idx") + 24, F.lit(n - 1))), n=n)
 
 
 @register("purged_kfold_roles", f"WITH {_ROWS} SELECT fold, row_idx, role FROM roles")
@@ -232,10 +238,11 @@ def signal_net_returns(spark, d):
 _ATR = f"{bars_cte(HOUR)}, {BASE}, a AS (SELECT symbol, ts, close, {_R('avg', 'tr', 14)} AS atr FROM base), s AS (SELECT symbol, ts, close, atr, max(close) OVER {over()} - 1.5 * atr AS stop FROM a WHERE atr IS NOT NULL)"
 
 
-@register("trailing_stop", f"WITH {_ATR} SELECT symbol, ts, round(stop, 6) + 0.0 AS stop_price, close <= stop AS triggered FROM s")
+@register("trailing_stop", f"""WITH {_ATR.replace("max(close) OVER " + over() + " - 1.5 * atr AS stop", "symbol IN ('click', 'error') AS short, max(close) OVER " + over() + " AS hi, min(close) OVER " + over() + " AS lo")}
+SELECT symbol, ts, round(CASE WHEN short THEN lo + 1.5 * atr ELSE hi - 1.5 * atr END, 6) + 0.0 AS stop_price, CASE WHEN short THEN close >= lo + 1.5 * atr ELSE close <= hi - 1.5 * atr END AS triggered FROM s""")
 def trailing_stop(spark, d):
     rows = ind.compute(hourly(spark, d), [("atr", lambda w: ind.roll(F.avg, ind.true_range(w), 14, w))]).where("atr IS NOT NULL")
-    got = labels.trailing_stop(rows.withColumn("is_short", F.lit(False)), 1.5, "symbol")
+    got = labels.trailing_stop(rows.withColumn("is_short", F.col("symbol").isin("click", "error")), 1.5, "symbol")
     return out(got, "symbol", "ts", "stop_price", "triggered")
 
 
@@ -249,7 +256,7 @@ def _cost(n: str, q: str, sell: str, passive: str = "false") -> str:
 + CASE WHEN regulated AND {sell} THEN ceil(({n} * 27.8::DOUBLE / 1000000 + least({q} * 0.000166::DOUBLE, 8.3)) * 100) / 100 ELSE 0 END)"""
 
 
-@register("fill_costs", f"""WITH {_VENUES}, f AS (SELECT o_orderkey, o_totalprice AS n, o_totalprice / 100 AS q, o_orderstatus = 'F' AS sell FROM orders WHERE o_orderkey <= 20000)
+@register("fill_costs", f"""WITH {_VENUES}, f AS (SELECT o_orderkey, o_totalprice AS n, o_totalprice / 100 AS q, o_orderstatus = 'F' AS sell FROM orders)
 SELECT o_orderkey, venue, round({_cost('n', 'q', 'sell')}, 8) AS cost FROM f, venues""")
 def fill_costs(spark, d):
     fills = prepared(spark).read.parquet(f"{d}/orders.parquet")
@@ -286,7 +293,7 @@ def holding_policy_checks(spark, d):
 _WEEKDAYS = "days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)"
 
 
-@register("day_trades_5d", f"""WITH {_values(_EVENT_FIRST, _EVENT_LAST)}, f AS (SELECT user_id AS account, CAST({local_time('ts')} AS DATE) AS day, json_extract_string(props, '$.k') AS symbol, event_type = 'purchase' AS buy FROM events),
+@register("day_trades_5d", f"""WITH {EVENT_CAL}, f AS (SELECT user_id AS account, CAST({local_time('ts')} AS DATE) AS day, json_extract_string(props, '$.k') AS symbol, event_type = 'purchase' AS buy FROM events),
 p AS (SELECT account, day, symbol, CAST(bool_or(buy) AND bool_or(NOT buy) AS INTEGER) AS r, count(*) AS n FROM f GROUP BY 1, 2, 3),
 g AS (SELECT account, day, sum(r) AS r, sum(n) AS n FROM p GROUP BY 1, 2), o AS (SELECT g.*, td_ordinal FROM g JOIN cal USING (day))
 SELECT account, strftime(day, '%Y-%m-%d') AS day, CAST(r AS BIGINT) AS day_trades, CAST(n AS BIGINT) AS fills, CAST(sum(r) OVER w AS BIGINT) AS day_trades_5d, CAST(sum(n) OVER w AS BIGINT) AS fills_5d FROM o WINDOW w AS (PARTITION BY account ORDER BY td_ordinal RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)""")
@@ -318,13 +325,26 @@ def equity_guard(spark, d):
     return out(risk.equity_guard(_marks(spark, d)), "account", "ts", "drawdown", "scale")
 
 
-@register("order_risk_check", """WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS qty, l_extendedprice / l_quantity / 100 AS price, CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_discount * 1000 END AS pos, l_tax * 5000 AS gross, CAST(l_linenumber * 5 AS INTEGER) AS trades FROM lineitem WHERE l_returnflag <> 'A'),
-a AS (SELECT *, qty * price AS n, 125 - pos AS room1, 500 - gross AS room2 FROM o), b AS (SELECT *, least(n, room1) AS v1 FROM a), c AS (SELECT *, least(v1, room2) AS v2, (trades >= 25 OR n < 1 OR (n > room1 AND room1 < 1) OR (v1 > room2 AND room2 < 1)) AS no FROM b)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, NOT no AS approved, round(CASE WHEN no THEN 0 WHEN n <= room1 AND v1 <= room2 THEN qty ELSE v2 / price END, 6) AS approved_qty FROM c""")
+@register("order_risk_check", """WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag = 'R' AS sell, l_quantity AS qty, l_extendedprice / l_quantity / 100 AS price, l_discount * 1000 AS pos, l_tax * 5000 AS gross, CAST(l_linenumber * 5 AS INTEGER) AS trades,
+  CASE WHEN l_linestatus = 'O' THEN l_quantity / 2 ELSE 0 END AS cur, l_tax * 2000 AS shorted, l_suppkey % 2 = 0 AS allowed, l_linenumber = 6 AS halted FROM lineitem),
+a AS (SELECT *, qty * price AS n, 125 - pos AS room1, 500 - gross AS room2, least(qty, greatest(0, cur)) AS closing FROM o), b AS (SELECT *, least(n, room1) AS v1, qty - closing AS rest, 50.0 AS short1, 150 - shorted AS short2 FROM a),
+c AS (SELECT *, least(v1, room2) AS v2, (halted OR trades >= 25 OR n < 1 OR (n > room1 AND room1 < 1) OR (v1 > room2 AND room2 < 1)) AS no, least(rest * price, short1) AS s1 FROM b),
+e AS (SELECT *, CASE WHEN NOT allowed OR halted OR (s1 > short2 AND short2 < 1) THEN 0 ELSE least(s1, short2) / price END AS opened FROM c),
+f AS (SELECT *, CASE WHEN NOT sell THEN CASE WHEN no THEN 0 WHEN n <= room1 AND v1 <= room2 THEN qty ELSE v2 / price END WHEN rest <= 1e-12 THEN qty ELSE closing + opened END AS q FROM e)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN sell THEN q > 0 OR rest <= 1e-12 ELSE NOT no END AS approved, round(q, 6) AS approved_qty FROM f""")
 def order_risk_check(spark, d):
+    """Buys and sales; sales close a position or open a short, where shorts are allowed; some accounts are halted."""
+    c = F.col
     line = prepared(spark).read.parquet(f"{d}/lineitem.parquet")
-    orders = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("buy").alias("side"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), F.lit(500.0).alias("equity"), F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_discount") * 1000).alias("position_value"), (F.col("l_tax") * 5000).alias("gross_exposure"), F.lit(0.0).alias("current_qty"), F.lit(0.0).alias("gross_short"), F.lit(False).alias("allow_short"), F.lit(False).alias("halted"), (F.col("l_linenumber") * 5).alias("trades_today"))
-    return out(risk.check_orders(orders), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "approved", "approved_qty")
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    orders = line.select(
+        *names, F.when(c("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), c("l_quantity").alias("qty"),
+        (c("l_extendedprice") / c("l_quantity") / 100).alias("price"), F.lit(500.0).alias("equity"), (c("l_discount") * 1000).alias("position_value"),
+        (c("l_tax") * 5000).alias("gross_exposure"), F.when(c("l_linestatus") == "O", c("l_quantity") / 2).otherwise(0.0).alias("current_qty"),
+        (c("l_tax") * 2000).alias("gross_short"), (c("l_suppkey") % 2 == 0).alias("allow_short"), (c("l_linenumber") == 6).alias("halted"),
+        (c("l_linenumber") * 5).alias("trades_today"),
+    )
+    return out(risk.check_orders(orders), *names, "approved", "approved_qty")
 
 
 @register("twap_slices", """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS n FROM orders), s AS (SELECT *, CASE WHEN n < 30 THEN 1 ELSE 3 END AS k FROM o)
@@ -334,11 +354,71 @@ def twap_slices(spark, d):
     return risk.twap_slices(orders).select("o_orderkey", "slice", "slice_notional")
 
 
+_POLICY = f"""c AS (SELECT venue, asset, {_RT} AS rt, CASE WHEN asset = 'crypto' THEN 0.035::DOUBLE ELSE 0.018::DOUBLE END AS vol FROM venues),
+h AS (SELECT venue, asset, CASE WHEN asset = 'crypto' THEN (2 * rt / (0.03 * vol * 1e4 * 1.75)) ** 2 ELSE greatest(5.0, (2 * rt / (0.03 * vol * 1e4 * 1.75)) ** 2) END AS mh FROM c)"""
+
+
+@register("holding_policy", f"WITH {_VENUES}, {_POLICY}, y AS (SELECT *, 4 * (CASE WHEN asset = 'crypto' THEN 365 ELSE 252 END) / mh AS per FROM h) SELECT venue, round(mh, 4) AS min_hold_days, round(per, 4) AS trades_per_year, round(100 / per, 4) AS years_to_target FROM y")
+def holding_policy(spark, d):
+    v = costs.venues(prepared(spark)).withColumn("daily_vol", F.when(F.col("asset") == "crypto", 0.035).otherwise(0.018))
+    return out(costs.holding_policy(v, symbols=4), "venue", "min_hold_days", "trades_per_year", "years_to_target", digits=4)
+
+
+@register("exit_checks", """WITH e AS (SELECT event_id, event_type, epoch(ts) // 1 AS s FROM events), x AS (SELECT *, CASE WHEN event_type = 'view' THEN 5.0 ELSE 20.5 END AS least_, (1706745600 - CAST(floor(s) AS BIGINT)) / 86400.0::DOUBLE AS held FROM e)
+SELECT event_id, held >= least_ AS allowed, CAST(round(greatest(least_ - held, 0) * 86400) AS BIGINT) AS seconds_remaining, CASE WHEN held >= least_ THEN '' ELSE printf('%s is held for some days to earn its costs, %d hours are left', event_type, CAST(ceil(greatest(least_ - held, 0) * 24 - 1e-9) AS BIGINT)) END AS reason FROM x""")
+def exit_checks(spark, d):
+    rows = prepared(spark).read.parquet(f"{d}/events.parquet")
+    least = F.when(F.col("event_type") == "view", 5.0).otherwise(20.5)
+    check = costs.exit_check(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(1706745600)), least, F.col("event_type"))
+    return rows.select("event_id", check["allowed"].alias("allowed"), F.round(check["days_remaining"] * 86400).cast("long").alias("seconds_remaining"), check["reason"].alias("reason"))
+
+
+@register("spread_stress", f"WITH {_VENUES.replace('venues(venue, asset, commission, half,', 'given(venue, asset, commission, half0,')}, venues AS (SELECT *, 40.0::DOUBLE AS half FROM given), adv AS (SELECT *, 500 * (10 - half) / 1e4 AS earned FROM venues) SELECT venue, round({_RT}, 4) AS taker_bps, round({_RTP} + 1e4 * 2 * earned / 500, 4) AS maker_bps FROM adv")
+def spread_stress(spark, d):
+    """All venues at a half spread of 40 basis points, of which adverse selection takes 10 back."""
+    v = costs.with_spread(costs.venues(prepared(spark)), 40.0).withColumn("adverse_selection_bps", F.lit(10.0))
+    return v.select("venue", F.round(costs.round_trip_bps(500.0), 4).alias("taker_bps"), F.round(costs.round_trip_bps(500.0, True), 4).alias("maker_bps"))
+
+
+@register("capacity_text", """WITH c AS (SELECT DISTINCT c_mktsegment AS seg, c_nationkey % 3 AS k FROM customer)
+SELECT seg, k, CASE WHEN seg = 'BUILDING' THEN 'no limit but cost: settlement is instant, at all hours' WHEN k = 0 THEN '3 day trades in five business days, by the broker''s own rule' WHEN seg = 'MACHINERY' THEN 'no cap on day trades, about one round trip of the whole balance a day: sales settle on the next day' ELSE 'no cap on day trades; below 2,000 dollars a margin account settles like cash' END AS capacity FROM c""")
+def capacity_text(spark, d):
+    rows = prepared(spark).read.parquet(f"{d}/customer.parquet").select(F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 3).alias("k")).distinct()
+    asset = F.when(F.col("seg") == "BUILDING", "crypto").otherwise("equity")
+    account = F.when(F.col("seg") == "MACHINERY", "cash").otherwise("margin")
+    return rows.select("seg", "k", costs.capacity_text(account, asset, F.when(F.col("k") == 0, 3)).alias("capacity"))
+
+
+@register("can_short", "SELECT p_partkey AS symbol, p_size % 2 = 0 AND p_type LIKE '%A%' AND p_retailprice > 0 AND p_retailprice <= 1200 AS can_short FROM part")
+def can_short(spark, d):
+    part = prepared(spark).read.parquet(f"{d}/part.parquet")
+    rows = part.select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 2 == 0).alias("shortable"), F.col("p_type").like("%A%").alias("easy_to_borrow"), F.col("p_retailprice").alias("price"))
+    return rows.select("symbol", risk.can_short(F.lit(1200.0)).alias("can_short"))
+
+
+@register("day_trade_status", """WITH t AS (SELECT user_id AS account, CAST(ts AS DATE) AS day, count(*) % 6 AS n FROM events GROUP BY 1, 2)
+SELECT account, strftime(day, '%Y-%m-%d') AS day, n >= 3 AS restricted, CAST(greatest(0, 3 - n) AS BIGINT) AS remaining FROM t""")
+def day_trade_status(spark, d):
+    events = prepared(spark).read.parquet(f"{d}/events.parquet")
+    counted = events.groupBy(F.col("user_id").alias("account"), F.to_date("ts").alias("day")).agg((F.count("*") % 6).alias("day_trades_5d"))
+    return out(risk.day_trade_status(counted, 3), "account", "day", "restricted", "remaining")
+
+
+@register("kill_switch_resets", f"""WITH {_MARKS}, k AS (SELECT *, greatest(500, max(equity) OVER (PARTITION BY account ORDER BY ts)) AS peak, first_value(equity) OVER (PARTITION BY account, ts // 86400 ORDER BY ts) AS start_ FROM m),
+x AS (SELECT account, ts, (equity - peak) / peak <= -0.2 OR (equity - start_) / start_ <= -0.05 AS breach FROM k), r AS (SELECT account, ts FROM m WHERE ts % 604800 = 0),
+h AS (SELECT x.*, (SELECT max(b.ts) FROM x b WHERE b.account = x.account AND b.ts <= x.ts AND b.breach) AS tripped, (SELECT max(r.ts) FROM r WHERE r.account = x.account AND r.ts < x.ts) AS lifted FROM x)
+SELECT account, ts, coalesce(tripped > coalesce(lifted, 0), false) AS halted, row_number() OVER (PARTITION BY account, ts // 86400 ORDER BY ts) AS trades_today FROM h""")
+def kill_switch_resets(spark, d):
+    marks = _marks(spark, d).withColumn("trades", F.lit(1))
+    resets = marks.where("unix_seconds(ts) % 604800 = 0").select("account", "ts", F.lit("checked by hand").alias("note"))
+    return out(risk.kill_switch_with_resets(marks, resets), "account", "ts", "halted", "trades_today")
+
+
 # --- simulation -------------------------------------------------------------------------------------------------
 
 
 def _curve(spark, d):
-    panel = joins.aligned_panel(daily(spark, d))
+    panel = stage(joins.aligned_panel(daily(spark, d)), "curve-panel")
     targets = ranking.executed_next(ranking.top_n(ranking.momentum_scores(panel, 5, 1), 2), panel)
     return portfolio.shadow_books(portfolio.orders_from_targets(panel, targets), hold_days=2.0)
 
@@ -353,31 +433,82 @@ def shadow_book_stats(spark, d):
     return out(portfolio.book_stats(_curve(spark, d)))
 
 
-@register("cash_settlement")
+@register("runner_stats")
+def runner_stats(spark, d):
+    got = portfolio.cross_sectional(hourly(spark, d), lookback=60, top=2, every=20, warmup=60)
+    return out(got["stats"].withColumn("rebalances", F.lit(got["rebalances"]).cast("long")))
+
+
+@register("runner_targets", f"""WITH {bars_cte(HOUR)}, {PANEL}, times AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, lead(ts) OVER (ORDER BY ts) AS exec_ts FROM (SELECT DISTINCT ts FROM panel)),
+s AS (SELECT symbol, ts, close / lag(close, 60) OVER {over()} - 1 AS score FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) AS rank FROM s WHERE score IS NOT NULL)
+SELECT symbol, ts, exec_ts, CAST(rank AS INTEGER) AS rank FROM k JOIN times USING (ts) WHERE rank <= 2 AND i >= 60 AND (i - 60) % 20 = 0 AND exec_ts IS NOT NULL""")
+def runner_targets(spark, d):
+    """What the runner decides every 20 bars after its warm-up, with the bar at which it takes effect."""
+    panel = stage(joins.aligned_panel(hourly(spark, d)), "runner-panel")
+    return out(portfolio.decisions(panel, 60, 0, 2, 20, 60), "symbol", "ts", "exec_ts", "rank")
+
+
+_CASH = f"""{EVENT_CAL}, nx AS (SELECT c.day, (SELECT min(o.day) FROM cal o WHERE o.is_trading_day AND o.day > c.day) AS settles FROM cal c WHERE c.day BETWEEN DATE '2023-12-01' AND DATE '2024-03-01'),
+f AS (SELECT CAST(user_id AS VARCHAR) AS account, event_id AS seq, CAST(ts AS DATE) AS day, event_type = 'purchase' AS buy, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+g AS (SELECT f.*, settles FROM f JOIN nx USING (day)),
+r(account, k, seq, buy, cash, due, qty, until, strikes, ok, bad) AS (
+  SELECT DISTINCT account, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(500 AS DOUBLE), CAST([] AS STRUCT(d DATE, a DOUBLE)[]), CAST(0 AS DOUBLE), CAST(NULL AS DATE), 0, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN) FROM f
+  UNION ALL SELECT account, k, seq, buy, CASE WHEN buy AND ok THEN greatest(0, c1 - v) ELSE c1 END, CASE WHEN buy THEN d1 ELSE list_append(d1, {{'d': settles, 'a': v}}) END,
+    CASE WHEN buy AND ok THEN 1 WHEN buy THEN qty ELSE greatest(qty - 1, 0) END,
+    CASE WHEN buy AND ok THEN CASE WHEN v > c1 AND len(d1) > 0 THEN s[coalesce(list_filter(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: x.a)) >= v - c1)[1], len(s))].d END WHEN buy THEN until WHEN qty > 1 THEN until END,
+    strikes + CAST(NOT buy AND qty > 0 AND until IS NOT NULL AND day < until AS INTEGER), ok, coalesce(NOT buy AND qty > 0 AND until IS NOT NULL AND day < until, false)
+  FROM (SELECT *, list_sort(d1) AS s, NOT buy OR v - c1 <= coalesce(list_sum(list_transform(d1, lambda x: x.a)), 0) + 1e-9 AS ok FROM (
+    SELECT g.account, g.k, g.seq, g.buy, g.v, g.day, g.settles, r.qty, r.until, r.strikes, r.cash + coalesce(list_sum(list_transform(list_filter(r.due, lambda x: x.d <= g.day), lambda x: x.a)), 0) AS c1, list_filter(r.due, lambda x: x.d > g.day) AS d1 FROM r JOIN g ON g.account = r.account AND g.k = r.k + 1)))"""
+
+
+@register("cash_settlement", f"""WITH RECURSIVE {_CASH} SELECT account, seq, 'S' AS symbol, CASE WHEN buy THEN 'buy' ELSE 'sell' END AS side, ok AS accepted, bad AS violation, round(cash, 6) AS settled_cash, round(coalesce(list_sum(list_transform(due, lambda x: x.a)), 0), 6) AS unsettled_cash, strikes >= 3 AS restricted FROM r WHERE k > 0""")
 def cash_settlement(spark, d):
-    events = prepared(spark).read.parquet(f"{d}/events.parquet").where("event_type IN ('purchase', 'view')")
+    events = prepared(spark).read.parquet(f"{d}/events.parquet")
     days = events.select(F.to_date("ts").alias("day")).distinct()
     settles = cal.with_next_previous(days, cal.calendar(spark, date(2023, 1, 1), date(2026, 12, 31))).select("day", F.col("next_day").alias("settles"))
     fills = events.select(F.col("user_id").cast("string").alias("account"), F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), F.lit("S").alias("symbol"), F.when(F.col("event_type") == "purchase", "buy").otherwise("sell").alias("side"), F.lit(1.0).alias("qty"), F.col("value").alias("price"))
     return out(portfolio.cash_settlement(fills.join(F.broadcast(settles), "day")))
 
 
-@register("rebalance_plan")
+@register("rebalance_plan", """WITH p AS (SELECT o_custkey AS account, o_orderpriority AS symbol, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY v DESC, symbol) AS k FROM p),
+h AS (SELECT account, symbol, k, CASE WHEN k > 2 THEN floor(v) % 100 ELSE floor(v) % 300 END AS mv FROM k), a AS (SELECT account, greatest(0, 500 - sum(mv)) AS room, max(CASE WHEN k = 1 THEN mv END) AS h1 FROM h GROUP BY 1),
+b AS (SELECT *, 250 - h1 AS g1, least(250 - h1, room) AS v1 FROM a), c AS (SELECT account, room - CASE WHEN g1 >= 25 AND v1 >= 62.5 THEN round(v1, 2) ELSE 0 END AS room2 FROM b),
+w AS (SELECT h.account, symbol, mv, 250 - mv AS gap, least(250 - mv, CASE WHEN k = 1 THEN room ELSE room2 END) AS v FROM h JOIN a USING (account) JOIN c USING (account) WHERE k <= 2),
+x AS (SELECT *, CASE WHEN gap < 25 THEN 'hold' WHEN v < 62.5 THEN 'blocked' ELSE 'buy' END AS action FROM w)
+SELECT CAST(account AS VARCHAR) AS account, symbol, CASE WHEN k = 4 THEN 'blocked' ELSE 'sell' END AS action, mv AS current, 0.0::DOUBLE AS target, CASE WHEN k = 4 THEN 0.0 ELSE mv END AS value FROM h WHERE k > 2 AND mv > 0
+UNION ALL SELECT CAST(account AS VARCHAR), symbol, action, mv, 250.0, CASE WHEN action = 'buy' THEN round(v, 2) ELSE 0 END FROM x""")
 def rebalance_plan(spark, d):
     orders = prepared(spark).read.parquet(f"{d}/orders.parquet")
-    per = orders.groupBy(F.col("o_orderstatus").alias("account"), F.col("o_orderpriority").alias("symbol")).agg(F.sum("o_totalprice").alias("_v"))
+    per = orders.groupBy(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderpriority").alias("symbol")).agg(F.sum("o_totalprice").alias("_v"))
     ranked = per.withColumn("_k", F.row_number().over(Window.partitionBy("account").orderBy(F.desc("_v"), "symbol")))
-    rows = ranked.select("account", "symbol", F.when(F.col("_k") <= 2, F.col("_k")).alias("rank"), F.when(F.col("_k") > 2, F.lit(60.0)).otherwise(F.lit(0.0)).alias("market_value"), (F.col("_k") == 5).alias("locked"))
+    held = F.when(F.col("_k") > 2, F.floor("_v") % 100).otherwise(F.floor("_v") % 300).cast("double")
+    rows = ranked.select("account", "symbol", F.when(F.col("_k") <= 2, F.col("_k")).alias("rank"), held.alias("market_value"), (F.col("_k") == 4).alias("locked"))
     return out(portfolio.rebalance_plan(rows, 500.0, 2))
 
 
-@register("tweaker_path")
+@register("tweaker_path", """WITH t AS (SELECT event_type AS strategy, event_id AS seq, value - 50 AS pnl, value / 20 AS fees FROM events),
+w AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY seq) AS k, coalesce(sum(CASE WHEN pnl > 0 THEN pnl END) OVER r, 0) AS gross, sum(fees) OVER r AS f, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) OVER r AS rate FROM t WINDOW r AS (PARTITION BY strategy ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+s AS (SELECT strategy, seq, count(*) FILTER (k >= 3 AND gross > 0 AND f / gross > 0.2) OVER u AS a, count(*) FILTER (k >= 3 AND rate >= 0.65) OVER u AS b, count(*) FILTER (k >= 3 AND rate < 0.4) OVER u AS c FROM w WINDOW u AS (PARTITION BY strategy ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT strategy, seq, round(least(2.0::DOUBLE, 1.3::DOUBLE + 0.1::DOUBLE * a), 6) AS volume_threshold, round(least(0.05::DOUBLE, 0.02::DOUBLE + 0.003::DOUBLE * b), 6) AS take_profit_pct, round(greatest(0.008::DOUBLE, 0.012::DOUBLE - 0.002::DOUBLE * c), 6) AS stop_loss_pct, greatest(12.0::DOUBLE, 24.0::DOUBLE - 2.0::DOUBLE * c) AS max_hold_hours FROM s""")
 def tweaker_path(spark, d):
     events = prepared(spark).read.parquet(f"{d}/events.parquet")
     trades = events.select(F.col("event_type").alias("strategy"), F.col("event_id").alias("seq"), (F.col("value") - 50).alias("net_pnl"), (F.col("value") / 20).alias("fees"))
     return out(portfolio.tweaker_path(trades))
 
 
+@register("mark_to_market", """WITH p AS (SELECT o_orderkey AS symbol, CAST(o_custkey % 7 - 3 AS DOUBLE) AS qty, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice / 100 END AS entry, o_totalprice / 50 AS mv, o_totalprice / 1000 - 100 AS pl, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS since FROM orders),
+l AS (SELECT l_orderkey AS symbol, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), m AS (SELECT p.*, price, price IS NOT NULL AND entry <> 0 AS live, (epoch(TIMESTAMP '2001-08-02') - epoch(since)) / 86400.0::DOUBLE AS held FROM p LEFT JOIN l USING (symbol)),
+v AS (SELECT *, CASE WHEN live THEN abs(qty) * price ELSE abs(mv) END AS value, CASE WHEN live THEN (price - entry) * qty ELSE pl END AS unrealised FROM m)
+SELECT symbol, live AS live_mark, round(value, 6) AS value, round(unrealised, 6) + 0.0 AS unrealised, round(coalesce(unrealised / nullif(value, 0), 0), 6) + 0.0 AS pct, coalesce(held >= 48.5, true) AS unlocked FROM v""")
+def mark_to_market(spark, d):
+    orders = prepared(spark).read.parquet(f"{d}/orders.parquet")
+    positions = orders.select(F.col("o_orderkey").alias("symbol"), (F.col("o_custkey") % 7 - 3).cast("double").alias("qty"), F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice") / 100).alias("avg_entry_price"), (F.col("o_totalprice") / 50).alias("market_value"), (F.col("o_totalprice") / 1000 - 100).alias("unrealized_pl"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate").cast("timestamp")).alias("entry_time"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'N'")
+    prices = lines.groupBy(F.col("l_orderkey").alias("symbol")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    got = portfolio.mark_to_market(positions, prices, F.lit("2001-08-02").cast("timestamp"), 48.5)
+    return out(got, "symbol", "live_mark", "value", "unrealised", "pct", "unlocked")
+
+
 # --- strategies -------------------------------------------------------------------------------------------------
 
 _W20 = over(20)
@@ -435,11 +566,35 @@ def percent_b_reversion(spark, d):
     return out(strategies.percent_b_reversion(hourly(spark, d)), "symbol", "ts", "action", "weight", "target_price", "stop_loss")
 
 
-@register("composite_rule")
+_K = {n: 1 - 2 / (n + 1) for n in (9, 12, 21, 26)}
+_MEAN = {n: f"({{x}} * {1 - k!r} / (1 - pow({k!r}, {{m}})))" for n, k in _K.items()}
+_MACD = f"({_MEAN[12].format(x=f'(b.close + {_K[12]!r} * e.s12)', m='b.rn')} - {_MEAN[26].format(x=f'(b.close + {_K[26]!r} * e.s26)', m='b.rn')})"
+_EMAS = f"""em(symbol, rn, s9, s21, s12, s26, macd, sm) AS (SELECT symbol, rn, close, close, close, close, 0.0::DOUBLE, 0.0::DOUBLE FROM base WHERE rn = 1
+  UNION ALL SELECT b.symbol, b.rn, b.close + {_K[9]!r} * e.s9, b.close + {_K[21]!r} * e.s21, b.close + {_K[12]!r} * e.s12, b.close + {_K[26]!r} * e.s26, {_MACD}, CASE WHEN b.rn >= 26 THEN {_MACD} ELSE 0 END + {_K[9]!r} * e.sm FROM em e JOIN base b ON b.symbol = e.symbol AND b.rn = e.rn + 1),
+ind AS (SELECT b.*, CASE WHEN rn >= 9 THEN {_MEAN[9].format(x='s9', m='rn')} END AS e9, CASE WHEN rn >= 21 THEN {_MEAN[21].format(x='s21', m='rn')} END AS e21, CASE WHEN rn >= 34 THEN macd - {_MEAN[9].format(x='sm', m='(rn - 25)')} END AS hist FROM base b JOIN em USING (symbol, rn)),
+ru AS (SELECT *, CASE WHEN close - c1 > 0 THEN close - c1 ELSE 0 END AS gain, CASE WHEN close - c1 < 0 THEN c1 - close ELSE 0 END AS loss FROM ind),
+rs AS (SELECT *, 100 - 100 / (1 + {_R('avg', 'gain', 14)} / ({_R('avg', 'loss', 14)} + 1e-12)) AS rsi, {_R('avg', 'volume', 20)} AS vm FROM ru)"""
+
+
+@register("composite_rule", f"""WITH RECURSIVE {bars_cte(HOUR)}, {BASE}, {_EMAS}
+SELECT symbol, ts, round(e9, 6) AS ema_9, round(e21, 6) AS ema_21, round(hist, 6) + 0.0 AS macd_hist, CASE WHEN hist IS NOT NULL AND vm IS NOT NULL AND e9 > e21 AND rsi > 40 AND rsi < 90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM rs""")
 def composite_rule(spark, d):
-    rows = ind.compute(hourly(spark, d), [ind.ema(9), ind.ema(21), ind.ema(12), ind.ema(26), ind.rsi(14)])
-    rows = rows.withColumn("macd_hist", F.col("ema_12") - F.col("ema_26")).withColumn("vol_ma_20", ind.roll(F.avg, F.col("volume"), 20, Window.partitionBy("symbol").orderBy("ts")))
-    return out(strategies.composite_rule(rows), "symbol", "ts", "ema_9", "ema_21", "weight")
+    rows = labels.macd_histogram(labels.ema(labels.ema(ind.compute(hourly(spark, d), [ind.rsi(14)]), 9), 21))
+    rows = rows.withColumn("vol_ma_20", ind.roll(F.avg, F.col("volume"), 20, Window.partitionBy("symbol").orderBy("ts")))
+    return out(strategies.composite_rule(rows), "symbol", "ts", "ema_9", "ema_21", "macd_hist", "weight")
+
+
+@register("regime_dispatch", f"""WITH {bars_cte(HOUR)}, {panel_base()}, {_SQ}, g AS (SELECT ts, min(rn) AS rn, coalesce(bool_or(4 * sd / (ma + 1e-12) < 3 * atr2 / (ma + 1e-12)), false) AS q, avg(abs(close / (ma + 1e-12) - 1)) AS dev FROM sx GROUP BY 1),
+rg AS (SELECT ts, CASE WHEN rn < 30 THEN 'trend' WHEN q THEN 'squeeze' WHEN dev >= 0.02 THEN 'trend' ELSE 'rangebound' END AS regime FROM g),
+w AS (SELECT *, {_ANN} AS ann, volume / ({_R('avg', 'volume', 20)} + 1e-12) AS rv, {_R('avg', 'close', 20)} AS sma FROM sx),
+q AS (SELECT a.ts, a.close / (b.close + 1e-12) AS ratio FROM panel a JOIN panel b ON a.ts = b.ts WHERE a.symbol = 'click' AND b.symbol = 'view'), z AS (SELECT ts, (ratio - {_RAT[0]}) / ({_RAT[1]} + 1e-12) AS z FROM q),
+every AS (SELECT ts, symbol, 'squeeze' AS r, CASE WHEN rn >= 50 AND 4 * sd / (ma + 1e-12) < 3 * atr2 / (ma + 1e-12) AND close > ma + 2 * sd AND rv >= 1.2 THEN 0.5 * least(1, 0.3 / greatest(1e-4, ann)) ELSE 0 END AS weight FROM w
+ UNION ALL SELECT ts, symbol, 'trend', CASE WHEN close > sma THEN least(1, 0.2 / greatest(1e-4, ann)) / 2 ELSE 0 END FROM w WHERE symbol IN ('click', 'purchase')
+ UNION ALL SELECT ts, 'click', 'rangebound', CASE WHEN z < -1.5 THEN 0.5 ELSE 0 END FROM z UNION ALL SELECT ts, 'view', 'rangebound', CASE WHEN z > 1.5 THEN 0.5 ELSE 0 END FROM z)
+SELECT e.ts, symbol, regime, CASE regime WHEN 'squeeze' THEN 0.85::DOUBLE WHEN 'trend' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence, round(CAST(weight AS DOUBLE), 6) AS weight FROM every e JOIN rg ON rg.ts = e.ts AND rg.regime = e.r""")
+def regime_dispatch(spark, d):
+    panel = stage(joins.aligned_panel(hourly(spark, d)), "regime-panel")
+    return out(strategies.routed(panel, ["click", "purchase"], ("click", "view")), "ts", "symbol", "regime", "confidence", "weight")
 
 
 # --- statistics -------------------------------------------------------------------------------------------------
@@ -450,7 +605,7 @@ m AS (SELECT symbol AS strategy, t, ret FROM al WHERE ret IS NOT NULL)"""
 
 
 def _matrix(spark, d):
-    panel = joins.aligned_panel(weekly_lines(spark, d))
+    panel = joins.aligned_panel(stage(weekly_lines(spark, d).select("symbol", "ts", "close"), "matrix-bars"))
     w = Window.partitionBy("symbol").orderBy("ts")
     rows = panel.select(F.col("symbol").alias("strategy"), (F.try_divide("close", F.lag("close").over(w)) - 1).alias("ret"), (F.row_number().over(w) - 2).cast("long").alias("t"))
     return rows.where("ret IS NOT NULL")
@@ -478,25 +633,35 @@ def psr_statistic(spark, d):
     return out(stats.moments(_matrix(spark, d), ["strategy"]).select("strategy", stats.psr_statistic().alias("z")))
 
 
-@register("psr_probability")
+_PHI = "(exp(-z * z / 2) / sqrt(2 * pi()) * (" + " + ".join(f"{c}::DOUBLE * pow(1 / (1 + 0.2316419::DOUBLE * abs(z)), {k})" for k, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 1)) + "))"
+
+
+@register("psr_probability", f"WITH {_MOM}, q AS (SELECT strategy, sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM mo) SELECT strategy, round(CASE WHEN z >= 0 THEN 1 - {_PHI} ELSE {_PHI} END, 6) AS psr FROM q")
 def psr_probability(spark, d):
     return out(stats.moments(_matrix(spark, d), ["strategy"]).select("strategy", stats.phi(stats.psr_statistic()).alias("psr")))
 
 
-@register("pbo_cscv", f"""WITH {_RET}, tt AS (SELECT (max(t) + 1) // 6 AS size FROM m), k AS (SELECT strategy, t // size AS block, ret FROM m, tt WHERE t < 6 * size),
-b AS (SELECT unnest(range(64)) AS mask), c AS (SELECT mask FROM b WHERE bit_count(mask::INTEGER) = 3),
-s AS (SELECT mask, strategy, (mask >> block::INTEGER) & 1 AS side, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) ELSE 0 END AS sr FROM k, c GROUP BY 1, 2, 3),
-p AS (SELECT mask, strategy, max(CASE WHEN side = 1 THEN sr END) AS is_sr, max(CASE WHEN side = 0 THEN sr END) AS oos_sr FROM s GROUP BY 1, 2),
-best AS (SELECT mask, arg_max(strategy, is_sr) AS best, max(is_sr) AS is_sr, arg_max(oos_sr, is_sr) AS oos FROM p GROUP BY 1),
-r AS (SELECT best.mask, best, best.is_sr, oos, (SELECT count(*) FROM p WHERE p.mask = best.mask AND p.oos_sr <= oos) / (SELECT count(*) + 1 FROM p WHERE p.mask = best.mask) AS rank FROM best)
-SELECT best, round(is_sr, 6) + 0.0 AS is_sr, round(oos, 6) + 0.0 AS oos_sr, round(rank, 6) AS rank FROM r""")
+_PBO = f"""{_RET}, tt AS (SELECT (max(t) + 1) // 16 AS size FROM m), cn AS (SELECT strategy, avg(ret) AS c FROM m GROUP BY 1),
+k AS (SELECT strategy, c, t // size AS block, count(*) AS n, sum(ret - c) AS s, sum((ret - c) * (ret - c)) AS q FROM m JOIN cn USING (strategy), tt WHERE t < 16 * size GROUP BY 1, 2, 3),
+al2 AS (SELECT strategy, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM k GROUP BY 1),
+halves AS (SELECT mask, row_number() OVER (ORDER BY mask DESC) - 1 AS i FROM (SELECT unnest(range(65536)) AS mask) WHERE bit_count(mask::INTEGER) = 8),
+sp AS (SELECT mask FROM halves WHERE i IN (SELECT j * 12870 // 5000 FROM range(5000) x(j))),
+ins AS (SELECT mask, strategy, c, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM k, sp WHERE (mask >> (15 - block::INTEGER)) & 1 = 1 GROUP BY 1, 2, 3),
+both_ AS (SELECT mask, i.strategy, c, i.n AS n1, i.s AS s1, i.q AS q1, a.n - i.n AS n2, a.s - i.s AS s2, a.q - i.q AS q2 FROM ins i JOIN al2 a USING (strategy)),
+p AS (SELECT mask, strategy, coalesce((c + s1 / n1) / sqrt(nullif(greatest((q1 - s1 * s1 / n1) / (n1 - 1), 0), 0)), 0) AS is_sr, coalesce((c + s2 / n2) / sqrt(nullif(greatest((q2 - s2 * s2 / n2) / (n2 - 1), 0), 0)), 0) AS oos_sr FROM both_),
+best AS (SELECT mask, strategy AS best, is_sr, oos_sr AS oos FROM (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY is_sr DESC, strategy) AS k FROM p) WHERE k = 1),
+r AS (SELECT b.mask, best, b.is_sr, oos, count(*) FILTER (p.oos_sr <= oos) / (count(*) + 1) AS rank FROM best b JOIN p USING (mask) GROUP BY 1, 2, 3, 4)"""
+
+
+@register("pbo_cscv", f"WITH {_PBO} SELECT best, round(is_sr, 6) + 0.0 AS is_sr, round(oos, 6) + 0.0 AS oos_sr, round(rank, 6) AS rank FROM r")
 def pbo_cscv(spark, d):
-    return out(stats.pbo(_matrix(spark, d), 6), "best", "is_sr", "oos_sr", "rank")
+    return out(stats.pbo(_matrix(spark, d)), "best", "is_sr", "oos_sr", "rank")
 
 
-@register("pbo_summary")
+@register("pbo_summary", f"""WITH {_PBO} SELECT count(*) AS splits, round(avg(CASE WHEN ln(rank / (1 - rank)) <= 0 THEN 1.0 ELSE 0 END), 6) AS pbo, round(coalesce(regr_slope(oos, is_sr), 0), 6) + 0.0 AS slope,
+round(avg(CASE WHEN oos <= 0 THEN 1.0 ELSE 0 END), 6) AS loss_probability, round(median(oos), 6) + 0.0 AS median_oos, round((SELECT max(n) FROM (SELECT count(*) AS n FROM r GROUP BY best)) / count(*), 6) AS stability FROM r""")
 def pbo_summary(spark, d):
-    return out(stats.pbo_summary(stats.pbo(_matrix(spark, d), 6)))
+    return out(stats.pbo_summary(stage(stats.pbo(_matrix(spark, d)), "pbo-splits")))
 
 
 @register("pairwise_corr", f"WITH {_RET} SELECT a.strategy AS a, b.strategy AS b, round(corr(a.ret, b.ret), 6) + 0.0 AS corr FROM m a JOIN m b ON a.t = b.t AND a.strategy < b.strategy GROUP BY 1, 2")
@@ -523,25 +688,37 @@ def ledger_metrics(spark, d):
     return out(stats.ledger_metrics(trials))
 
 
-@register("block_bootstrap_indexed", f"""WITH {_RET}, one AS (SELECT t, ret FROM m WHERE strategy = (SELECT min(strategy) FROM m)), n AS (SELECT count(*) AS n FROM one),
+_ONE = f"{_RET}, one AS (SELECT t, avg(ret) AS ret FROM m GROUP BY 1), n AS (SELECT count(*) AS n FROM one)"
+
+
+def _mean_series(spark, d):
+    """The equal-weight return of all strategies, and its length."""
+    one = stage(_matrix(spark, d).groupBy("t").agg(F.avg("ret").alias("ret")), "mean-series")
+    return one, one.count()
+
+
+@register("block_bootstrap_indexed", f"""WITH {_ONE},
 st AS (SELECT s AS sample_id, b AS block, (s * 37 + b * 11) % n AS start FROM n, range(3) a(s), range(8) c(b)), p AS (SELECT sample_id, block * 5 + j AS i, (start + j) % n AS t FROM st, n, range(5) x(j))
 SELECT sample_id, i, t, round(ret, 6) + 0.0 AS ret FROM p JOIN one USING (t)""")
 def block_bootstrap_indexed(spark, d):
-    m = _matrix(spark, d)
-    one = m.join(F.broadcast(m.agg(F.min("strategy").alias("strategy"))), "strategy")
-    n = one.count()
+    one, n = _mean_series(spark, d)
     if not n:
         return out(one.select(F.lit(0).cast("long").alias("sample_id"), F.col("t").alias("i"), "t", "ret"))
     starts = spark.range(24).select(F.expr("id div 8").alias("sample_id"), (F.col("id") % 8).alias("block")).withColumn("start", (F.col("sample_id") * 37 + F.col("block") * 11) % n)
-    return out(stats.block_bootstrap(one, starts, 5, max(n, 40)).where(F.col("i") < 40).select("sample_id", "i", "t", "ret")) if n < 40 else out(stats.block_bootstrap(one, starts, 5, n))
+    return out(stats.block_bootstrap(one, starts, 5, n, 40))
 
 
-@register("null_verdict")
+@register("null_verdict", f"""WITH {_ONE}, l AS (SELECT n, CASE WHEN n < 20 THEN greatest(1, n // 2) ELSE CAST(least(greatest(1, round(pow(n, 1 / 3.0::DOUBLE))), greatest(2, n // 10)) AS BIGINT) END AS l FROM n),
+st AS (SELECT s, b, (s * 37 + b * 101) % n AS start, n, l FROM l, range(50) a(s), range(1000) c(b) WHERE b * l < n), p AS (SELECT s, b * l + j AS i, (start + j) % n AS t FROM st, range(100) x(j) WHERE j < l AND b * l + j < n),
+c AS (SELECT s, ret - (SELECT avg(ret) FROM one) AS ret FROM p JOIN one USING (t)), sr AS (SELECT s, {_SHARPE} AS sr FROM c GROUP BY 1)
+SELECT round(max(sr), 6) + 0.0 AS best, round(quantile_cont(sr, 0.95), 6) + 0.0 AS p95, round(median(sr), 6) + 0.0 AS median, round(avg(CASE WHEN sr >= 0.1 THEN 1.0 ELSE 0 END), 6) AS p_value, 0.1 > max(sr) AS beats_best FROM sr""")
 def null_verdict(spark, d):
-    m = _matrix(spark, d)
-    one = m.join(F.broadcast(m.agg(F.min("strategy").alias("strategy"))), "strategy").select("t", "ret")
-    n = one.count()
-    return out(stats.null_verdict(stats.null_cohort(one, 50, stats.block_size(n, 0.0), n), 0.1))
+    one, n = _mean_series(spark, d)
+    length = stats.block_size(n, 0.0)
+    blocks = -(-n // length)
+    starts = spark.range(50).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("block"))
+    starts = starts.withColumn("start", (F.col("sample_id") * 37 + F.col("block") * 101) % max(n, 1))
+    return out(stats.null_verdict(stats.null_cohort(one, 50, length, n, starts=starts), 0.1))
 
 
 # --- text -------------------------------------------------------------------------------------------------------

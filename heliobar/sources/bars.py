@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..staging import drop_stage, stage
+
 BAR = T.StructType([
     T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")),
     T.StructField("trade_count", T.LongType()), T.StructField("vwap", T.DoubleType()),
 ])
 REQUIRED = ("ts", "open", "high", "low", "close", "volume")
 TIMEFRAMES = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "1d": 86400}
-SYMBOL = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,31}$")
 
 
 def check_symbol(symbol: str) -> str:
-    if not SYMBOL.match(symbol) or ".." in symbol:
+    """A symbol of up to 32 ASCII letters, digits and ``._-``, in parts that can each be the name of a folder."""
+    usable = 0 < len(symbol) <= 32
+    for part in symbol.split("/"):
+        usable = usable and part[:1].isalnum() and all(piece for piece in part.split("."))
+        usable = usable and part.isascii() and part.translate({ord(c): None for c in "._-"}).isalnum()
+    if not usable:
         raise ValueError(f"unusable symbol {symbol!r}")
     return symbol
 
@@ -77,29 +84,76 @@ class BarLake:
             raise ValueError(f"unknown timeframe {timeframe!r}")
         return f"{self.root}/bars/{asset}/{timeframe}"
 
+    def stored(self, asset: str, timeframe: str) -> DataFrame:
+        """All bars of an asset and timeframe, with the columns symbol and year."""
+        return self._stored(asset, timeframe)
+
     def _stored(self, asset: str, timeframe: str) -> DataFrame:
         schema = T.StructType([*BAR.fields, T.StructField("symbol", T.StringType()), T.StructField("year", T.IntegerType())])
         path = self.path(asset, timeframe)
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if not self._partitions(path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
     def write(self, bars: DataFrame, timeframe: str, asset: str = "equity") -> int:
-        """Upsert by (symbol, ts); only the partitions of the new bars are read and replaced. Returns the rows given."""
-        fresh = conform(bars).withColumn("year", F.year("ts")).withColumn("_seq", F.lit(1)).cache()
-        try:
-            n = fresh.count()
-            if not n:
-                return 0
-            touched = fresh.select("symbol", "year").distinct()
-            stored = self._stored(asset, timeframe).join(F.broadcast(touched) if n < 10_000_000 else touched, ["symbol", "year"], "left_semi").withColumn("_seq", F.lit(0))
-            merged = keep_last(stored.unionByName(fresh), ["symbol", "ts"], "_seq").drop("_seq")
-            merged.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "year").parquet(self.path(asset, timeframe))
-            return n
-        finally:
-            fresh.unpersist()
+        """Upsert by (symbol, ts); only the partitions of the new bars are read and replaced. Returns the rows given.
+
+        Merged partitions are written aside first. Each then takes the place of the old one, which is kept until it
+        has; what a broken run left is put back or dropped by the next.
+        """
+        path = self.path(asset, timeframe)
+        self._settle(path)
+        fresh = stage(conform(bars).withColumns({"year": F.year("ts"), "_seq": F.lit(1)}), "bars-fresh")
+        n = fresh.count()
+        if not n:
+            return 0
+        touched = fresh.select("symbol", "year").distinct()
+        stored = self._stored(asset, timeframe).join(touched, ["symbol", "year"], "left_semi").withColumn("_seq", F.lit(0))
+        merged = keep_last(stored.unionByName(fresh), ["symbol", "ts"], "_seq").drop("_seq")
+        aside = f"{path}/_new-{uuid.uuid4().hex}"
+        merged.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "ts").write.option("compression", "zstd").partitionBy("symbol", "year").parquet(aside)
+        self._swap(path, aside)
+        drop_stage(fresh)
+        return n
+
+    def _files(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _partitions(self, folder: str) -> list[str]:
+        """symbol=.../year=... below a folder."""
+        fs, path = self._files(folder)
+        if not fs.exists(path(folder)):
+            return []
+        symbols = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("symbol=")]
+        return [f"{s.getName()}/{y.getPath().getName()}" for s in symbols for y in fs.listStatus(s) if y.getPath().getName().startswith("year=")]
+
+    def _swap(self, path: str, aside: str) -> None:
+        fs, p = self._files(path)
+        old = aside.replace("/_new-", "/_old-")
+        for part in self._partitions(aside):
+            if fs.exists(p(f"{path}/{part}")):
+                fs.mkdirs(p(f"{old}/{part}").getParent())
+                fs.rename(p(f"{path}/{part}"), p(f"{old}/{part}"))
+            fs.mkdirs(p(f"{path}/{part}").getParent())
+            fs.rename(p(f"{aside}/{part}"), p(f"{path}/{part}"))
+        for folder in (aside, old):
+            fs.delete(p(folder), True)
+
+    def _settle(self, path: str) -> None:
+        """Puts partitions back that a broken swap took away, and drops what it had written."""
+        fs, p = self._files(path)
+        if not fs.exists(p(path)):
+            return
+        for status in fs.listStatus(p(path)):
+            name = status.getPath().getName()
+            if name.startswith("_old-"):
+                for part in self._partitions(f"{path}/{name}"):
+                    if not fs.exists(p(f"{path}/{part}")):
+                        fs.rename(p(f"{path}/{name}/{part}"), p(f"{path}/{part}"))
+            if name.startswith(("_old-", "_new-")):
+                fs.delete(status.getPath(), True)
 
     def read(self, symbols: list[str], timeframe: str, start: datetime | None = None, end: datetime | None = None, asset: str = "equity") -> DataFrame:
         """Bars with start <= ts <= end by (symbol, ts); the years prune partitions."""
@@ -117,7 +171,9 @@ class BarLake:
         return coverage(self._stored(asset, timeframe))
 
     def symbols(self, timeframe: str, asset: str = "equity") -> list[str]:
-        return sorted(r[0] for r in self._stored(asset, timeframe).select("symbol").distinct().collect())
+        """From the names of partitions; no file is read."""
+        names = {part.split("/")[0].removeprefix("symbol=") for part in self._partitions(self.path(asset, timeframe))}
+        return sorted(unquote(n) for n in names)
 
 
 def coverage(bars: DataFrame) -> DataFrame:

@@ -56,3 +56,42 @@ def auth_signature(token: Column, stamp: Column) -> Column:
     return F.sha2(F.concat_ws(":", token, stamp.cast("string")), 256)
 
 
+SELECTED = "symbol string, price double, dollar_volume double, shortable boolean, easy_to_borrow boolean, fractionable boolean"
+
+
+class SelectedUniverse:
+    """The symbols selected on each day, as JSON; the same day again replaces them."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _stored(self) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.root)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], f"{SELECTED}, day date")
+        return self.spark.read.schema(f"{SELECTED}, day date").json(self.root)
+
+    def save(self, selected: DataFrame, day) -> None:
+        cols = [F.col(c.split()[0]) for c in SELECTED.split(", ")]
+        rows = selected.select(*cols, F.lit(day).cast("date").alias("day"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(self.root)
+
+    def dates(self) -> list:
+        return sorted(r["day"] for r in self._stored().select("day").distinct().collect())  # a row a day
+
+    def load(self, day) -> DataFrame:
+        return self._stored().where(F.col("day") == F.lit(day)).drop("day")
+
+    def asof(self, day) -> DataFrame:
+        """The selection of ``day`` or the last one before it; a later one is never looked at."""
+        found = [d for d in self.dates() if d <= day]
+        if not found:
+            raise LookupError(f"nothing was selected by {day}")
+        return self.load(found[-1])
+
+    def latest(self) -> DataFrame:
+        found = self.dates()
+        if not found:
+            raise LookupError("nothing has been selected")
+        return self.load(found[-1])

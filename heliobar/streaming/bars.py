@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +32,38 @@ _STOP = "position_id string, ts timestamp, close double, mark double, stop_price
 
 
 def stream_trailing_stop(marks: DataFrame, multiple: float = 3.0) -> DataFrame:
-    """Stops of a stream of (position_id, ts, close, atr, is_short); the water mark is the key's state."""
+    """Stops of a stream of (position_id, ts, close, atr, is_short).
+
+    The water mark and the time it stands at are the key's state. All rows of a key in a batch are put in order of
+    time first; a row older than the state is judged by the mark as it stands and doesn't move it.
+    """
     ship(marks.sparkSession)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else None
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("ts").itertuples(index=False):
-                mark = r.close if mark is None else (min if r.is_short else max)(mark, r.close)
-                stop = mark + multiple * r.atr if r.is_short else mark - multiple * r.atr
-                out.append((key[0], r.ts, r.close, mark, stop, r.close >= stop if r.is_short else r.close <= stop))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _STOP.split(", ")])
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        when, close = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["close"].to_numpy()
+        short = bool(rows["is_short"].iloc[0])
+        sign = -1.0 if short else 1.0
+        mark, last = state.get if state.exists else (None, None)
+        late = when < last if last is not None else np.zeros(len(rows), bool)
+        seen = np.where(late, -np.inf, sign * close)
         if mark is not None:
-            state.update((mark,))
+            seen = np.concatenate([[sign * mark], seen])
+        high = sign * np.maximum.accumulate(seen)[-len(rows) :]
+        stop = high - sign * multiple * rows["atr"].to_numpy()
+        state.update((float(high[-1]), int(max(when.max(), last or when.max()))))
+        yield pd.DataFrame({"position_id": key[0], "ts": rows["ts"], "close": close, "mark": high, "stop_price": stop, "triggered": sign * close <= sign * stop})
+
+    return marks.groupBy("position_id").applyInPandasWithState(step, _STOP, "mark double, last long", "append", GroupStateTimeout.NoTimeout)
+
 
-    return marks.groupBy("position_id").applyInPandasWithState(step, _STOP, "mark double", "append", GroupStateTimeout.NoTimeout)
+def retried(cycle, attempts: int = 3, wait_seconds: float = 1.0) -> bool:
+    """Runs ``cycle`` until it succeeds, waiting longer after each failure; whether it did."""
+    for k in range(attempts):
+        try:
+            cycle()
+            return True
+        except Exception:  # noqa: BLE001  a cycle may fail in any way; the next one starts afresh
+            if k + 1 < attempts:
+                time.sleep(wait_seconds * 2**k)
+    return False

@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,11 +73,61 @@ def test_triple_barrier_by_hand(spark):
         labels.triple_barrier(rows, "vol", max_bars=0)
 
 
-def test_ew_volatility_forms_agree(spark):
-    rows = bars(spark, walk(60))
-    a = labels.ew_volatility(rows, 20).orderBy("ts").collect()
-    b = labels.ew_volatility(rows, 20, limit_rows=0).orderBy("ts").collect()
-    assert all(abs(x["ew_vol"] - y["ew_vol"]) < 1e-12 for x, y in zip(a, b, strict=True))
+def recurrence(x, keep, before=0.0):
+    out = []
+    for v in x:
+        before = v + keep * before
+        out.append(before)
+    return out
+
+
+@pytest.mark.parametrize("span", [5, 10, 20, 100])
+def test_ew_volatility_equals_the_recurrence(spark, span):
+    """Also over more bars than one block of the window sums holds, with a stretch of flat prices in between."""
+    closes = walk(21_000)
+    closes[9_000:12_000] = [closes[9_000]] * 3_000
+    got = [r["ew_vol"] for r in labels.ew_volatility(bars(spark, closes), span).orderBy("ts").collect()]
+    a = 2 / (span + 1)
+    r = [0.0] + [math.log(y / x) for x, y in zip(closes, closes[1:])]
+    var = recurrence([a * v * v for v in r], 1 - a, r[1] ** 2)
+    first = math.sqrt(next(v for v in var if v > 0))  # what takes the place of a variance that has died away
+    assert all(g == pytest.approx(math.sqrt(v) if v else first, rel=1e-9) for g, v in zip(got, var, strict=True) if not 0 < v < 1e-290)
+
+
+def test_prices_must_be_positive(spark):
+    with pytest.raises(Exception, match="prices must be positive"):
+        labels.ew_volatility(bars(spark, [1.0, 2.0, 0.0, 1.0])).collect()
+
+
+def test_exponential_means(spark):
+    closes = walk(3_000)
+    rows = labels.macd_histogram(labels.ema(bars(spark, closes), 9)).orderBy("ts").collect()
+
+    def mean(x, n):
+        keep = 1 - 2 / (n + 1)
+        top, low = recurrence(x, keep), recurrence([1.0] * len(x), keep)
+        return [u / v for u, v in zip(top, low, strict=True)]
+
+    fast, slow = mean(closes, 12), mean(closes, 26)
+    line = [u - v for u, v in zip(fast, slow, strict=True)][25:]
+    hist = [u - v for u, v in zip(line, mean(line, 9), strict=True)]
+    assert [r["ema_9"] is None for r in rows[:10]] == [True] * 8 + [False] * 2
+    assert all(r["ema_9"] == pytest.approx(v) for r, v in zip(rows[8:], mean(closes, 9)[8:], strict=True))
+    assert all(r["macd_hist"] is None for r in rows[:33])
+    assert all(r["macd_hist"] == pytest.approx(v, abs=1e-9) for r, v in zip(rows[33:], hist[8:], strict=True))
+
+
+def test_given_events_are_labelled_to_the_end(spark):
+    rows = bars(spark, [100, 101, 103, 90, 100, 100]).withColumns({"vol": F.lit(0.02), "event": F.col("close") == 100})
+    got = {r["event_idx"]: (r["label"], r["touch"], r["barrier"]) for r in labels.triple_barrier(rows, "vol", 1.0, 1.0, 3, events="event").collect()}
+    assert got == {0: (1, 2, "pt"), 4: (0, 1, "vertical"), 5: (0, 0, "vertical")}
+
+
+def test_asof_over_buckets_equals_asof(spark):
+    left = spark.createDataFrame([(T0 + timedelta(hours=7 * i), i) for i in range(60)], "ts timestamp, i int")
+    right = spark.createDataFrame([(T0 + timedelta(hours=31 * i + 40), i) for i in range(9)], "ts timestamp, v int")
+    a, b = joins.asof(left, right, [], "ts", ["v"]), joins.asof_buckets(left, right, "ts", ["v"])
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(a.columns).collect()), key=repr)
 
 
 def test_purge_leaves_no_overlap(spark):
@@ -93,16 +144,32 @@ def test_costs_of_round_trips(spark):
         assert abs(got[venue] - bps) < 0.5
     column = costs.venues(spark).select("venue", costs.fill_cost(F.lit(123.0), F.lit(3.0), F.lit(True), F.lit(False))["total"].alias("x")).collect()
     for r in column:
-        assert abs(r["x"] - costs.scalar_fill_cost(next(v for v in costs.VENUES if v[0] == r["venue"]), 123.0, 3.0, True)) < 1e-12
+        assert abs(r["x"] - costs.array_fill_cost(costs.venue_named(r["venue"]), np.array([123.0]), np.array([3.0]), True)[0]) < 1e-12
 
 
-def test_book_conserves_equity(spark):
-    book = portfolio.Book(500.0, "alpaca-crypto")
-    book.rebalance(T0, {"A": 10.0, "B": 20.0}, {"A": 0.5, "B": 0.5})
-    assert abs(book.equity({"A": 10.0, "B": 20.0}) + book.costs - 500.0) < 1e-9
+def test_book_conserves_equity():
+    book = portfolio.Book(2, 500.0, "alpaca-crypto")
+    prices = np.array([10.0, 20.0])
+    book.rebalance(np.datetime64(T0), prices, np.array([0.5, 0.5]))
+    assert abs(book.equity(prices) + book.costs - 500.0) < 1e-9
     assert book.cash >= -1e-9
 
 
+def test_book_holds_blocks_and_trims():
+    now, day = np.datetime64("2025-01-01"), np.timedelta64(1, "D")
+    book = portfolio.Book(3, 500.0, "alpaca-crypto", hold_days=2.0)
+    prices = np.array([10.0, 20.0, np.nan])
+    book.rebalance(now, prices, np.array([1.5, -1.0, np.nan]))
+    assert book.trades == 1 and book.qty[1] == book.qty[2] == 0 and 0 <= book.cash < 0.02  # trimmed to the cash
+    book.rebalance(now + day, prices, np.array([0.0, 1.0, np.nan]))
+    assert book.by_hold == 1 and book.qty[0] > 0
+    book.rebalance(now + 3 * day, prices, np.array([0.0, 1.0, np.nan]))
+    assert book.qty[0] == 0 and book.qty[1] > 0
+    held = book.qty[1]
+    book.rebalance(now + 9 * day, np.array([10.0, np.nan, 1.0]), np.array([0.0, 0.0, 0.0]))
+    assert book.qty[1] == held  # without a price nothing is sold
+
+
 def test_settlement_violation(spark):
     d = [datetime(2025, 1, 6).date(), datetime(2025, 1, 7).date()]
     rows = [("x", 1, d[0], d[1], "A", "buy", 5.0, 100.0), ("x", 2, d[0], d[1], "A", "sell", 5.0, 100.0), ("x", 3, d[0], d[1], "B", "buy", 1.0, 300.0), ("x", 4, d[0], d[1], "B", "sell", 1.0, 300.0)]
@@ -146,8 +213,21 @@ def test_symbols(spark):
 
 
 def test_text(spark):
-    row = spark.sql("SELECT 'Record growth, but a lawsuit.' a, '' b, 'GET api_key=123 failed: 429' c").select(text.polarity(F.col("a")), text.polarity(F.col("b")), text.error_status(F.col("c")), text.redacted(F.col("c"))).first()
-    assert abs(row[0] - 1 / 3) < 1e-12 and row[1] == 0.0 and row[2] == "rate_limited" and row[3] == "GET api_key=<redacted>"
+    row = spark.sql("SELECT 'Record growth, but a lawsuit.' a, '' b, 'GET api_key=123 failed: 429' c").select(text.polarity(F.col("a")), text.polarity(F.col("b")), text.error_status(F.lit(429), F.lit(None)), text.error_status(F.lit(None).cast("int"), F.lit("ReadTimeout")), text.redacted(F.lit("GET /x?key=123&day=4 with s3cret failed"), ["s3cret"])).first()
+    assert abs(row[0] - 1 / 3) < 1e-12 and row[1] == 0.0 and row[2] == "rate_limited" and row[3] == "unreachable" and row[4] == "GET /x?key=***&day=*** with *** failed"
+
+
+def test_polarity_against_words(spark):
+    words = ["growth", "'Growth'", "(profit)", "profits", "re-cut", "cut", "CUT!", "x.cut", '"loss".', "...", "beat\tbeat", "risk\nrisk,"]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(len(words))] + ["", None, "nothing here"]
+
+    def want(t):
+        w = [x.strip(text.STRIPPED).lower() for x in (t or "").split()]
+        up, down = sum(x in text.BULLISH for x in w), sum(x in text.BEARISH for x in w)
+        return (up - down) / (up + down) if up + down else 0.0
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.polarity(F.col("t")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(want(r["t"])) for r in rows)
 
 
 def test_statistics(spark):
@@ -167,6 +247,40 @@ def test_noise_is_not_overfit_proof_and_an_edge_is(spark):
     noise = noise.withColumn("ret", F.when(F.col("strategy") == "7", F.col("ret") + 0.5).otherwise(F.col("ret"))).cache()
     row = stats.pbo_summary(stats.pbo(noise, 6)).first()
     assert row["splits"] == 20 and row["pbo"] < 0.1 and row["stability"] == 1.0
+    with pytest.raises(ValueError, match="two strategies"):
+        stats.pbo(noise.where("strategy = '1'"), 6)
+    with pytest.raises(ValueError, match="don't fit"):
+        stats.pbo(noise.where("t < 20"), 16)
+
+
+def test_splits_are_thinned_evenly():
+    assert len(stats.balanced_splits(10, 5000)) == 252
+    some = stats.balanced_splits(16, 5000)
+    assert len(set(some)) == 5000 and some == sorted(some) and some[0] == tuple(range(8))
+
+
+def test_equal_bests_and_losses_at_zero(spark):
+    """Of equal strategies the first by name counts; a split that ends at 0 is a loss."""
+    rows = spark.range(24).select(F.col("id").alias("t"), F.explode(F.array(*map(F.lit, "ba"))).alias("strategy"), F.lit(0.0).alias("ret"))
+    splits = stats.pbo(rows, 4)
+    assert {r["best"] for r in splits.collect()} == {"a"}
+    assert stats.pbo_summary(splits).first()["loss_probability"] == 1.0
+
+
+def test_label_shuffle_and_order_rules(spark):
+    rows = spark.range(50).select(F.col("id").alias("row_idx"), (F.col("id") % 7).alias("y"))
+    got = cv.shuffled_labels(rows, "y", 3).collect()
+    assert sorted(r["y"] for r in got) == sorted(i % 7 for i in range(50)) and {r["row_idx"] for r in got} == set(range(50))
+    assert any(r["y"] != r["row_idx"] % 7 for r in got)
+    cases = [(1.0, None, "market", None, "equity", "day", True), (1.0, 2.0, "market", None, "equity", "day", False), (None, None, "market", None, "equity", "day", False), (1.0, None, "limit", None, "equity", "day", False), (1.0, None, "limit", 3.0, "crypto", "gtc", True), (None, 5.0, "market", None, "crypto", "day", False)]
+    df = spark.createDataFrame(cases, "q double, n double, o string, p double, a string, t string, want boolean")
+    assert df.where(~risk.valid_order(F.col("q"), F.col("n"), F.col("o"), F.col("p"), F.col("a"), F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_gate_calibration_on_noise(spark):
+    series = spark.range(200).select(F.col("id").alias("t"), F.randn(5).alias("ret"))
+    got = stats.gate_calibration(series, 10, 8, 5, 200).first()
+    assert got["repeats"] == 10 and got["false_promotions"] <= 0.3
 
 
 def test_ledger_skips_torn_lines(spark, tmp_path):
