@@ -207,8 +207,9 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 2048
     """Pieces (id, kept columns, start, length, doc_tokens, sequence_id, offset, ids) of all rows of ``docs``.
 
     Sequences hold ``window`` tokens each, but for the last. ``ids`` are little-endian unsigned 32-bit. Null
-    and empty texts are the end id alone; repeated rows are packed as often as they stand; an empty table gives
-    no rows; columns not named in ``keep`` are left out, whatever their names.
+    and empty texts are the end id alone; repeated rows, ids that repeat and null ids are packed as often as they
+    stand; a long text is tokenised whole and cut into as many pieces as it takes; an empty table gives no rows;
+    columns not named in ``keep`` are left out, whatever their names.
     """
     if window < 1:
         raise ValueError("window must be positive")
