@@ -25,6 +25,8 @@ from .common import connected_components, drop_stage, stage
 #: probability (1 - 0.85**6)**24, about 1e-5.
 BANDS = 24
 PERMUTATIONS_IN_BAND = 3
+#: Rows of 16 bytes, classes whose texts are wanted, that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 #: Rows of one side of a comparison inside a bucket.
 BLOCK = 2048
 
@@ -87,8 +89,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, per: int) -> It
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(b.ravel()))
             short = (sig >> np.uint64(32)).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "doc", "hash")), pa.array(n), pa.array(_keys(sets), pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["row", "doc", "hash", "n", "key", "bands", "sig"],
+                [batch.column("doc"), batch.column("hash"), pa.array(n), pa.array(_keys(sets), pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["doc", "hash", "n", "key", "bands", "sig"],
             )
 
 
@@ -110,19 +112,24 @@ def _binary_sets(t: pa.Table) -> pa.Table:
     return t.set_column(t.column_names.index("set"), "set", pa.array(blobs, pa.binary()))
 
 
-def _full_sets(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(key, set) of the classes' first rows (doc, hash), found by id and text, whatever ids repeat or are null."""
-    wanted = classes.select(F.col("doc").alias("_d"), F.col("hash").alias("_h")).distinct()
-    found = texts.join(wanted, (texts["hash"] == wanted["_h"]) & texts["doc"].eqNullSafe(wanted["_d"]), "left_semi")
+def _full_sets(texts: DataFrame, classes: DataFrame, some: DataFrame, k: int) -> DataFrame:
+    """(cls, set) of the classes in ``some`` (cls), from the text of each one's first row, found by id and hash.
+
+    Up to BROADCAST_ROWS of them are sent to where the texts stand; beyond, the texts are dealt by their hash.
+    """
+    wanted = stage(classes.join(some.distinct(), "cls", "left_semi").select("key", "cls", F.col("rep.doc").alias("_d"), F.col("rep.hash").alias("_h")), "near-wanted")
+    ends = wanted.select("_d", "_h")
+    ends = F.broadcast(ends) if wanted.count() <= BROADCAST_ROWS else ends
+    found = texts.join(ends, (texts["hash"] == ends["_h"]) & texts["doc"].eqNullSafe(ends["_d"]), "left_semi")
     sets = found.select("text").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
-    return sets.where("key IS NOT NULL").dropDuplicates(["key"])
+    return sets.where("key IS NOT NULL").join(wanted.select("key", "cls"), "key").drop("key").dropDuplicates(["cls"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (u, v, both with their class's first row) whose full sets are similar enough."""
-    ends = pairs.select("ud.doc", "ud.hash").unionByName(pairs.select("vd.doc", "vd.hash"))
-    sets = stage(_full_sets(texts, ends, k), "near-sets", "lz4")
-    a, b = sets.select(F.col("key").alias("v"), F.col("set").alias("sv")), sets.select(F.col("key").alias("u"), F.col("set").alias("su"))
+def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets are similar enough."""
+    ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls")))
+    sets = stage(_full_sets(texts, classes, ends, k), "near-sets", "lz4")
+    a, b = sets.select(F.col("cls").alias("v"), F.col("set").alias("sv")), sets.select(F.col("cls").alias("u"), F.col("set").alias("su"))
     both = pairs.select("u", "v").join(a, "v").join(b, "u")
     same = F.size(F.array_intersect("su", "sv"))
     kept = stage(both.where(100 * same >= percent * (F.size("su") + F.size("sv") - same)).select("u", "v"), "near-links")
@@ -182,8 +189,8 @@ def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
     return pa.table({"u": take(0), "v": take(1)})
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, permutations_in_band: int = PERMUTATIONS_IN_BAND, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
-    """A row for each of ``docs``: id, n_shingles, component_id, kept; with ``row_col`` also that column and chosen.
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, permutations_in_band: int = PERMUTATIONS_IN_BAND, id_col: str = "doc_id", hash_col: str | None = None, staged: list | None = None) -> DataFrame:
+    """A row for each of ``docs``: id, n_shingles, component_id, kept; with ``hash_col`` also that and chosen.
 
     Sets are the distinct ``k``-word shingles of the whole text, however long; with fewer words the sequence of all
     is the one shingle; a text without words, or null, has an empty set, links with nothing and is kept. Two sets
@@ -192,61 +199,65 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     Rows with equal sets are one class, which all joins go by, so ids may repeat or be null: a row that repeats an
     id is linked by its own text; a null id is larger than all others, and component_id is null where all of a
     component's are. Repeated rows are returned as often as they stand, an empty table gives no rows, and columns
-    that aren't named here are neither read nor returned, whatever their names. ``row_col`` names a column that is
-    different for every row and stays the same when ``docs`` is read again; chosen is then true for one row of each
-    component, that of the smallest id and, among rows of that id, the smallest ``row_col``.
+    that aren't named here are neither read nor returned, whatever their names. ``hash_col`` names a column for the
+    text's xxhash64; chosen is then true for the rows of one id and text of each component, the smallest id and,
+    with that, the smallest hash, and for all rows without a set. ``staged`` takes in the tables that the result
+    reads, for a caller that writes it to drop.
     """
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     spark = docs.sparkSession
     ship(spark)
-    row = F.col(row_col) if row_col else F.lit(None)
-    texts = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    signed = stage(texts.mapInArrow(lambda it: _sign(it, k, bands, permutations_in_band), "row long, doc long, hash long, n long, key binary, bands array<long>, sig binary"), "near-signed")
-    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "hash"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    signed = stage(texts.mapInArrow(lambda it: _sign(it, k, bands, permutations_in_band), "doc long, hash long, n long, key binary, bands array<long>, sig binary"), "near-signed")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash"))
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(first.alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
-    classes = stage(classes, "near-classes")
-    spread = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
-    hubs = spread.groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.min(F.struct("rep", "key", "n")).alias("hub")).where("rows > 1")
+    classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")  # numbers are fixed from here on
+    spread = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    hubs = spread.groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.min("cls").alias("hub")).where("rows > 1")
     members = stage(spread.join(hubs, ["band", "bucket"]), "near-members")
     # a pair whose sizes differ more than the threshold allows can't be linked
-    fits = F.least("n", "hub.n") * 100 >= percent * F.greatest("n", "hub.n")
-    star = members.where(F.col("key") != F.col("hub.key")).where(fits).select(F.col("hub.key").alias("u"), F.col("key").alias("v"), F.col("hub.rep").alias("ud"), F.col("rep").alias("vd")).distinct()
-    star = stage(star, "near-star")
-    links = _confirm(star, texts, percent, k)
+    size = classes.select("cls", "n")
+    star = members.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
+    star = star.join(size.withColumnsRenamed({"cls": "u", "n": "nu"}), "u").join(size.withColumnsRenamed({"cls": "v", "n": "nv"}), "v")
+    star = stage(star.where(F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")).select("u", "v"), "near-star")
+    links = _confirm(star, texts, classes, percent, k)
     roots = stage(connected_components(links), "near-roots")
     # second pass: buckets with several components left
-    here = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    here = stage(here.select("band", "bucket", "key", "rep", "root", "rows"), "near-here")
+    here = members.select("band", "bucket", "cls", "rows").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    here = stage(here.withColumn("root", F.coalesce("root", "cls")), "near-here")
+    drop_stage(members)
     split = here.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
-    left = here.join(split, ["band", "bucket"], "left_semi")
-    sets = _full_sets(texts, left.select("rep.doc", "rep.hash"), k)
-    sigs = signed.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-    full = stage(sigs.join(sets, "key"), "near-full", "lz4")
-    left = left.join(full, "key")
+    left = stage(here.join(split, ["band", "bucket"], "left_semi"), "near-left")
+    sets = _full_sets(texts, classes, left.select("cls"), k)
+    open_ = classes.join(left.select("cls").distinct(), "cls", "left_semi").select("cls", "key", "bands")
+    sigs = signed.select("key", "sig").join(open_, "key").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    full = stage(sigs.join(sets, "cls"), "near-full", "lz4")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    left = left.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    left = left.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other")})
-    left = left.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
-    left = left.select("band", "bucket", "lo", "hi", "side", "root", "sig", "bands", "set")
+    dealt = left.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other")})
+    dealt = dealt.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
+    dealt = dealt.join(full, "cls").select("band", "bucket", "lo", "hi", "side", "root", "sig", "bands", "set")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (2 * bands * permutations_in_band)) ** 0.5
-    second = left.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u binary, v binary")
+    second = dealt.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u long, v long")
     top = connected_components(second)
-    final = classes.select("key", "rep", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    final = final.withColumn("root", F.coalesce("root", "key"))
+    final = classes.select("cls", "key", "rep", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    final = final.withColumn("root", F.coalesce("root", "cls"))
     final = final.join(top.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
     final = final.withColumn("root", F.coalesce("upper", "root"))
     least_doc = final.groupBy("root").agg(F.min("rep").alias("top"), F.sum("copies").alias("docs")).where("docs > 1").drop("docs")
-    named = stage(final.join(least_doc, "root").select("key", F.col("top.doc").alias("component_id"), F.col("top.row").alias("first_row"), F.lit(True).alias("grouped")), "near-named")
+    named = stage(final.join(least_doc, "root").select("key", F.col("top.doc").alias("component_id"), F.col("top.hash").alias("first_hash"), F.lit(True).alias("grouped")), "near-named")
     # rows without a set would all meet under one null key
-    out = signed.where("key IS NOT NULL").select("row", "doc", "n", "key").join(named, "key", "left").drop("key")
-    empty = signed.where("key IS NULL").select("row", "doc", "n")
-    out = out.unionByName(empty, allowMissingColumns=True)
-    component = F.when(F.coalesce("grouped", F.lit(False)), F.col("component_id")).otherwise(F.col("doc"))
-    chosen = [F.col("row").alias(row_col), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("chosen")] if row_col else []
+    out = signed.where("key IS NOT NULL").select("doc", "hash", "n", "key").join(named, "key", "left").drop("key")
+    out = out.unionByName(signed.where("key IS NULL").select("doc", "hash", "n"), allowMissingColumns=True)
+    grouped = F.coalesce("grouped", F.lit(False))
+    component = F.when(grouped, F.col("component_id")).otherwise(F.col("doc"))
+    chosen = [F.col("hash").alias(hash_col), (~grouped | F.col("doc").eqNullSafe(component) & (F.col("hash") == F.col("first_hash"))).alias("chosen")] if hash_col else []
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), *chosen)
-    for done in (members, star, links, roots, here, full, classes):
+    for done in (star, links, roots, here, left, full, classes):
         drop_stage(done)
+    if staged is not None:
+        staged += [signed, named]
     return out
