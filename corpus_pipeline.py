@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliobar.llm import kneser_ney as _  # noqa: F401  the subpackage has to be there as a whole
 from heliobar.llm import minhash, mixing, packing, queries, secrets, toxicity
-from heliobar.llm.common import free_name, stage, table
+from heliobar.llm.common import drop_stage, free_name, stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on labelled rows outside the held-out fold, doesn't reject."""
@@ -18,14 +18,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (similarity 0.8 or more), that of the smallest id.
 
-    Rows are told apart by a number that a written table fixes, not by their ids: unrelated texts that share an id
-    all stay, exact repeats of a row are a group, texts without words all stay, null ids come last.
+    Rows go by id and text: unrelated texts that share an id all stay, of rows that repeat an id and its text one
+    does, texts without words all stay, null ids come last. An empty table stays empty; all columns stay as they are.
     """
-    key = free_name(docs.columns, "row_number")
-    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows, row_col=key)
-    gone = stage(found.where("NOT chosen").select(key), "pipeline-gone")
-    return rows.join(gone, key, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    key, staged = free_name(docs.columns, "text_hash"), []
+    found = minhash.near_duplicates(docs, hash_col=key, staged=staged)
+    rows = found.groupBy("doc_id", key).agg(F.min("chosen").alias("chosen"), F.max("n_shingles").alias("n"), F.count("*").alias("times"))
+    rows = stage(rows.where("NOT chosen OR times > 1 AND n > 0").select(F.col("doc_id").alias("_id"), F.col(key).alias("_hash"), "chosen"), "pipeline-near")
+    for done in staged:
+        drop_stage(done)
+    gone, again = rows.where("NOT chosen"), rows.where("chosen")
+    hashed = docs.withColumn(key, F.xxhash64("text"))
+    left = _by_text(hashed, gone, key, "left_anti")
+    if not again.isEmpty():
+        every = [F.col(f"`{c}`") for c in hashed.columns]
+        once = _by_text(left, again, key, "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*every)).alias("row")).select("row.*")
+        left = _by_text(left, again, key, "left_anti").unionByName(once)
+    return left.select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _by_text(docs: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
+    """Rows of ``docs`` that are, or aren't, among ``rows`` (_id, _hash), which go to the texts unless they are very many."""
+    rows = F.broadcast(rows) if rows.count() <= minhash.BROADCAST_ROWS else rows
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]) & (docs[key] == rows["_hash"]), how)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
