@@ -24,9 +24,9 @@ from .shared import map_arrays, save_arrays
 BOS, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 #: Tokens counted, and tokens scored, at a time in a task.
 TOKENS = 3_000_000
-SCORED_TOKENS = 1_200_000
+SCORED_TOKENS = 900_000
 #: Bytes of text that make a shard, and bytes that tell which contexts are frequent enough to be split.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 SAMPLE_BYTES = 32 << 20
 #: Files that a worker keeps mapped, one for each shard.
 MAPPED = 8192
