@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,19 +72,21 @@ def train_boosted_trees(rows: DataFrame, features: list[str], folds: int = 5, em
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(purged_roles(rows, folds, embargo))
-    ready = ready.withColumn("label", F.col("y").cast("double"))
-    out = None
-    for fold in range(folds):
-        train = ready.where((F.col("fold") == fold) & (F.col("role") == "train"))
-        n, ones = train.agg(F.count("*"), F.sum("label")).first()
-        if n < 100 or not 0 < ones < n:
-            continue
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.03, subsamplingRate=0.7, minInstancesPerNode=60, featureSubsetStrategy="0.7", seed=seed).fit(train)
-        test = model.transform(ready.where((F.col("fold") == fold) & (F.col("role") == "test")))
-        part = test.select("row_idx", "fold", "y", vector_to_array("probability")[1].alias("oof"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    roles = stage(purged_roles(rows, folds, embargo).where("role IN ('train', 'test')").select("row_idx", "fold", "role", "y", *features), "boosted-roles")
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(roles).withColumn("label", F.col("y").cast("double"))
+    sizes = ready.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).collect()  # a row a fold
+    usable = sorted(r["fold"] for r in sizes if r["n"] >= 100 and 0 < r["ones"] < r["n"])
+
+    def one(fold: int) -> DataFrame:
+        mine = ready.where(F.col("fold") == fold)
+        trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.03, subsamplingRate=0.7, minInstancesPerNode=60, featureSubsetStrategy="0.7", seed=seed)
+        model = trees.fit(mine.where("role = 'train'"))
+        return model.transform(mine.where("role = 'test'")).select("row_idx", "fold", "y", vector_to_array("probability")[1].alias("oof"))
+
+    # rounds are many short jobs, one after another; those of different folds fill the cluster together
+    with ThreadPoolExecutor(max(len(usable), 1)) as pool:
+        parts = list(pool.map(one, usable))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def signal_filter(bars: DataFrame, features: list, horizon: int = 24, least: float = 0.55, rounds: int = 300) -> DataFrame:

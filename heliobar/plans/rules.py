@@ -763,8 +763,9 @@ def canonical_symbol(spark, d):
 
 @register("boosted_trees_oof")
 def boosted_trees_oof(spark, d):
-    got = labels.panel_dataset(hourly(spark, d), [ind.momentum(20), ind.realized_vol(20), ind.zscore(20)], 24, 0.3, 0.3)
-    fitted = cv.train_boosted_trees(got.persist(), ["mom_20", "vol_20", "z_20"], folds=2, rounds=5)
+    """The default features and folds; 100 of the 300 default rounds, see the README."""
+    got = stage(labels.panel_dataset(hourly(spark, d), ind.DEFAULT, 24, 0.3, 0.3), "boosted-panel")
+    fitted = cv.train_boosted_trees(got, ind.feature_names(), rounds=100)
     if fitted is None:
         return got.select("row_idx", F.lit(0).alias("fold"), "y", F.lit(0.5).alias("oof")).limit(0)
     return out(fitted, "row_idx", "fold", "y", "oof")
