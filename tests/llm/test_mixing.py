@@ -56,7 +56,9 @@ def test_copies_of_a_row_are_taken_one_by_one(spark):
     assert len(mixed) == len(rows) and 0 <= target["a"] - taken["a"] < 5
 
 
-def test_rows_that_share_an_id_have_their_own_fates(spark):
+@pytest.mark.parametrize("broadcast", [0, 20_000])
+def test_rows_that_share_an_id_have_their_own_fates(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(i % 5, "s", f"w{i} " * (3 + i % 4)) for i in range(200)] + [(0, "t", "u " * 900)]
     check(spark, rows, (1.0, 5.0))
 

@@ -158,8 +158,10 @@ def test_minhash_against_brute_force(spark, percent):
     assert minhash.near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_minhash_with_repeated_and_null_ids(spark):
+@pytest.mark.parametrize("broadcast", [0, 2_000_000])
+def test_minhash_with_repeated_and_null_ids(spark, monkeypatch, broadcast):
     """Rows are linked by their own texts; chosen are the rows of the first id and text of a component."""
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", broadcast)
     w = [f"w{i}" for i in range(200)]
     near = " ".join([*w[:100], "other", *w[101:]])
     base, apart = " ".join(w), " ".join(w[::-1])
