@@ -213,8 +213,9 @@ roles AS (SELECT fold, row_idx, t1_idx, CASE WHEN row_idx BETWEEN lo AND hi THEN
 
 
 def _roles(spark, d):
-    rows = stage(labels.global_index(hourly(spark, d).select("ts", "symbol"), ["ts", "symbol"], "row_idx").select("row_idx"), "roles-index")
-    n = rows.count()
+    bars = stage(hourly(spark, d).select("ts", "symbol"), "roles-bars")
+    n = bars.count()
+    rows = labels.global_index(bars, ["ts", "symbol"], "row_idx").select("row_idx")
     return cv.purged_roles(rows.withColumn("t1_idx", F.least(F.col("row_idx") + 24, F.lit(n - 1))), n=n)
 
 
