@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """Passes ``batches`` on, then gives freed memory back to the system: workers outlive their tasks, and the next
+    operator needs what they would keep."""
+    try:
+        yield from batches
+    finally:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of ``edges`` (u, v), root being the smallest node reachable.
 

@@ -7,6 +7,7 @@ a document that crosses a bound leaves one boundary record in each window.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
-from .common import stage
+from .common import stage, trimmed
 
 #: Units that a task keeps from one slice of texts to the next, and bytes of text it handles at a time.
-CACHE_UNITS = 250_000
-TEXT_BYTES = 4 << 20
+CACHE_UNITS = 400_000
+TEXT_BYTES = 2 << 20
+#: Units encoded as one text, and compared at a time; the mark that stands between two of them.
+RUN = 8000
+MARK = "\U0010fffe"
 _STATE: dict = {}
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -34,14 +38,20 @@ class UnitTokenizer:
     The byte-level pre-tokenizer always breaks before a blank that follows a visible ASCII character or precedes
     one, and between an ASCII letter and a mark after it; what stands on either side doesn't change the other's
     tokens. So texts are cut there, and the ids of a text are those of its units, one after another.
+
+    Units are encoded many at a time, with a mark between them that is a token of its own: the tokenizer takes what
+    stands between two marks by itself. Units among which the mark occurs are encoded one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads keep memory of their own
+        from tokenizers import AddedToken, Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.marked.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.marked.add_tokens([AddedToken(MARK, normalized=False, special=False)])
+        self.mark = self.marked.token_to_id(MARK)
         self.clear()
 
     def clear(self):
@@ -50,14 +60,26 @@ class UnitTokenizer:
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
         self.byte_at, self.bytes, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, flat = [], []
-        for i in range(0, len(texts), 4000):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4000], add_special_tokens=False):
-                ids = e.ids
-                sizes.append(len(ids))
-                flat += ids
-        return np.array(sizes, np.int64), np.array(flat, self.dtype)
+    def _encode(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit, and all ids, of units of ``size`` bytes that stand one after another in ``raw``."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
+        at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        for i in range(0, len(size), RUN):
+            cuts = at[i : i + RUN + 1] - at[i]
+            some = raw[at[i] : at[i] + cuts[-1]]
+            if MARK.encode() in some.tobytes():
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    ids = self.tokenizer.encode(some[a:b].tobytes().decode(), add_special_tokens=False).ids
+                    sizes.append(np.array([len(ids)], np.int64))
+                    flat.append(np.array(ids, self.dtype))
+                continue
+            # no byte of UTF-8 is 0xFF
+            text = np.insert(some, cuts[1:-1], 0xFF).tobytes().replace(b"\xff", MARK.encode()).decode()
+            ids = np.array(self.marked.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            between = ids == self.mark
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])) - 1)
+            flat.append(ids[~between].astype(self.dtype))
+        return np.concatenate(sizes), np.concatenate(flat)
 
     def ids(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their number in each."""
@@ -86,9 +108,9 @@ class UnitTokenizer:
         old[inside] = self.known[spot[inside]] == h[inside]
         if not (_alike(buf, starts, ends, buf, starts[where[back]], (ends - starts)[where[back]]) and _alike(buf, starts[where[old]], ends[where[old]], self.raw, self.byte_at[spot[old]], self.bytes[spot[old]])):
             return self._one_by_one(buf, starts, ends, bounds)
-        raw = buf.tobytes()
         new = np.flatnonzero(~old)
-        sizes, flat = self._encode([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        first, n = starts[where[new]], (ends - starts)[where[new]]
+        sizes, flat = self._encode(buf[_places(first, n)], n)
         at, size = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         at[old], size[old] = self.at[spot[old]], self.size[spot[old]]
         at[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
@@ -108,8 +130,7 @@ class UnitTokenizer:
 
     def _one_by_one(self, buf, starts, ends, bounds) -> tuple[np.ndarray, np.ndarray]:
         """The same for a slice in which two units share a hash: every unit is encoded where it stands."""
-        raw = buf.tobytes()
-        sizes, flat = self._encode([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        sizes, flat = self._encode(buf, ends - starts)
         return flat, _per_text(sizes, starts, bounds)
 
 
@@ -128,7 +149,11 @@ def _alike(buf, starts, ends, other, at, size) -> bool:
     """Whether all spans have the bytes of the spans that stand for them: equal hashes alone don't say so."""
     if not np.array_equal(ends - starts, size):
         return False
-    return bool(np.array_equal(buf[_places(starts, size)], other[_places(at, size)]))
+    for i in range(0, len(size), RUN):
+        a, b, n = starts[i : i + RUN], at[i : i + RUN], size[i : i + RUN]
+        if not np.array_equal(buf[_places(a, n)], other[_places(b, n)]):
+            return False
+    return True
 
 
 def _slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -217,7 +242,7 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 2048
     keep = [id_col, *(keep or [])]
     source = docs.select(*keep, "text")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text" or "text" in keep]
-    first = source.mapInArrow(lambda it: _tokenise(it, tokenizer_path, end_id, keep), ", ".join([*kept, "_part long", "_at long", "_n long", "_ids binary"]))
+    first = source.mapInArrow(lambda it: trimmed(_tokenise(it, tokenizer_path, end_id, keep)), ", ".join([*kept, "_part long", "_at long", "_n long", "_ids binary"]))
     tokens = stage(first, "packed-ids")
     totals = tokens.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect()  # one row a task
     offsets = np.concatenate([[0], np.cumsum([r["n"] for r in totals])]).tolist()
@@ -227,4 +252,4 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 2048
 
     dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
     placed = tokens.join(F.broadcast(bases), "_part").select(*keep, (F.col("_at") + F.col("_base")).alias("_at"), "_n", "_ids")
-    return placed.mapInArrow(lambda it: _cut(it, keep, window, dtype), ", ".join([*kept, "start long", "length long", "doc_tokens long", "sequence_id long", "offset long", "ids binary"]))
+    return placed.mapInArrow(lambda it: trimmed(_cut(it, keep, window, dtype)), ", ".join([*kept, "start long", "length long", "doc_tokens long", "sequence_id long", "offset long", "ids binary"]))

@@ -105,6 +105,60 @@ def test_units_that_share_a_hash_are_encoded_apart(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(tok.ids(buf, bounds), want, strict=True))
 
 
+def test_units_are_encoded_many_at_a_time(monkeypatch):
+    """Runs of units make one text for the tokenizer, also where the mark between them stands in a text; the ids are those of whole texts."""
+    from tokenizers import Tokenizer
+
+    path, asked = queries.tokenizer_path(), []
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode(self, text, **more):
+            asked.append(1)
+            return self.inner.encode(text, **more)
+
+        def encode_batch_fast(self, some, **more):
+            asked.append(len(some))
+            return self.inner.encode_batch_fast(some, **more)
+
+    texts = [x or "" for x in ODD] + corpus(60)
+    for more, most in ([], 10), (["\U0010fffe", "a\U0010fffe b \U0010fffe\U0010fffe.", "<|endoftext|>\U0010fffe"], 10_000):
+        tok = packing.UnitTokenizer(path)
+        for name, value in list(vars(tok).items()):
+            if isinstance(value, Tokenizer):
+                setattr(tok, name, Counted(value))
+        ids, n = tok.ids(*tk.utf8(pa.array([*texts, *more])))
+        want = [t.encode(x, add_special_tokens=False).ids for x in [*texts, *more]]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+        assert sum(asked) <= most
+        asked.clear()
+
+
+def test_packing_takes_little_memory():
+    """Arrays stay below 100 MB however much text a batch holds: it is handled in slices."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    letters = r.integers(97, 123, 4_500_000).astype(np.uint8)
+    letters[r.random(len(letters)) < 0.2] = 32
+    tok = packing.UnitTokenizer(queries.tokenizer_path())
+    buf, bounds = letters, np.linspace(0, len(letters), 1001).astype(np.int64)
+    tracemalloc.start()
+    try:
+        for i, j in packing._slices(bounds):
+            tok.ids(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (None, "d", "x"), (None, None, "x")], "doc_id long, text string, start string")
     got = packing.concatenate_and_cut(df, queries.tokenizer_path(), window=4).collect()
