@@ -17,18 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and the next operator needs what they would keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def trimmed(batches: Iterator) -> Iterator:
-    """Passes ``batches`` on, then gives freed memory back to the system: workers outlive their tasks, and the next
-    operator needs what they would keep."""
+    """Passes ``batches`` on, then gives freed memory back."""
     try:
         yield from batches
     finally:
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
-from .common import scratch_path, stage
+from .common import give_back, scratch_path, stage, trimmed
 from .shared import map_arrays, save_arrays
 
 BOS, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: Tokens counted, and tokens scored, at a time in a task.
+#: Tokens whose pairs are counted together in a task, tokens of them read, and sorted, at a time, and tokens scored at a time.
 TOKENS = 3_000_000
+SORTED_TOKENS = 500_000
 SCORED_TOKENS = 900_000
 #: Bytes of text that make a shard, and bytes that tell which contexts are frequent enough to be split.
 SHARD_BYTES = 16 << 20
@@ -61,7 +62,7 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
-def _pieces(column: pa.Array, some: int = TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+def _pieces(column: pa.Array, some: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """Texts a few at a time: about six bytes for each of ``some`` tokens, or one long text."""
     buf, bounds = tk.utf8(column)
     i, n = 0, len(bounds) - 1
@@ -89,16 +90,27 @@ _BLOCK = ["shard", "ctx", "many", "word", "count"]
 
 
 def _count(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    def emit(token, before):
+    def emit(held):
+        """Blocks of the pairs of ``held``, a group of contexts at a time: a pair has all its occurrences in one group."""
+        groups = -(-sum(len(t) for t, _, _ in held) // SORTED_TOKENS)
+        for group in range(groups):
+            some = []
+            for token, before, shard in held:
+                here = np.flatnonzero((shard if model["shards"] >= groups else before) % groups == group)
+                some.append((token[here], before[here], shard[here]))
+            if sum(len(t) for t, _, _ in some):
+                yield blocks(*(np.concatenate(x) for x in zip(*some, strict=True)))
+
+    def blocks(token, before, shard):
         key = pair(before, token)
         order = np.argsort(key)
         at = _runs(key[order])
         first = order[at]
-        count = np.diff(np.append(at, len(key)))
-        ctx, word = before[first], token[first]
-        shard = pair_shard(ctx, word, model)
+        count = np.diff(np.append(at, len(key))).astype("<u4")
+        del key, order, at
+        ctx, word, shard = before[first], token[first], shard[first]
         order = np.lexsort((ctx, shard))
-        ctx, word, count, shard = ctx[order], word[order], count[order].astype("<u4"), shard[order]
+        ctx, word, count, shard = ctx[order], word[order], count[order], shard[order]
         rows = []
         cuts = np.append(_runs(shard), len(shard))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -109,15 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
 
     held, size = [], 0
     for batch in batches:
-        for buf, bounds, _, _ in _pieces(batch.column("text")):
+        for buf, bounds, _, _ in _pieces(batch.column("text"), SORTED_TOKENS):
             t, b, _ = tokens(buf, bounds)
-            held.append((t, b))
+            held.append((t, b, pair_shard(b, t, model).astype(np.uint32)))
             size += len(t)
             if size >= TOKENS:
-                yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from emit(held)
                 held, size = [], 0
-    if size:
-        yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    yield from emit(held)
 
 
 def _u(column, kind: str) -> np.ndarray:
@@ -155,7 +166,7 @@ def _merge(t: pa.Table, folder: str, model: dict) -> pa.Table:
     key, ctx, word = key[first], ctx[first], word[first]
     save_arrays(f"{folder}/pair-{shard}", {"key": key, **_small(count)})
     tally = [int((count == i).sum()) for i in (1, 2, 3, 4)]
-    del t, key, order, first
+    del t, key, order, first, at
     one, none = np.ones(len(count), np.int64), np.zeros(len(count), np.int64)
     ahead = _sums(word, [one, count, none, none, none, none])
     behind = _sums(ctx, [none, none, count, count == 1, count == 2, count >= 3])
@@ -165,6 +176,8 @@ def _merge(t: pa.Table, folder: str, model: dict) -> pa.Table:
     cuts = np.append(_runs(to[order]), len(order))
     rows = [(int(to[order[a]]), word[order[a:b]].tobytes(), stat[order[a:b]].astype("<i8").tobytes(), 0, 0, 0, 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     rows.append((-1, b"", b"", *tally))
+    del one, none, ahead, behind, word, stat, to, order, ctx, count
+    give_back()
     kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(_STATS)})
 
@@ -188,7 +201,7 @@ def _merge_words(t: pa.Table, folder: str) -> pa.Table:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of some texts with their counts; those of one occurrence go together as an unnamed rest."""
     for batch in batches:
-        for buf, bounds, _, _ in _pieces(batch.column("text")):
+        for buf, bounds, _, _ in _pieces(batch.column("text"), SORTED_TOKENS):
             ctx, n = np.unique(tokens(buf, bounds)[1], return_counts=True)
             rest = int(n[n == 1].sum())
             ctx, n = np.append(ctx[n > 1].view(np.int64), 0), np.append(n[n > 1], rest)
@@ -203,7 +216,7 @@ def _split_contexts(docs: DataFrame, size: int, shards: int) -> tuple[np.ndarray
     if shards < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(-(-size // SAMPLE_BYTES))) == 0).select("text")
-    found = stage(some.mapInArrow(_frequencies, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")), "kneser-ney-contexts")
+    found = stage(some.mapInArrow(lambda it: trimmed(_frequencies(it)), "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")), "kneser-ney-contexts")
     total = found.agg(F.sum("n")).first()[0] or 1
     rows = found.where(F.col("n") * 2 * shards > total).where("ctx <> 0").collect()  # fewer than 2 * shards
     rows = sorted((r["ctx"] % (1 << 64), -(-r["n"] * shards // total)) for r in rows)
@@ -232,7 +245,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> dict:
     shards = shards or max(1, -(-size // SHARD_BYTES))
     hot, spread = _split_contexts(docs, max(size, 1), shards)
     at = {"folder": folder, "shards": shards, "hot": hot, "spread": spread}
-    blocks = docs.select("text").mapInArrow(lambda it: _count(it, at), "shard long, ctx binary, many binary, word binary, count binary")
+    blocks = docs.select("text").mapInArrow(lambda it: trimmed(_count(it, at)), "shard long, ctx binary, many binary, word binary, count binary")
     merged = blocks.groupBy("shard").applyInArrow(lambda t: _merge(t, folder, at), "shard long, word binary, stat binary, n1 long, n2 long, n3 long, n4 long")
     totals = merged.groupBy("shard").applyInArrow(lambda t: _merge_words(t, folder), ", ".join(f"{c} long" for c in _TOTALS))
     sums = stage(totals, "kneser-ney-totals").groupBy((F.col("shard") < 0).alias("tally")).agg(*[F.sum(c).alias(c) for c in _TOTALS[1:]])
@@ -326,5 +339,5 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     ship(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    out = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: _score(it, model, keep), f"{kept}, n_tokens long, n_known long, base_score double, score double")
+    out = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda it: trimmed(_score(it, model, keep)), f"{kept}, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model["tokens"]).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -336,6 +336,42 @@ def test_warc_round_trip_and_ranges(spark, monkeypatch):
     assert warc.read_archives(empty).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 3, 64])
+def test_pairs_are_counted_in_groups(monkeypatch, shards):
+    """However few tokens are sorted at a time, every pair of a task is sent once, with its count, to its shard."""
+    monkeypatch.setattr(kneser_ney, "SORTED_TOKENS", 70, raising=False)
+    texts = pa.array([*ODD[:8], *corpus(50, 8), *["the same words over and over " * 30] * 3])
+    hot, spread = kneser_ney.tokens(*tk.utf8(pa.array(["the"])))[0][:1], np.array([3], np.uint64)
+    model = {"shards": shards, "hot": hot, "spread": spread}
+    token, before, _ = kneser_ney.tokens(*tk.utf8(texts))
+    want = {}
+    for b, t, s in zip(before.tolist(), token.tolist(), kneser_ney.pair_shard(before, token, model).tolist(), strict=True):
+        want[s, b, t] = want.get((s, b, t), 0) + 1
+    got = []
+    for block in kneser_ney._count(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), model):
+        for r in block.to_pylist():
+            ctx = np.repeat(np.frombuffer(r["ctx"], "<u8"), np.frombuffer(r["many"], "<u4"))
+            got += [((r["shard"], b, t), n) for b, t, n in zip(ctx.tolist(), np.frombuffer(r["word"], "<u8").tolist(), np.frombuffer(r["count"], "<u4").tolist(), strict=True)]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_counting_takes_little_memory():
+    """What a task holds for three million tokens are their hashes and shards; the rest goes by groups."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    letters = r.integers(97, 123, 9_000_000).astype(np.uint8)
+    letters[r.random(len(letters)) < 0.3] = 32
+    texts = pa.array([letters[i : i + 9000].tobytes().decode() for i in range(0, len(letters), 9000)])
+    model = {"shards": 8, "hot": np.zeros(0, np.uint64), "spread": np.zeros(0, np.uint64)}
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in kneser_ney._count(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), model)) >= 8
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("shards", [1, 16])
 def test_kneser_ney_is_a_distribution_and_matches_by_hand(spark, shards):
     texts = [*ODD, *corpus(80, 8), *["the same words over and over " * 30] * 3]
