@@ -3,8 +3,8 @@
 Each permutation gives two signature values, the least and the greatest hash of the set, so that half as many
 hash functions do. Documents with equal sets form one class and are joined once. In every band bucket the other
 classes are compared with one hub; components of the confirmed links follow; only then do members of one bucket
-that are still in different components meet each other inside a task, by their signatures first, and only edges
-that join components leave it. So no bucket gives all pairs, and every two classes that share a bucket are either
+that are still in different components meet each other inside a task, by their signatures alone, and those that
+look alike once more, with their sets; only edges that join components leave it. So no bucket gives all pairs, and every two classes that share a bucket are either
 connected or compared.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
-from .common import connected_components, drop_stage, stage
+from .common import connected_components, drop_stage, stage, trimmed
 
 #: Bands, and permutations in each: three permutations give six values. A pair at similarity 0.85 is missed with
 #: probability (1 - 0.85**6)**24, about 1e-5.
@@ -112,6 +112,12 @@ def _binary_sets(t: pa.Table) -> pa.Table:
     return t.set_column(t.column_names.index("set"), "set", pa.array(blobs, pa.binary()))
 
 
+def _keyed(some: DataFrame) -> DataFrame:
+    """Classes that rows are looked up for by key: sent to where the rows stand, up to BROADCAST_ROWS of them."""
+    some = stage(some, "near-keyed")
+    return F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+
+
 def _full_sets(texts: DataFrame, classes: DataFrame, some: DataFrame, k: int) -> DataFrame:
     """(cls, set) of the classes in ``some`` (cls), from the text of each one's first row, found by id and hash.
 
@@ -121,7 +127,7 @@ def _full_sets(texts: DataFrame, classes: DataFrame, some: DataFrame, k: int) ->
     ends = wanted.select("_d", "_h")
     ends = F.broadcast(ends) if wanted.count() <= BROADCAST_ROWS else ends
     found = texts.join(ends, (texts["hash"] == ends["_h"]) & texts["doc"].eqNullSafe(ends["_d"]), "left_semi")
-    sets = found.select("text").mapInArrow(lambda it: _only_sets(it, k), "key binary, set array<long>")
+    sets = found.select("text").mapInArrow(lambda it: trimmed(_only_sets(it, k)), "key binary, set array<long>")
     return sets.where("key IS NOT NULL").join(wanted.select("key", "cls"), "key").drop("key").dropDuplicates(["cls"])
 
 
@@ -137,28 +143,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: in
     return kept
 
 
-def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
-    """Edges that join components of one block pair.
+def _candidates(t: pa.Table, comp: np.ndarray, size: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likeness and places of the pairs of a block that are to be compared by sets.
 
-    Pairs of different components whose signatures agree in ``least`` of the values are met, the likeliest first,
-    each in the first band that they share, and compared by full sets unless an earlier link has joined them.
+    They are of different components, their sizes allow a link, their signatures agree in ``least`` of the values,
+    and no earlier band has them in one bucket.
     """
     n = t.num_rows
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(n, -1)
     bands = np.array(t["bands"].to_pylist(), np.int64).reshape(n, -1)
-    sets = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
-    roots = t["root"].combine_chunks().dictionary_encode()
-    comp = roots.indices.to_numpy()
-    size, side, band = np.array([len(x) for x in sets]), t["side"].to_numpy(), int(t["band"][0].as_py())
+    side, band = t["side"].to_numpy(), int(t["band"][0].as_py())
     right = np.flatnonzero(side != 0)
-    parent = list(range(len(roots.dictionary)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     found = []
     for i in np.flatnonzero(side != 1):
         other = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
@@ -171,6 +166,36 @@ def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
             ok = like >= least
             found.append((like[ok], np.full(int(ok.sum()), i, np.int32), other[ok].astype(np.int32)))
     like, left, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
+    return like, left, other
+
+
+def _roots(t: pa.Table) -> pa.DictionaryArray:
+    return t["root"].combine_chunks().dictionary_encode()
+
+
+def _open_members(t: pa.Table, least: float, percent: int) -> pa.Table:
+    """The members of one block pair that look like a member of another component."""
+    _, left, other = _candidates(t, _roots(t).indices.to_numpy(), t["n"].to_numpy(), least, percent)
+    return t.select(["band", "bucket", "lo", "hi", "side", "cls"]).take(pa.array(np.union1d(left, other).astype(np.int64)))
+
+
+def _compare(t: pa.Table, least: float, percent: int) -> pa.Table:
+    """Edges that join components of one block pair.
+
+    The candidates are taken the likeliest first and compared by full sets unless an earlier link has joined them.
+    """
+    sets = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
+    roots = _roots(t)
+    comp = roots.indices.to_numpy()
+    parent = list(range(len(roots.dictionary)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    like, left, other = _candidates(t, comp, np.array([len(x) for x in sets]), least, percent)
     order = np.argsort(-like, kind="stable")
     edges = []
     for at in range(0, len(order), 4096):
@@ -209,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    signed = stage(texts.mapInArrow(lambda it: _sign(it, k, bands, permutations_in_band), "doc long, hash long, n long, key binary, bands array<long>, sig binary"), "near-signed")
+    signed = stage(texts.mapInArrow(lambda it: trimmed(_sign(it, k, bands, permutations_in_band)), "doc long, hash long, n long, key binary, bands array<long>, sig binary"), "near-signed")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash"))
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(first.alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")  # numbers are fixed from here on
@@ -229,19 +254,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     drop_stage(members)
     split = here.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
     left = stage(here.join(split, ["band", "bucket"], "left_semi"), "near-left")
-    sets = _full_sets(texts, classes, left.select("cls"), k)
-    open_ = classes.join(left.select("cls").distinct(), "cls", "left_semi").select("cls", "key", "bands")
-    sigs = signed.select("key", "sig").join(open_, "key").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-    full = stage(sigs.join(sets, "cls"), "near-full", "lz4")
+    some = _keyed(classes.join(left.select("cls").distinct(), "cls", "left_semi").select("key", "cls"))
+    sigs = signed.select("key", "n", "sig", "bands").join(some, "key").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("n", "sig", "bands")])
+    sigs = stage(sigs, "near-sigs", "lz4")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = left.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other")})
     dealt = dealt.withColumn("side", F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") == F.col("lo"), 0).otherwise(1))
-    dealt = dealt.join(full, "cls").select("band", "bucket", "lo", "hi", "side", "root", "sig", "bands", "set")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (2 * bands * permutations_in_band)) ** 0.5
-    second = dealt.groupBy("band", "bucket", "lo", "hi").applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u long, v long")
+    block = ["band", "bucket", "lo", "hi"]
+    alike = dealt.join(sigs, "cls").select(*block, "side", "cls", "root", "n", "sig", "bands").groupBy(*block)
+    opened = stage(alike.applyInArrow(lambda t: _open_members(t, least, percent), "band int, bucket long, lo int, hi int, side int, cls long"), "near-open")
+    sets = _full_sets(texts, classes, opened.select("cls"), k)
+    full = stage(sigs.select("cls", "sig", "bands").join(sets, "cls"), "near-full", "lz4")
+    rooted = left.select("cls", "root").distinct()
+    alike = opened.join(rooted, "cls").join(full, "cls").select(*block, "side", "root", "sig", "bands", "set")
+    second = alike.groupBy(*block).applyInArrow(lambda t: _compare(_binary_sets(t), least, percent), "u long, v long")
     top = connected_components(second)
     final = classes.select("cls", "key", "rep", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     final = final.withColumn("root", F.coalesce("root", "cls"))
@@ -256,7 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     component = F.when(grouped, F.col("component_id")).otherwise(F.col("doc"))
     chosen = [F.col("hash").alias(hash_col), (~grouped | F.col("doc").eqNullSafe(component) & (F.col("hash") == F.col("first_hash"))).alias("chosen")] if hash_col else []
     out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), *chosen)
-    for done in (star, links, roots, here, left, full, classes):
+    for done in (star, links, roots, here, left, sigs, opened, full, classes):
         drop_stage(done)
     if staged is not None:
         staged += [signed, named]

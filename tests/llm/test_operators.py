@@ -237,6 +237,23 @@ def test_members_of_a_bucket_meet_once_their_hub_fails():
     assert minhash._compare(t, 0.5, 85).to_pylist() == [{"u": b"b", "v": b"c"}]
 
 
+def test_sets_are_read_only_for_members_that_look_alike(spark, monkeypatch):
+    """Texts of similarity 0.6 share buckets; once signatures tell them apart, no set of theirs is read or dealt."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(30):
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        near = list(w)
+        near[150] = "other"
+        apart = [x for i, x in enumerate(w) if i < 225] + [f"v{r.randrange(10**6)}" for _ in range(75)]
+        texts += [" ".join(w), " ".join(near), " ".join(apart)]
+    asked, full_sets = [], minhash._full_sets
+    monkeypatch.setattr(minhash, "_full_sets", lambda texts, classes, some, k: asked.append(some.distinct().count()) or full_sets(texts, classes, some, k))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, texts), 85).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(90)}
+    assert asked[0] > 60 and asked[1] < 10
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_topk_against_brute_force(spark, monkeypatch, block):
     """Rows that share an id, with equal and other vectors, are candidates and queries each; blocks of either side are small."""
