@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
+from .common import trimmed
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_CELLS = 12, 12, 6, 2048
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, id_c
     # both sides are drawn before they meet, so that only the sample's texts are shuffled
     drawn = y.where(place < F.when(F.col("_y") == 1, bound[1]).otherwise(bound[0]))
     met = texts.where(place < max(bound)).join(drawn, "_id").select("_id", "text", "_y")
-    got = met.mapInArrow(_runs, f"_id {dict(met.dtypes)['_id']}, text string, _y int").orderBy("_id", "text", "_y").toArrow()
+    got = met.mapInArrow(lambda it: trimmed(_runs(it)), f"_id {dict(met.dtypes)['_id']}, text string, _y int").orderBy("_id", "text", "_y").toArrow()
     return learn(got["text"], np.array(got["_y"].to_pylist(), np.float32))
 
 
@@ -371,5 +372,5 @@ def score(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("score", "predicted")]
     cols = list(dict.fromkeys([*keep, "text"]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    out = docs.select(*cols).mapInArrow(lambda it: _apply(it, held, keep), f"{kept}, score double")
+    out = docs.select(*cols).mapInArrow(lambda it: trimmed(_apply(it, held, keep)), f"{kept}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
