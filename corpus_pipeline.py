@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliobar.llm import kneser_ney as _  # noqa: F401  the subpackage has to be there as a whole
 from heliobar.llm import minhash, mixing, packing, queries, secrets, toxicity
-from heliobar.llm.common import drop_stage, free_name, stage, table
+from heliobar.llm.common import drop_stage, free_name, give_back_driver, stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on labelled rows outside the held-out fold, doesn't reject."""
@@ -71,12 +73,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.concatenate_and_cut(docs, queries.tokenizer_path())
 
 
+def _lean(step):
+    """``step`` between two times that the driver, which all stages share, gives freed memory back."""
+
+    @functools.wraps(step)
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_driver(spark)
+        out = step(spark, docs, sf_dir)
+        give_back_driver(spark)
+        return out
+
+    return run_lean
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash", drop_near_duplicates),
-    ("secrets", redact_secrets),
-    ("mixing", mix),
-    ("packing", pack),
+    ("toxicity", _lean(drop_toxic)),
+    ("minhash", _lean(drop_near_duplicates)),
+    ("secrets", _lean(redact_secrets)),
+    ("mixing", _lean(mix)),
+    ("packing", _lean(pack)),
 ]
 
 #: SQL expresses neither the network nor the tokenizer; tests hold the stages against brute-force versions.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,23 @@ def trimmed(batches: Iterator) -> Iterator:
         give_back()
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """The same for the driver: its Python, and native memory that its JVM has freed. Whether the JVM could do it."""
+    give_back()
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, sc._gateway.new_array
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given = array(jvm.java.lang.Object, 4)
+    given[0], given[1], given[2], given[3] = command, "systemTrimNativeHeap", array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    # the server's own class isn't open to callers, only its interface is
+    (invoke,) = (m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:  # only some JVMs have the command, of 17 those from 17.0.9 on, on Linux
+        return False
+    return True
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of ``edges`` (u, v), root being the smallest node reachable.
 

@@ -8,6 +8,7 @@ windows being scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,8 +230,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, id_c
     # both sides are drawn before they meet, so that only the sample's texts are shuffled
     drawn = y.where(place < F.when(F.col("_y") == 1, bound[1]).otherwise(bound[0]))
     met = texts.where(place < max(bound)).join(drawn, "_id").select("_id", "text", "_y")
-    got = met.mapInArrow(lambda it: trimmed(_runs(it)), f"_id {dict(met.dtypes)['_id']}, text string, _y int").orderBy("_id", "text", "_y").toArrow()
-    return learn(got["text"], np.array(got["_y"].to_pylist(), np.float32))
+    runs = met.mapInArrow(lambda it: trimmed(_runs(it)), f"_id {dict(met.dtypes)['_id']}, text string, _y int")
+    # the sample is bounded, so one task learns from it all; the driver gets the network alone
+    got = runs.repartition(1).sortWithinPartitions("_id", "text", "_y").mapInArrow(lambda it: trimmed(_learned(it)), "net binary").collect()
+    return pickle.loads(got[0]["net"]) if got else learn(pa.chunked_array([], pa.string()), np.zeros(0, np.float32))
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network learned from all ``batches``, pickled; nothing where they have no rows."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        got = pa.Table.from_batches(got)
+        net = learn(got["text"], np.array(got["_y"].to_pylist(), np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
 
 def learn(texts, y: np.ndarray, seed: int = 2) -> Network:

@@ -1,13 +1,16 @@
 """The stages of the corpus pipeline on rows with nulls, repeats, clashing columns and very long texts."""
 
 import random
+import re
 import struct
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from heliobar.llm import queries
+from heliobar.llm import common, queries, toxicity
 
 from .test_operators import base_spans, components, corpus, words
 
@@ -191,3 +194,55 @@ print(held() - base)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=120)
     assert float(out.stdout) < 30, out.stderr
+
+
+def test_the_driver_doesn_t_learn_the_network(spark, monkeypatch):
+    """The driver's memory serves all stages; the sample is learned from in a task, to the same network."""
+    texts = [f"{'vile scum ' if i % 3 == 0 else ''}" + " ".join(f"w{(i * k) % 40}" for k in range(1, 30)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    want = toxicity.learn(pa.array(texts), np.array([i % 3 == 0 for i in range(120)], np.float32))
+
+    def here(*args, **kwargs):
+        raise AssertionError("the driver learns")
+
+    monkeypatch.setattr(toxicity, "learn", here)
+    net = toxicity.fit(docs, labels)
+    assert (net.words == want.words).all() and net.prior == want.prior
+    assert all(np.allclose(net.p[k], want.p[k], atol=1e-4) for k in want.p)
+
+
+def test_stages_give_the_driver_s_freed_memory_back(spark, monkeypatch):
+    assert common.give_back_driver(spark) in (True, False)
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back_driver", lambda s: calls.append("back"))
+    for name in ("drop_near_duplicates", "redact_secrets"):
+        step = next(f for _, f in corpus_pipeline.STAGES if f.__name__ == name)
+        got = step(spark, spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA), "")
+        assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+    assert calls == ["back"] * 4
+
+
+def test_a_jvm_gives_freed_native_memory_back(spark):
+    """Blocks that the JVM has freed, each below one that it keeps, would count against the driver for good."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+    if not common.give_back_driver(spark):
+        pytest.skip("this JVM can't")
+    base, blocks = held(), []
+    for _ in range(500):
+        blocks.append(unsafe.allocateMemory(100_000))
+        unsafe.setMemory(blocks[-1], 100_000, 1)
+        blocks.append(unsafe.allocateMemory(64))
+    full = held()
+    for b in blocks[::2]:
+        unsafe.freeMemory(b)
+    common.give_back_driver(spark)
+    left = held()
+    for b in blocks[1::2]:
+        unsafe.freeMemory(b)
+    assert full - base > 35 and left - base < 25
