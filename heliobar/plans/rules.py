@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import costs, indicators as ind, text
-from ..functions.rolling import r6 as sr6
+from ..functions.rolling import r6 as sr6, sum_in_order
 from ..operators import cv, joins, labels, portfolio, ranking, risk, series, statistics as stats, strategies
 from ..operators import calendar as cal
 from ..staging import stage
@@ -480,7 +480,9 @@ SELECT CAST(account AS VARCHAR) AS account, symbol, CASE WHEN k = 4 THEN 'blocke
 UNION ALL SELECT CAST(account AS VARCHAR), symbol, action, mv, 250.0, CASE WHEN action = 'buy' THEN round(v, 2) ELSE 0 END FROM x""")
 def rebalance_plan(spark, d):
     orders = prepared(spark).read.parquet(f"{d}/orders.parquet")
-    per = orders.groupBy(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderpriority").alias("symbol")).agg(F.sum("o_totalprice").alias("_v"))
+    rows = orders.select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderpriority").alias("symbol"), "o_orderkey", F.col("o_totalprice").alias("_v"))
+    # floor() below turns the last digit of a sum into a whole unit, so the order of adding is that of the orders
+    per = sum_in_order(rows, ["account", "symbol"], ["o_orderkey", "_v"], "_v")
     ranked = per.withColumn("_k", F.row_number().over(Window.partitionBy("account").orderBy(F.desc("_v"), "symbol")))
     held = F.when(F.col("_k") > 2, F.floor("_v") % 100).otherwise(F.floor("_v") % 300).cast("double")
     rows = ranked.select("account", "symbol", F.when(F.col("_k") <= 2, F.col("_k")).alias("rank"), held.alias("market_value"), (F.col("_k") == 4).alias("locked"))
