@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rolling import div
+from ..functions.rolling import div, finite
 from ..staging import stage
 
 
@@ -120,6 +120,7 @@ FeatureFn = Callable[[DataFrame], DataFrame]
 
 
 def _close(a, b, tolerance: float = 1e-9):
+    a, b = finite(a), finite(b)  # what isn't a number is missing here
     far = F.abs(a - b) > tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(~far)
 

@@ -3,6 +3,9 @@
 import duckdb
 
 import __spark_entry__
+from heliobar.functions import indicators as ind
+from heliobar.operators import cv
+from heliobar.plans.common import hourly
 
 
 def both(spark, folder, name, table, rows, columns, stored=None):
@@ -15,7 +18,7 @@ def both(spark, folder, name, table, rows, columns, stored=None):
     con.sql(f"CREATE TABLE {table} AS {values(rows)}")
     want = con.sql(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, str(folder)).select(*want.columns)
-    return sorted(map(tuple, got.collect()), key=repr), sorted(map(tuple, want.fetchall()), key=repr)
+    return sorted(repr(tuple(r)) for r in got.collect()), sorted(map(repr, want.fetchall()))
 
 
 def test_rebalance_plan_adds_orders_by_their_key(spark, tmp_path):
@@ -26,3 +29,31 @@ def test_rebalance_plan_adds_orders_by_their_key(spark, tmp_path):
     columns = "o_orderkey, o_custkey, o_orderpriority, o_totalprice"
     a, b = both(spark, tmp_path, "rebalance_plan", "orders", orders, columns, orders[::-1])
     assert len(a) == 6 and a == b
+
+
+EVENT = "event_id, ts, event_type, value"
+
+
+def events(hours):
+    """Two events an hour of one type: (first value, last value) of each hour."""
+    at = lambda i, minute: f"TIMESTAMP '2024-01-01' + INTERVAL {i} HOUR + INTERVAL {minute} MINUTE"
+    return [f"({2 * i + k}, {at(i, 10 + k)}, 'view', {v}::DOUBLE)" for i, pair in enumerate(hours) for k, v in enumerate(pair)]
+
+
+def walk(n):
+    return [(20 + (i * 37 % 23) / 4, 15 + (i * 53 % 29) / 8) for i in range(n)]
+
+
+def test_parkinson_of_a_range_from_zero(spark, tmp_path):
+    hours = walk(120)
+    hours[5], hours[60] = (0.0, 7.5), (0.0, 0.0)  # a low of zero, and a range of nothing but zero
+    a, b = both(spark, tmp_path, "ind_parkinson", "events", events(hours), EVENT)
+    assert a == b and sum("inf" in r for r in a) == 6 and sum("nan" in r for r in a) == 20
+
+
+def test_audit_takes_infinite_features_for_missing(spark, tmp_path):
+    hours = walk(60)
+    hours[25] = (0.0, 7.5)
+    both(spark, tmp_path, "ind_parkinson", "events", events(hours), EVENT)
+    bars = hourly(spark, str(tmp_path))
+    assert cv.audit(bars, lambda df: ind.compute(df, [ind.parkinson_vol(20)]), ["parkinson_20"], [30, 50])["leaking"] == []
