@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bars import event_bars, line_bars
@@ -27,13 +27,23 @@ def weekly_lines(spark: SparkSession, d: str, symbol: str = "p_type") -> DataFra
     return line_bars(prepared(spark), d, WEEK, symbol)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounds as the SQL does: the product with a power of ten goes to the nearest whole number.
+
+    F.round goes by the shortest decimals of x instead, which differ where x lies next to a tie. Beyond 2^53 the product
+    has no fraction to round.
+    """
+    scale = 10.0**digits
+    return F.when(F.abs(x) < 2.0**53 / scale, F.round(x * scale) / scale).otherwise(F.round(x, digits))
+
+
 def out(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Columns as the oracle has them: times as seconds, doubles rounded."""
     kinds = dict(df.dtypes)
     cols = []
     for c in columns or df.columns:
         if kinds[c] == "double":
-            cols.append(F.round(c, digits).alias(c))
+            cols.append(rounded(F.col(c), digits).alias(c))
         elif kinds[c].startswith("timestamp"):
             cols.append(F.unix_seconds(F.col(c).cast("timestamp")).alias(c))
         elif kinds[c] == "date":

@@ -57,3 +57,18 @@ def test_audit_takes_infinite_features_for_missing(spark, tmp_path):
     both(spark, tmp_path, "ind_parkinson", "events", events(hours), EVENT)
     bars = hourly(spark, str(tmp_path))
     assert cv.audit(bars, lambda df: ind.compute(df, [ind.parkinson_vol(20)]), ["parkinson_20"], [30, 50])["leaking"] == []
+
+
+def test_default_features_where_a_close_is_zero(spark, tmp_path):
+    hours = walk(240)
+    hours[30], hours[120] = (9.0, 0.0), (0.0, 0.0)
+    a, b = both(spark, tmp_path, "features_default", "events", events(hours), EVENT)
+    assert len(a) == 240 and a == b
+    assert sum("inf" in r for r in a) > 100 and sum("nan" in r for r in a) > 100
+
+
+def test_default_features_round_as_sql(spark, tmp_path):
+    hours = walk(70)
+    hours[2], hours[62] = (5.0, 6.4), (5.0, 59.83)  # 59.83 / 6.4 - 1 lies next to 8.3484375
+    a, b = both(spark, tmp_path, "features_default", "events", events(hours), EVENT)
+    assert a == b and any("8.348437," in r for r in a)
